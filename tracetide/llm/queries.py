@@ -8,17 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracetide.llm import decontaminate as op5
+from tracetide.llm import packing as op3
+from tracetide.llm import simhash as op1
+from tracetide.llm import suffixes as op8
+from tracetide.llm import toxicity as op6
 from tracetide.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op5.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", op1.hex_digits().alias("fingerprint"), "component_id")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def _held_out(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> op6.Lexicon:
+    """Learnt from the labelled rows of the table that are not held out."""
+    return op6.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~_held_out(4)))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = op6.score(docs, toxicity_lexicon(spark, sf_dir), name="score")
+    return scored.select("doc_id", F.coalesce(_held_out(4), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8.removed(table(spark, sf_dir, "documents"))
+    doc_id = F.when(F.col("id") != op8.NO_ID, F.col("id")).alias("doc_id")
+    return found.select(doc_id, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_decontaminate": op5_decontaminate}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_suffixes": op8_suffixes}
 
 
 OP5_SQL = r"""
