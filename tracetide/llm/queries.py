@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracetide.llm import decontaminate as op5
+from tracetide.llm import heap_bpe as op4
+from tracetide.llm import html_crf as op10
 from tracetide.llm import packing as op3
+from tracetide.llm import page_samples
 from tracetide.llm import simhash as op1
 from tracetide.llm import suffixes as op8
 from tracetide.llm import toxicity as op6
@@ -56,8 +60,24 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = op4.count_tokens(docs, tokenizer("piece_bpe_32k.model"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@cache
+def page_model() -> op10.Field:
+    return op10.train(op10.training_set(page_samples.pages(900, seed=1), page_samples.SIGN))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = op10.extract(table(spark, sf_dir, "pages"), page_model())
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_suffixes": op8_suffixes}
+    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_suffixes": op8_suffixes}
 
 
 OP5_SQL = r"""

@@ -39,7 +39,7 @@ LOOKALIKES = {
     "ι": "i", "κ": "k", "μ": "m", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "χ": "x", "γ": "y", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"}
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
 class _Fold(dict):
