@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracetide.llm import cross_polytope as op2
 from tracetide.llm import decontaminate as op5
 from tracetide.llm import heap_bpe as op4
 from tracetide.llm import html_crf as op10
@@ -35,6 +36,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", op1.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return op2.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -77,7 +83,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_suffixes": op8_suffixes}
+    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_suffixes": op8_suffixes}
 
 
 OP5_SQL = r"""
