@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracetide.llm import bloom_lm as op7
 from tracetide.llm import cross_polytope as op2
 from tracetide.llm import decontaminate as op5
 from tracetide.llm import heap_bpe as op4
@@ -60,6 +61,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_held_out(4), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.score(table(spark, sf_dir, "documents"), _held_out(7))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op8.removed(table(spark, sf_dir, "documents"))
     doc_id = F.when(F.col("id") != op8.NO_ID, F.col("id")).alias("doc_id")
@@ -83,7 +88,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_suffixes": op8_suffixes}
+    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes}
 
 
 OP5_SQL = r"""
