@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -15,10 +16,11 @@ from tracetide.llm import heap_bpe as op4
 from tracetide.llm import html_crf as op10
 from tracetide.llm import packing as op3
 from tracetide.llm import page_samples
+from tracetide.llm import sharding as op9
 from tracetide.llm import simhash as op1
 from tracetide.llm import suffixes as op8
 from tracetide.llm import toxicity as op6
-from tracetide.llm.common import table
+from tracetide.llm.common import shared_dir, table
 
 
 def tokenizer(name: str) -> str:
@@ -77,6 +79,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives in up to eight arrivals, by its files; what the latest version holds is read back whole."""
+    docs = table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
+    arrivals = [spark.read.schema(docs.schema).parquet(*files[i::8]) for i in range(min(8, len(files)))] or [docs]
+    store = op9.shard(spark, arrivals, f"{shared_dir(spark)}/tracetide/store-{uuid.uuid4().hex}")
+    text = F.coalesce("text", F.lit(""))
+    held = store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    return held.groupBy("doc_id", "n_bytes", "text_sha256").agg(F.count("*").alias("n_rows"))
+
+
 @cache
 def page_model() -> op10.Field:
     return op10.train(op10.training_set(page_samples.pages(900, seed=1), page_samples.SIGN))
@@ -88,7 +101,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes}
+    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes, "op9_sharding": op9_sharding}
 
 
 OP5_SQL = r"""
@@ -107,5 +120,11 @@ FROM dw LEFT JOIN pos ON dw.doc_id IS NOT DISTINCT FROM pos.doc_id AND dw.text =
 """
 
 
+OP9_SQL = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_rows
+FROM documents GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op9_sharding": OP9_SQL}
