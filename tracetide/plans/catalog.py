@@ -6,14 +6,20 @@ O (orders: customer, order date), C (conversations). H is the tree region > nati
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracetide.builder import Encoder, HierarchyBuilder
 from tracetide.functions import values
 from tracetide.operators import derived, hierarchy
 from tracetide.operators.changelog import ChangeLog, accepted_steps
+from tracetide.sources.detect import file_format
+from tracetide.sources.vcd import VcdFiles
+from tracetide.storage import shared_dir
+from tracetide.streaming import steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,6 +492,52 @@ def q52_chunk_union(spark, d):
     return first.union(second).times()
 
 
+HEADER = "$timescale 1us $end\n$scope module events $end\n$var wire 1 ! over $end\n$upscope $end\n$enddefinitions $end"
+
+
+@query(f"WITH {EB} SELECT signal, time, value FROM eb")
+def q54_vcd_round_trip(spark, d):
+    """Each user's log is written as a VCD file and read back."""
+    log = events(spark, d, bit())
+    lines = log.df.select("signal", "time", "seq", F.concat(F.lit("#"), F.col("time").cast("string"), F.lit("\n"), F.col("value"), F.lit("!")).alias("value"))
+    heads = log.df.select("signal").distinct().select("signal", F.lit(-1).cast("bigint").alias("time"), F.lit(-1).cast("bigint").alias("seq"), F.lit(HEADER).alias("value"))
+    path = f"{shared_dir(spark)}/tracetide/vcd-{uuid.uuid4().hex}"
+    files = lines.union(heads).repartition("signal").sortWithinPartitions("signal", "time", "seq").select("signal", "value")
+    files.write.partitionBy("signal").text(path)
+    read = VcdFiles(spark, f"{path}/*/*.txt").changes()
+    return read.select(F.regexp_extract("file", r"signal=(\d+)", 1).cast("bigint").alias("signal"), "time", F.col("bits").alias("value"))
+
+
+@query("SELECT 'events' AS name, 'unknown' AS file_format")
+def q53_detect(spark, d):
+    path = table(spark, d, "events").inputFiles()[0]
+    return spark.createDataFrame([("events", file_format(spark, path))], "name string, file_format string")
+
+
+@query("SELECT * FROM (VALUES ('top.count', 0, '0000'), ('top.count', 1, '0001'), ('top.count', 2, '0010'), ('top.count', 3, '0011')) t(full_name, time, bits)")
+def q57_builder(spark, d):
+    b = HierarchyBuilder(spark)
+    b.push_scope("top")
+    signal = b.new_signal("bits", 4)
+    b.add_var("count", signal, msb=3, lsb=0)
+    enc = Encoder(spark, b.signals)
+    for t in range(4):
+        enc.time_change(t)
+        enc.change(signal, f"{t:b}")
+    return enc.snapshot().join(b.finish()["vars"], "signal_id").select("full_name", F.col("time").cast("int").alias("time"), "bits")
+
+
+@query(f"WITH {EB}, {deduped('eb')} SELECT * FROM d")
+def q58_streaming(spark, d):
+    """q03 as a stream."""
+    static = table(spark, d, "events")
+    folder, _, name = static.inputFiles()[0].rpartition("/")  # the table is a file or a folder of files
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", name if name == "events.parquet" else "*.parquet").parquet(folder)
+    changes = stream.select(F.col("user_id").alias("signal"), micros("ts").alias("time"), F.col("event_id").alias("seq"), bit().alias("value"))
+    path = f"{shared_dir(spark)}/tracetide/stream-{uuid.uuid4().hex}"
+    return steps.run_available(steps.real_changes(changes), f"{path}/out", f"{path}/state")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
