@@ -65,6 +65,8 @@ def test_headers():
     assert split_name("a [7:-8]", 16) == ("a", 7, -8, []) and split_name("plain", 1) == ("plain", None, None, [])
     h = Header(HEAD.format(vars="$var event 1 ! e [0] $end\n$var event 1 # e [1] $end\n$var wire 1 % q [1] $end\n$var wire 1 & q [0] $end\n"))
     assert [(v["name"], v["msb"], v["lsb"]) for v in h.vars][-1] == ("q", 1, 0) and len(h.vars) == 3 and len(h.derived) == 2
+    inside = Header("$scope module v $end $var wire 1 ! v[2] $end $var wire 8 # v[3] $end $upscope $end $enddefinitions $end")
+    assert [(v["name"], v["path"]) for v in inside.vars] == [("v", ["v", "v"]), ("[3]", ["v", "[3]"])]
     twice = Header("$scope module tb $end $upscope $end $scope module tb $end $scope module $end $upscope $end $upscope $end $enddefinitions $end", True)
     assert [s["name"] for s in twice.scopes] == ["tb"]
     enum = Header('$attrbegin misc 07 swap_t 2 a b 00 01 1 $end $attrbegin misc 07 "" 1 $end $var wire 2 ! x $end $enddefinitions $end')

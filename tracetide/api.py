@@ -12,21 +12,38 @@ from pyspark.sql import functions as F
 
 from tracetide.operators.changelog import ChangeLog
 from tracetide.operators.derived import Derived, Extract
+from tracetide.sources.detect import file_format
+from tracetide.sources.fst import FstFiles
+from tracetide.sources.ghw import GhwFiles
+from tracetide.sources.saved import SavedWaves, is_saved
 from tracetide.sources.vcd import VcdFiles
 
 
+def open_waves(spark: SparkSession, path: str, flatten_unnamed: bool = False):
+    """The reader for a file's format; a folder that save() wrote is read as tables."""
+    if is_saved(spark, path):
+        return SavedWaves(spark, path)
+    kind = file_format(spark, path)
+    if kind == "ghw":
+        return GhwFiles(spark, path)
+    if kind == "fst":
+        return FstFiles(spark, path)
+    return VcdFiles(spark, path, flatten_unnamed)  # which names what is wrong with an unknown file
+
+
 class Waveform:
     """One waveform file. stream_only: signals cannot be addressed, only streamed."""
 
     def __init__(self, spark: SparkSession, path: str, flatten_unnamed: bool = False, stream_only: bool = False):
         self.spark, self.stream_only = spark, stream_only
-        self.source = VcdFiles(spark, path, flatten_unnamed)
+        self.source = open_waves(spark, path, flatten_unnamed)
         self._scopes = [Scope(self, r) for r in self.source.table("scopes").orderBy("scope_id").collect()]
         self._vars = [Var(self, r) for r in self.source.table("vars").orderBy("var_id").collect()]
         self._signals = {r.signal_id: r for r in self.source.table("signals").collect()}
         self._derived: dict[int, list] = {}
-        for r in self.source.table("derived").orderBy("signal_id", "pos").collect():
-            self._derived.setdefault(r.signal_id, []).append(r)
+        if isinstance(self.source, VcdFiles):
+            for r in self.source.table("derived").orderBy("signal_id", "pos").collect():
+                self._derived.setdefault(r.signal_id, []).append(r)
         self._meta = self.source.table("meta").first()
 
     date = property(lambda self: self._meta.date)

@@ -125,12 +125,20 @@ def timescale(exponent: Column) -> tuple[Column, Column]:
     return F.pow(F.lit(10), exponent - unit).cast("int"), F.coalesce(F.element_at(names, unit.cast("int")), F.lit("unknown"))
 
 
+# What stands after a backslash for one character.
+ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b", '"': '"', "'": "'", "\\": "\\", "?": "?"}
+PIECE = r"\\x[0-9A-Fa-f]{2}|\\[0-7]{3}|\\[abfnrtv\"'\\?]|[^\\]+|\\"
+
+
 def unescape(text: Column) -> Column:
-    """Backslash escapes of VCD strings that stand for one printable character."""
-    out = text
-    for escape, char in ((r"\\040", " "), (r"\\x20", " "), (r"\\t", "\t"), (r"\\n", "\n"), (r'\\"', '"')):
-        out = F.regexp_replace(out, escape, char)
-    return F.regexp_replace(out, r"\\\\", r"\\")
+    """Backslash escapes of VCD strings: two hexadecimal or three octal digits, or a letter; others stay as they are. Bytes are Latin-1."""
+    named = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def one(p: Column) -> Column:
+        code = F.when(p.rlike(r"^\\x[0-9A-Fa-f]{2}$"), F.conv(F.substring(p, 3, 2), 16, 10)).when(p.rlike(r"^\\[0-7]{3}$"), F.conv(F.substring(p, 2, 3), 8, 10))
+        return F.coalesce(F.chr(code.cast("int")), F.when(F.length(p) == 2, F.when(F.substring(p, 1, 1) == "\\", F.element_at(named, F.substring(p, 2, 1)))), p)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)" + PIECE), F.lit(0)), one), "")).otherwise(text)
 
 
 def scalar_name(name: Column) -> tuple[Column, Column, Column]:

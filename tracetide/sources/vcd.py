@@ -184,6 +184,8 @@ class Header:
         attributes = self._taken()
         name, msb, lsb, arrays = split_name(raw, width) if not raw.startswith("[") else (raw, None, None, [])
         parent = self._stack[-1]
+        if arrays and parent is not None and self.scopes[parent]["name"] == arrays[0]:
+            arrays = arrays[1:]  # elements declared inside their array's scope repeat its name
         for a in arrays:
             parent = self._open(parent, a, "sv_array", {})
         signal = self.signals.setdefault(code, {"signal_id": len(self.signals), "encoding": encoding, "width": width, "kind": "ground", "id_code": code})
