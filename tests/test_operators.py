@@ -66,6 +66,7 @@ def test_values(spark):
     assert one(values.get_bit(F.lit("100"), 2)) == "1" and one(values.get_bit(F.lit("100"), 3)) is None and one(values.set_bit(F.lit("100"), 0, "x")) == "10x"
     assert int(one(values.to_long(F.lit("1" * 70)))) == 2**64 - 1 and one(values.to_long(F.lit("1x"))) is None
     assert one(values.to_real(F.lit("1" * 60))) is None and one(values.to_real(F.lit("0" * 80 + "11"))) == 3.0
+    assert bytes(one(values.be_bytes(F.lit("1" * 70)))) == (2**70 - 1).to_bytes(9, "big") and one(values.be_bytes(F.lit("1x"))) is None
     assert [int(one(values.id_number(F.lit(c)))) for c in ("!", "#", "*", "c", "#%")] == [0, 2, 9, 66, 472]
     for text, want in ((r"foo\040bar", "foo bar"), (r"hex\x20space", "hex space"), (r"\12not", r"\12not"), (r"\\n\n", "\\n\n"), (r"\351\xE9", "éé"), (r"end\\", "end\\"), ("plain", "plain"), (r"\q\"", '\\q"')):
         assert one(values.unescape(F.lit(text))) == want, text

@@ -101,6 +101,11 @@ def test_objects(spark, tmp_path):
         w["top.none.x"]
     with pytest.raises(IndexError):
         s[7]
+    w.load_signals([out.signal_id])
+    assert len(out.signal) == 3 and w[out.signal_id] == [out]
+    w.unload_signals([out.signal_id])
+    assert sorted(r.time for r in w.source.changes(start=2, end=8).collect()) == [2, 6, 6, 8]
+    assert not w["top"].is_array and w["top"].source is None
     seen = []
     w.stream_changes(lambda t, i, v: seen.append((t, v)), ["top.out", "missing"])
     assert seen == [(0, "xx"), (2, 0), (6, 1), (8, 1)]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ class Waveform:
         self._scopes = [Scope(self, r) for r in self.source.table("scopes").orderBy("scope_id").collect()]
         self._vars = [Var(self, r) for r in self.source.table("vars").orderBy("var_id").collect()]
         self._signals = {r.signal_id: r for r in self.source.table("signals").collect()}
+        self._loaded: dict[int, DataFrame] = {}
         self._derived: dict[int, list] = {}
         if isinstance(self.source, VcdFiles):
             for r in self.source.table("derived").orderBy("signal_id", "pos").collect():
@@ -89,9 +91,26 @@ class Waveform:
         rest = name[len(best.name) :]
         return self._find(best.row.scope_id, rest[1:]) if isinstance(best, Scope) and rest else best
 
-    def __getitem__(self, name: str):
+    def __getitem__(self, name: str | int):
+        """A scope or variable by its full name; the variables of a signal by its id."""
+        if isinstance(name, int):
+            return [v for v in self._vars if v.row.signal_id == name]
         return self._find(None, name)
 
+    def load_signals(self, ids: list[int]) -> None:
+        """Keep the decoded changes of these signals, so that later questions do not read the file again."""
+        new = [i for i in ids if i not in self._loaded]
+        if new:
+            kept = self._decoded(new).persist(StorageLevel.MEMORY_AND_DISK)
+            self._loaded |= dict.fromkeys(new, kept)
+
+    def unload_signals(self, ids: list[int]) -> None:
+        """Forget them; the memory is free when none of the signals loaded together is left."""
+        for i in ids:
+            kept = self._loaded.pop(i, None)
+            if kept is not None and all(x is not kept for x in self._loaded.values()):
+                kept.unpersist()
+
     def log(self, signal_id: int) -> ChangeLog:
         if self.stream_only:
             raise RuntimeError("Cannot access signals in stream only mode")
@@ -102,9 +121,13 @@ class Waveform:
         return self._raw([signal_id]).dedup(F.lit(True) if self._signals[signal_id].encoding == "event" else None)
 
     def _raw(self, ids: list[int]) -> ChangeLog:
+        kept = self._loaded.get(ids[0]) if len(ids) == 1 else None
+        return ChangeLog(self._decoded(ids) if kept is None else kept.filter(F.col("signal") == ids[0]))
+
+    def _decoded(self, ids: list[int]) -> DataFrame:
         wanted = self.source.table("signals").filter(F.col("signal_id").isin(ids)).select("file", "signal_id")
         value = F.coalesce("bits", "str", F.col("real").cast("string"), F.lit(""))
-        return ChangeLog(self.source.changes(wanted).select(F.col("signal_id").alias("signal"), "time", "seq", value.alias("value")))
+        return self.source.changes(wanted).select(F.col("signal_id").alias("signal"), "time", "seq", value.alias("value"))
 
     def time_table(self) -> DataFrame:
         steps = self.source.steps()
@@ -150,6 +173,13 @@ class Scope:
         self.wave, self.row = wave, row
         self.name, self.full_name, self.scope_type = row.name, row.full_name, row.scope_type
 
+    is_array = property(lambda self: self.scope_type in ("sv_array", "vhdl_array"))
+    is_record = property(lambda self: self.scope_type in ("vhdl_record", "struct", "union"))
+    is_packed = property(lambda self: self.row.pack in ("packed", "tagged_packed"))
+    component = property(lambda self: self.row.component)
+    source = property(lambda self: None if self.row.decl_path is None else (self.row.decl_path, self.row.decl_line))
+    instance_source = property(lambda self: None if self.row.inst_path is None else (self.row.inst_path, self.row.inst_line))
+
     def scopes(self) -> list[Scope]:
         return [x for x in self.wave._items(self.row.scope_id) if isinstance(x, Scope)]
 

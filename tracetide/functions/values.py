@@ -107,6 +107,13 @@ def number_text(bits: Column) -> Column:
     return F.when(bits.rlike("^[01]{1,64}$"), to_long(bits).cast("string")).otherwise(bits)
 
 
+def be_bytes(bits: Column) -> Column:
+    """The bytes of a two-state vector of any width, the most significant first; null with other states."""
+    whole = F.lpad(bits, (F.floor((F.length(bits) + 7) / 8) * 8).cast("int"), F.lit("0"))
+    digits = F.transform(F.sequence(F.lit(1), F.length(whole), F.lit(4)), lambda i: F.conv(F.substring(whole, i, F.lit(4)), 2, 16))
+    return F.when(bits.rlike("^[01]+$"), F.unhex(F.array_join(digits, "")))
+
+
 def std_logic(index: Column) -> Column:
     """State of GHDL's code 0..8."""
     return F.translate(index.cast("string"), "012345678", STD_LOGIC)

@@ -407,8 +407,8 @@ class GhwFiles:
     def steps(self) -> DataFrame:
         return self.scalars().filter("element = 0").select("file", "time").distinct()
 
-    def changes(self, signals: DataFrame | None = None) -> DataFrame:
-        """(file, signal_id, time, seq, kind, bits, str, real): final values of each time step in which an element changed."""
+    def changes(self, signals: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+        """(file, signal_id, time, seq, kind, bits, str, real): final values of each time step in which an element changed. start and end are included."""
         elements = self.table("elements")
         if signals is not None:
             elements = elements.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
@@ -425,7 +425,10 @@ class GhwFiles:
         vector = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bit"))), lambda x: x["bit"]), "")
         vectors = held.groupBy("file", "signal_id", "time").agg(F.max("seq").alias("seq"), vector.alias("bits")).withColumn("real", F.lit(None).cast("double"))
         kind = F.when(F.col("real").isNotNull(), 3).otherwise(1).cast("tinyint")
-        return single.unionByName(vectors).select("file", "signal_id", "time", "seq", kind.alias("kind"), "bits", F.lit(None).cast("string").alias("str"), "real")
+        out = single.unionByName(vectors).select("file", "signal_id", "time", "seq", kind.alias("kind"), "bits", F.lit(None).cast("string").alias("str"), "real")
+        if start is not None:
+            out = out.filter(F.col("time") >= start)
+        return out if end is None else out.filter(F.col("time") <= end)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

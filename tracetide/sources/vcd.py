@@ -316,10 +316,17 @@ class VcdFiles:
         tokens = self._tokens()
         return self._accepted(tokens).filter("kept").select("file", "time").distinct()
 
-    def changes(self, signals: DataFrame | None = None) -> DataFrame:
-        """(file, signal_id, time, seq, kind, bits, str, real), in file order by seq; of all ground signals or of (file, signal_id) given."""
+    def changes(self, signals: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+        """(file, signal_id, time, seq, kind, bits, str, real), in file order by seq; of all ground signals or of (file, signal_id) given.
+
+        start and end are included; they drop tokens before these are decoded.
+        """
         tokens = self._tokens()
         kept = self._accepted(tokens).filter("kept").drop("kept")
+        if start is not None:
+            tokens = tokens.filter(F.col("time") >= start)
+        if end is not None:
+            tokens = tokens.filter(F.col("time") <= end)
         letter = F.lower(F.substring("token", 1, 1))
         long = letter.isin("b", "r", "s")
         known = F.col("token").startswith("$")
