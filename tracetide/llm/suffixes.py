@@ -284,18 +284,33 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 2
                     start, anchor, count = start + step, anchor - step, np.where(warm, 1, count)
                 begin = offsets[row] + start
                 contents = [data[a:z].tobytes() for a, z in zip(begin.tolist(), (begin + count + (length - 1)).tolist(), strict=True)]
-                # a run of which the task has sent an equal one that starts earlier travels without its bytes
+                # a run of which the task has sent an equal one that starts earlier is settled: what such
+                # runs cover travels as spans, by document, so that a hot digit's task does not see them
                 for i, mine in enumerate(zip(ids[row].tolist(), keys[row].tolist(), start.tolist(), strict=True)):
                     sent = earliest.get(contents[i])
                     if sent is None or mine < sent:
                         earliest[contents[i]] = mine
                     elif mine > sent:
                         contents[i] = None
+                known = np.array([c is None for c in contents], bool)
+                if known.any():
+                    at, a, z = (x[known] for x in (row, start, start + count + (length - 1)))
+                    a, z = _merge(a + (at << 40), z + (at << 40))
+                    at, a, z = a >> 40, a & ((1 << 40) - 1), z & ((1 << 40) - 1)
+                    none = np.zeros(len(at), np.int64)
+                    yield batch(keys[at].view(np.uint64) % np.uint64(buckets), none, ids[at], keys[at], a, z - a - (length - 1), none, pa.nulls(len(at), pa.binary()))
+                row, start, count, anchor, digit, warm = (x[~known] for x in (row, start, count, anchor, digit, warm))
+                contents = [c for c in contents if c is not None]
                 bucket = digit % np.uint64(buckets)
                 if warm.any():
-                    mix = np.fromiter((hash_bytes(c) if w and c else 0 for c, w in zip(contents, warm.tolist(), strict=True)), np.uint64, len(contents))
+                    mix = np.fromiter((hash_bytes(c) if w else 0 for c, w in zip(contents, warm.tolist(), strict=True)), np.uint64, len(contents))
                     bucket = np.where(warm, mix % np.uint64(buckets), bucket)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(digit.view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(contents, pa.binary())], [c.split()[0] for c in RUNS.split(", ")])
+                yield batch(bucket, digit.view(np.int64), ids[row], keys[row], start, count, anchor, pa.array(contents, pa.binary()))
+
+    def batch(bucket: np.ndarray, digit: np.ndarray, *columns) -> pa.RecordBatch:
+        *numbers, content = columns
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x).astype(np.int64)).cast(k) for x, k in zip((bucket, digit, *numbers), kinds, strict=True)), content], [c.split()[0] for c in RUNS.split(", ")])
 
     def settle(key: tuple, group: pa.Table) -> pa.Table:
         number = lambda c: group.column(c).to_numpy()
