@@ -132,7 +132,11 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets: int) -> DataFrame:
-    """(key, start, hot) of the runs whose digit occurs in more than one run. keyed: key, text."""
+    """(key, start, hot) of the runs whose digit occurs in more than one run. keyed: key, text.
+
+    Within a bucket 32 bits tell digits apart; two that agree in them are taken for repeated,
+    which later passes put right.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -141,7 +145,7 @@ def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets:
         def send() -> Iterator[pa.RecordBatch]:
             key, start, digit = (np.concatenate(x) for x in zip(*held, strict=True))
             parts = list(_by_bucket((digit % np.uint64(buckets)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), *(pa.array([x[w].tobytes() for _, w in parts], pa.binary()) for x in (digit, key, start.astype(np.int32)))], ["bucket", "digit", "key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), *(pa.array([x[w].tobytes() for _, w in parts], pa.binary()) for x in ((digit // np.uint64(buckets)).astype(np.uint32), key, start.astype(np.int32)))], ["bucket", "digit", "key", "start"])
 
         for b in batches:
             key = b.column(0).to_numpy(zero_copy_only=False)
@@ -156,7 +160,7 @@ def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets:
             yield from send()
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
-        digit, owner, start = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("digit", np.uint64), ("key", np.int64), ("start", np.int32)))
+        digit, owner, start = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("digit", np.uint32), ("key", np.int64), ("start", np.int32)))
         order = np.argsort(digit)
         sorted_digit = digit[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_digit[1:] != sorted_digit[:-1]]))
