@@ -120,6 +120,19 @@ FROM dw LEFT JOIN pos ON dw.doc_id IS NOT DISTINCT FROM pos.doc_id AND dw.text =
 """
 
 
+OP8_SQL = """
+WITH h AS (SELECT DISTINCT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS win FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM h WHERE n >= 100)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM late),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM edge) GROUP BY doc_id, run),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM span UNION ALL SELECT doc_id, max(b), 1000000000 FROM span GROUP BY doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS kx FROM gap JOIN h USING (doc_id) GROUP BY gap.doc_id),
+cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kx, x))) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = """
 SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_rows
 FROM documents GROUP BY ALL
@@ -127,4 +140,4 @@ FROM documents GROUP BY ALL
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op9_sharding": OP9_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op8_suffixes": OP8_SQL, "op9_sharding": OP9_SQL}
