@@ -23,7 +23,7 @@ def test_round_trip_against_tokenizers(spark):
     r = random.Random(2)
     chars = "abc  \t\n\r  déß€😀's 12 <|endoftext|>!? 　 \x1c\x85"
     rows = [(i, "".join(r.choice(chars) for _ in range(r.randint(0, 3000)))) for i in range(80)]
-    rows += [(100, None), (101, ""), (102, "a <|endoftext|> b"), (103, "x" * 20_000), (104, "it's " * 3000), (104, "it's " * 3000), (None, "no id")]
+    rows += [(100, None), (101, ""), (102, "a <|endoftext|> b"), (103, "x" * 20_000), (105, "a" + " " * 6000 + "b" + "\n" * 6000 + "<|endoftext|>" + "\u3000" * 6000), (106, "\t" * 5000 + " it's"), (104, "it's " * 3000), (104, "it's " * 3000), (None, "no id")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, length int").repartition(3)
     pieces = packing.pack(df, PATH).collect()
     t = Tokenizer.from_file(PATH)
@@ -47,6 +47,13 @@ def test_round_trip_against_tokenizers(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_white_space_beyond_what_the_pattern_can_look_over():
+    t, own = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    for text in ("a" + " " * 200_000 + "b", "\n" * 150_000 + "\t x" + " " * 150_000, "12" + " \n" * 100_000 + "<|endoftext|>" + " " * 100_000 + "y"):
+        assert own.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(own.ids(" " * 3_000_000 + "x")) > 1000
+
+
 def test_vectors_do_not_depend_on_blocks(monkeypatch):
     texts = [b"some words here", b"", b" lead and trail ", b"x" * 50]
     data = np.frombuffer(b"".join(texts), np.uint8)

@@ -16,6 +16,7 @@ one by one like any others; a null id is packed first.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,10 +38,40 @@ BLOCK = 1 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space that the pattern's engine cannot look ahead over is cut out; the class is Unicode's White_Space.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
+
+
+class Encoder:
+    """A fast encoder with the vocabulary, merges and special tokens of a byte-level BPE file of `tokenizers`.
+
+    A long run of white space is one piece by the pattern, without its last
+    character where a word follows; it is encoded as one piece here, so that the
+    pattern never looks ahead over it.
+    """
+
+    def __init__(self, name: str, ranks: dict[bytes, int], special: dict[str, int]):
+        import tiktoken
+
+        self.special = set(special)
+        self.plain = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.piece = tiktoken.Encoding(f"{name} whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        parts, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            ends_part = run.end() == len(text) or any(text.startswith(s, run.end()) for s in self.special)
+            end = run.end() - (not ends_part)
+            parts += [self.plain.encode_to_numpy(text[at : run.start()], allowed_special=self.special), self.piece.encode_to_numpy(text[run.start() : end], allowed_special=set())]
+            at = end
+        rest = self.plain.encode_to_numpy(text[at:], allowed_special=self.special)
+        return np.concatenate([*parts, rest]) if parts else rest
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """A fast encoder with the vocabulary, merges and special tokens of a byte-level BPE file of `tokenizers`."""
-    import tiktoken
+def encoder(path: str) -> Encoder:
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -48,7 +79,7 @@ def encoder(path: str):
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return Encoder(path, ranks, special)
 
 
 def vectors(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -167,7 +198,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        special = encode.special_tokens_set
         packer = Packer(length, TaskContext.get().partitionId() << 40)
 
         def send(kind: pa.DataType) -> pa.RecordBatch:
@@ -178,8 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         for b in batches:
             kind = b.column(0).type
             for doc, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                ids = encode.encode_to_numpy(t.decode(), allowed_special=special) if t else np.zeros(0, np.uint32)
-                packer.add(doc, np.append(ids.astype("<u4"), np.array([separator], "<u4")))
+                packer.add(doc, np.append(encode.ids(t.decode()).astype("<u4"), np.array([separator], "<u4")))
             yield send(kind)
         if kind is not None:
             packer.finish()
