@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracetide.builder import Encoder, HierarchyBuilder
 from tracetide.functions import values
-from tracetide.operators.changelog import ChangeLog, accepted_steps
+from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, undelta_times
 from tracetide.operators.derived import Derived, Extract
 from tracetide.streaming import steps
 
@@ -59,6 +59,32 @@ def test_derived(spark):
     assert sorted(map(tuple, d.evaluate(log).collect())) == [(0, "010x"), (2, "0101"), (5, "1101")]
 
 
+@pytest.mark.parametrize("slices", [1, 5])
+def test_derived_against_brute_force(spark, slices):
+    r = random.Random(4)
+    rows = [(r.choice([1, 2, 3]), t // 2, t, f"{r.randint(0, 3):02b}") for t in range(20, 200)]
+    log = ChangeLog(spark.createDataFrame(rows, "signal long, time long, seq long, value string"), slices=slices)
+    held, by_time = {}, {}
+    for s, t, _, v in rows:
+        held[s] = v
+        by_time[t] = held.get(1, "xx") + held.get(2, "xx")[1]
+    want, last = [], None
+    for t, v in sorted(by_time.items()):
+        if v != last:
+            want.append((t, v))
+        last = v
+    assert sorted(map(tuple, Derived([Extract(1, 1, 0), Extract(2, 0, 0)]).evaluate(log).collect())) == want
+
+
+def test_delta_round_trip(spark):
+    times = sorted(random.Random(5).sample(range(10_000), 500))
+    df = delta_times(spark.createDataFrame([(t,) for t in times], "time long"))
+    assert [r.delta for r in df.orderBy("time_idx").collect()] == [b - a for a, b in zip([0, *times], times)]
+    back = undelta_times(df.drop("time"), "time_idx", span=7)
+    assert [(r.time_idx, r.time) for r in back.orderBy("time_idx").collect()] == list(enumerate(times))
+    assert delta_times(df.select("time").limit(0)).count() == 0
+
+
 def test_values(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(values.extend(F.lit("z1"), 4)) == "zzz1" and one(values.extend(F.lit("h1"), 4)) is None

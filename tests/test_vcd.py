@@ -103,6 +103,10 @@ def test_objects(spark, tmp_path):
         s[7]
     w.load_signals([out.signal_id])
     assert len(out.signal) == 3 and w[out.signal_id] == [out]
+    assert len(w.get_signal(out.signal_id)) == 3 and w.get_signal(out.signal_id + 1) is None
+    assert s.offset(1) == (0, 1, False, 2) and s.offset(6) == (6, 1, True, None) and s.offset(-1) is None
+    assert s.values_at(6) == [1] and s.first_time() == 0 and s.max_states() == 1
+    assert {r.signal: r.n_changes for r in w.statistics().collect()}[out.signal_id] == 4
     w.unload_signals([out.signal_id])
     assert sorted(r.time for r in w.source.changes(start=2, end=8).collect()) == [2, 6, 6, 8]
     assert not w["top"].is_array and w["top"].source is None

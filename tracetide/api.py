@@ -6,11 +6,13 @@ Only catalogs and the rows that a caller asks for reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracetide.functions import values
 from tracetide.operators.changelog import ChangeLog
 from tracetide.operators.derived import Derived, Extract
 from tracetide.sources.detect import file_format
@@ -104,6 +106,14 @@ class Waveform:
             kept = self._decoded(new).persist(StorageLevel.MEMORY_AND_DISK)
             self._loaded |= dict.fromkeys(new, kept)
 
+    def get_signal(self, signal_id: int) -> Signal | None:
+        """A signal that load_signals keeps; None for others."""
+        return Signal(self, signal_id) if signal_id in self._loaded else None
+
+    def statistics(self) -> DataFrame:
+        """(signal, n_changes, n_times, n_bytes, widest) of all ground signals."""
+        return self._raw([i for i in self._signals if i not in self._derived]).statistics()
+
     def unload_signals(self, ids: list[int]) -> None:
         """Forget them; the memory is free when none of the signals loaded together is left."""
         for i in ids:
@@ -168,12 +178,22 @@ class Waveform:
         return int(text, 2) if encoding == "bits" and not set(text) - set("01") else text
 
 
+class Offset(NamedTuple):
+    start_time: int
+    elements: int
+    time_match: bool
+    next_time: int | None
+
+
 class Scope:
     def __init__(self, wave: Waveform, row):
         self.wave, self.row = wave, row
         self.name, self.full_name, self.scope_type = row.name, row.full_name, row.scope_type
 
     is_array = property(lambda self: self.scope_type in ("sv_array", "vhdl_array"))
+    is_packed_array = property(lambda self: self.is_array and self.is_packed)
+    is_unpacked_array = property(lambda self: self.is_array and not self.is_packed)
+    is_packed_record = property(lambda self: self.is_record and self.is_packed)
     is_record = property(lambda self: self.scope_type in ("vhdl_record", "struct", "union"))
     is_packed = property(lambda self: self.row.pack in ("packed", "tagged_packed"))
     component = property(lambda self: self.row.component)
@@ -261,6 +281,26 @@ class Signal:
         r = self.log.snapshot(time).first()
         return None if r is None else self._value(r.value)
 
+    def offset(self, time: int) -> Offset | None:
+        """The last change at or before a time, with the number of changes there and the time of the next; None before the first."""
+        probe = self.wave.spark.range(1).select(F.lit(self.signal_id).alias("signal"), F.lit(time).alias("time"))
+        log = ChangeLog(self.log.df.withColumn("signal", F.lit(self.signal_id)))
+        r = log.offsets(probe).first()
+        return None if r.start_time is None else Offset(r.start_time, r.elements, r.time_match, r.next_time)
+
+    def values_at(self, time: int) -> list:
+        """All values of a change's time, in order: more than one where the signal changed several times in no time."""
+        rows = self.log.df.filter(F.col("time") == time).orderBy("seq").collect()
+        return [self._value(r.value) for r in rows]
+
+    def first_time(self) -> int | None:
+        r = self.log.first_times().first()
+        return None if r is None else r.first_time
+
+    def max_states(self) -> int:
+        """The smallest number system of all values: 0 two states, 1 four, 2 nine."""
+        return self.log.df.agg(values.states_of_set(F.col("value")).alias("n")).first().n
+
     def __len__(self) -> int:
         return self.log.df.count()
 

@@ -36,7 +36,7 @@ class ChangeLog:
 
     # Slices
 
-    def _slot(self, df: DataFrame) -> Column:
+    def slot_of(self, df: DataFrame) -> Column:
         """The slice of a time: the number of boundaries at or below it."""
         if self.slices <= 1:
             return F.lit(0)
@@ -77,7 +77,7 @@ class ChangeLog:
         same = F.col("previous").isNotNull() & same
         df = self.df.withColumn("entry", F.struct("value"))
         if self.slices > 1:
-            df = df.withColumn("slot", self._slot(df))
+            df = df.withColumn("slot", self.slot_of(df))
             last = self._carried(df).withColumnRenamed("slot", "after")
             # the last entry before a slice: the latest of all earlier slices
             slots = df.groupBy("signal", "slot").agg(F.lit(1).alias("one")).drop("one")
@@ -101,11 +101,7 @@ class ChangeLog:
         times = self.times() if steps is None else steps.select("time").distinct()
         if not distributed:
             return times.select((F.row_number().over(Window.orderBy("time")) - 1).cast("long").alias("time_idx"), "time")
-        sorted_times = materialize(times.repartitionByRange("time").sortWithinPartitions("time").withColumn("at", F.monotonically_increasing_id()), "times")
-        part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-        sizes = sorted_times.groupBy(part.alias("part")).count()  # a row for each range
-        before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-        return sorted_times.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + row).alias("time_idx"), "time")
+        return numbered(times, "time", "time_idx").select("time_idx", "time")
 
     def span(self) -> DataFrame:
         return self.df.agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.countDistinct("time").alias("n_times"), F.count("*").alias("n_changes"))
@@ -139,7 +135,7 @@ class ChangeLog:
         both = change.unionByName(probe)
         order = ["time", "side", "seq"]
         if self.slices > 1:
-            both = both.withColumn("slot", self._slot(self.df))
+            both = both.withColumn("slot", self.slot_of(self.df))
             last = self._carried(both.filter("side = 0")).withColumnRenamed("slot", "after")
             slots = both.select("signal", "slot").distinct()
             before = slots.join(last, "signal", "left").filter("after <= slot").groupBy("signal", "slot").agg(F.max_by("last", "after").alias("carried"))
@@ -217,6 +213,15 @@ class ChangeLog:
         return self.df.groupBy("signal").agg(F.count("*").alias("n_changes"), F.countDistinct("time").alias("n_times"), F.sum(size).alias("n_bytes"), F.max(size).alias("widest"))
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its place in the order, from 0; a range of the order is a task, and adds the sizes of those before it."""
+    at = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = at.groupBy(part.alias("__part")).count()  # a row for each range
+    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    return at.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + row).select(*df.columns, name)
+
+
 def accepted_steps(steps: DataFrame, time: str = "time", seq: str = "seq", within: list[str] | None = None) -> DataFrame:
     """Steps in file order without those that go back in time.
 
@@ -234,10 +239,16 @@ def accepted_steps(steps: DataFrame, time: str = "time", seq: str = "seq", withi
 
 
 def delta_times(times: DataFrame) -> DataFrame:
-    """(time, delta): each time less the one before it; the first as it is."""
-    w = Window.orderBy("time")
-    return times.select("time", (F.col("time") - F.coalesce(F.lag("time").over(w), F.lit(0))).alias("delta"))
-
-
-def undelta_times(deltas: DataFrame, order: str) -> DataFrame:
-    return deltas.withColumn("time", F.sum("delta").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """(time_idx, time, delta) of distinct times: each time less the one before it; the first as it is."""
+    at = materialize(numbered(times.select("time"), "time", "time_idx"), "times")
+    before = at.select((F.col("time_idx") + 1).alias("time_idx"), F.col("time").alias("before"))
+    return at.join(before, "time_idx", "left").select("time_idx", "time", (F.col("time") - F.coalesce("before", F.lit(0))).alias("delta"))
+
+
+def undelta_times(deltas: DataFrame, order: str, span: int = 1 << 16) -> DataFrame:
+    """deltas with their running sum as time; order: positions from 0. Sums run within spans of positions, and over a row for each span."""
+    spans = F.floor(F.col(order) / span)
+    sums = deltas.groupBy(spans.alias("__span")).agg(F.sum("delta").alias("sum"))
+    lead = sums.select("__span", (F.sum("sum").over(Window.orderBy("__span")) - F.col("sum")).alias("__lead"))
+    own = F.sum("delta").over(Window.partitionBy("__span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return deltas.withColumn("__span", spans).withColumn("__own", own).join(F.broadcast(lead), "__span").select(*deltas.columns, (F.col("__lead") + F.col("__own")).alias("time"))

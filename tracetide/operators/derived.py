@@ -55,15 +55,24 @@ class Derived:
         return list(dict.fromkeys(p.signal for p in self.parts))
 
     def evaluate(self, log: ChangeLog) -> DataFrame:
-        """(time, value) wherever the output changes; inputs without a value yet are x. At one time final values count."""
+        """(time, value) wherever the output changes; inputs without a value yet are x. At one time final values count.
+
+        With log.slices over 1 the times are cut into that many parts; the inputs' last
+        values before a part come from a table with a row for each part.
+        """
         signals = self.inputs()
         last = log.only(signals).steps()
         wide = last.groupBy("time").pivot("signal", signals).agg(F.first("value"))
-        w = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-        held = wide.select("time", *[F.last(F.col(f"`{s}`"), ignorenulls=True).over(w).alias(f"in{i}") for i, s in enumerate(signals)])
+        inputs = [f"in{i}" for i in range(len(signals))]
+        held = wide.select("time", log.slot_of(wide).alias("slot"), *[F.col(f"`{s}`").alias(c) for c, s in zip(inputs, signals, strict=True)])
+        ends = held.groupBy("slot").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("time"))).alias(c) for c in inputs])
+        earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each part
+        ends = ends.select("slot", *[F.last(c, ignorenulls=True).over(earlier).alias(f"{c}_before") for c in inputs])
+        w = Window.partitionBy("slot").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+        held = held.join(F.broadcast(ends), "slot").select("time", *[F.coalesce(F.last(c, ignorenulls=True).over(w), f"{c}_before").alias(c) for c in inputs])
         parts = [F.coalesce(values.slice_bits(F.col(f"in{signals.index(p.signal)}"), p.msb, p.lsb), F.lit("x" * p.width)) for p in self.parts]
         out = held.select(F.lit(0).alias("signal"), "time", F.lit(0).alias("seq"), values.concat_bits(*parts).alias("value"))
-        return ChangeLog(out).dedup().df.select("time", "value")
+        return ChangeLog(out, slices=log.slices).dedup().df.select("time", "value")
 
 
 def merge_keyed(left: ChangeLog, right: ChangeLog, left_width: int, right_width: int) -> ChangeLog:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracetide.builder import Encoder, HierarchyBuilder
 from tracetide.functions import values
 from tracetide.operators import derived, hierarchy
-from tracetide.operators.changelog import ChangeLog, accepted_steps
+from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, numbered, undelta_times
 from tracetide.sources.detect import file_format
 from tracetide.sources.vcd import VcdFiles
 from tracetide.storage import shared_dir
@@ -252,8 +252,8 @@ def q22_full_name(spark, d):
 
 @query(f"{HP} SELECT id, row_number() OVER (ORDER BY key || '~') AS place FROM w")
 def q23_all_items(spark, d):
-    walked = hierarchy.post_order(tree(spark, d))
-    return walked.select("id", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))
+    walked = numbered(hierarchy.post_order(tree(spark, d)).select("id", "key"), "key", "place")
+    return walked.select("id", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {H} SELECT id, name, kind FROM h WHERE parent_id = 2")
@@ -370,6 +370,17 @@ def q35_derived_merge(spark, d):
     return derived.merge_keyed(left, right, 1, 2).df.select("signal", "time", "value")
 
 
+@query("""WITH s AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS k, epoch_us(l_shipdate) AS time, arg_max(CASE WHEN l_quantity > 25 THEN '10' ELSE '01' END, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS v FROM lineitem GROUP BY ALL),
+m AS (SELECT time, max(v) FILTER (k = 0) AS l, max(v) FILTER (k = 1) AS r FROM s GROUP BY time),
+c AS (SELECT time, coalesce(last_value(l IGNORE NULLS) OVER w, 'xx') || substr(coalesce(last_value(r IGNORE NULLS) OVER w, 'xx'), 2, 1) AS value FROM m WINDOW w AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT time, value FROM (SELECT *, lag(value) OVER (ORDER BY time) AS p FROM c) WHERE value IS DISTINCT FROM p""")
+def q35_derived_sliced(spark, d):
+    """A concatenation of two signals with many changes each, evaluated in parts of time."""
+    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    log = ChangeLog(table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(1).alias("signal"), micros("l_shipdate").alias("time"), seq.alias("seq"), F.when(F.col("l_quantity") > 25, "10").otherwise("01").alias("value")), slices=6)
+    return derived.Derived([derived.Extract(0, 1, 0), derived.Extract(1, 0, 0)]).evaluate(log)
+
+
 NINE = "translate(substr(p_type, 1, 3) || CASE WHEN p_size % 2 = 0 THEN '01' ELSE 'X' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01xz01xzhu01xz01xzwl-01xz0')"
 
 
@@ -454,10 +465,12 @@ def q46_signal_diff(spark, d):
 
 @query("SELECT time, time - coalesce(lag(time) OVER (ORDER BY time), 0) AS delta FROM (SELECT DISTINCT epoch_us(ts) AS time FROM events)")
 def q47_delta_encode(spark, d):
-    log = events(spark, d)
-    table_ = log.time_table()
-    before = table_.select((F.col("time_idx") + 1).alias("time_idx"), F.col("time").alias("before"))
-    return table_.join(before, "time_idx", "left").select("time", (F.col("time") - F.coalesce("before", F.lit(0))).alias("delta"))
+    return delta_times(events(spark, d).times()).select("time", "delta")
+
+
+@query("SELECT DISTINCT epoch_us(ts) AS time FROM events")
+def q47_delta_round_trip(spark, d):
+    return undelta_times(delta_times(events(spark, d).times()).drop("time"), "time_idx", span=100).select("time")
 
 
 @query("SELECT o_custkey AS signal, count(*) AS n_changes, count(DISTINCT epoch_us(o_orderdate)) AS n_times, CAST(sum(strlen(o_orderstatus)) AS BIGINT) AS n_bytes, max(strlen(o_orderstatus)) AS widest FROM orders GROUP BY o_custkey")
