@@ -56,6 +56,19 @@ def test_recall_and_exact_scores(spark, block):
     assert [i for i, _ in got[3]] == [2000, 2001, 2002, 2003, 2004]
 
 
+def test_recall_with_two_hashes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(6000, 64)))]
+    assert cp.hashes_for(len(rows), 64, 4) == 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = result(cp.search(df, df.filter("vec_id % 100 = 0"), bucket=4))
+    x = cp._units(np.array([v for _, v in rows]))
+    s = x[::100] @ x.T
+    s[np.arange(60), np.arange(0, 6000, 100)] = -2
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len({i for i, _ in got[100 * q]} & set(want[q].tolist())) for q in range(60)) >= 0.9 * 5 * 60
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [1e300, 1e299]), (100, [1.0, 0.0])]

@@ -3,7 +3,8 @@
 Each table applies `hashes` pseudo-rotations (three rounds of random signs and a
 fast Hadamard transform) and assigns a unit vector to the nearest signed axis of
 each. Vectors go to one bucket per table; a query probes the `probes` buckets
-(to the power of `hashes`) whose axes are nearest. Queries meet the vectors of a bucket in one group, where
+(times 4 * `probes` for each further hash, which keeps the recall of one hash)
+whose axes are nearest. Queries meet the vectors of a bucket in one group, where
 cosines are computed in double precision on the original vectors, and each group
 returns only a query's best `k`. The number of hashes grows with the table, so
 that buckets keep about the same size. Buckets over `block` rows are split among
@@ -68,8 +69,10 @@ class Hashes:
             if buckets is None:
                 buckets, cost = axes, penalty
             else:
-                buckets = (buckets[:, :, None] * signed.shape[1] + axes[:, None, :]).reshape(len(x), -1)
-                cost = (cost[:, :, None] + penalty[:, None, :]).reshape(len(x), -1)
+                # both are sorted: at least (i + 1) * (j + 1) pairs cost no more than the pair (i, j)
+                i, j = np.nonzero(np.outer(np.arange(1, cost.shape[1] + 1), np.arange(1, m + 1)) <= count)
+                buckets = buckets[:, i] * signed.shape[1] + axes[:, j]
+                cost = cost[:, i] + penalty[:, j]
                 best = np.argsort(cost, axis=1, kind="stable")[:, :count]
                 buckets, cost = (np.take_along_axis(v, best, axis=1) for v in (buckets, cost))
         return buckets
@@ -83,6 +86,11 @@ def hashes_for(rows: int, dim: int, bucket: int = 1024) -> int:
     return n
 
 
+def probes_for(probes: int, hashes: int) -> int:
+    """Buckets a query probes in a table: further hashes split near vectors too, so probes**hashes would lose a fifth of them."""
+    return probes * (4 * probes) ** (hashes - 1)
+
+
 def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) for each length of vector."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -131,11 +139,16 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
 
+#: Rows sent on at a time, which bounds memory when a query probes many buckets.
+SENT_ROWS = 1 << 16
 SENT = "tbl int, bucket bigint, part int, query boolean, ids array<bigint>, v {v}"
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = 10, probes: int = 8, block: int = 1024, seed: int = 11) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of `vectors` for each row of `queries`."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = 10, probes: int = 8, block: int = 1024, seed: int = 11, bucket: int = 1024) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of `vectors` for each row of `queries`.
+
+    bucket: rows per bucket from which on a table gets one more hash.
+    """
     rows = usable(vectors, vec_id, embedding)
     kind = rows.schema["v"].dataType.simpleString()
     numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
@@ -148,13 +161,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
             for b in filter(len, batches):
                 for r, x in _matrix(b.column(1)):
                     dim = x.shape[1]
-                    h, u = Hashes(dim, tables, hashes_for(count, dim), seed), _units(x)
-                    for t in range(tables):
-                        found = h.probes(u, t, probes**h.hashes if is_query else 1)
-                        at = pa.array(np.repeat(r, found.shape[1]))
+                    h, u = Hashes(dim, tables, hashes_for(count, dim, bucket), seed), _units(x)
+                    wanted = probes_for(probes, h.hashes) if is_query else 1
+                    step = max(1, SENT_ROWS // wanted)
+                    for t, k in ((t, k) for t in range(tables) for k in range(0, len(r), step)):
+                        found = h.probes(u[k : k + step], t, wanted)
+                        at = pa.array(np.repeat(r[k : k + step], found.shape[1]))
                         n = len(at)
-                        bucket = found.ravel() * 65_536 + dim  # lengths do not share buckets
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(bucket), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, is_query)), b.column(0).take(at), b.column(1).take(at)], ["tbl", "bucket", "part", "query", "ids", "v"])
+                        place = found.ravel() * 65_536 + dim  # lengths do not share buckets
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(place), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, is_query)), b.column(0).take(at), b.column(1).take(at)], ["tbl", "bucket", "part", "query", "ids", "v"])
 
         return send
 
