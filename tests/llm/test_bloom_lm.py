@@ -56,3 +56,12 @@ def test_scores_against_brute_force(spark):
         better += x.score > x.base_score
     assert len(got[403]) == 2 and sum(map(len, got.values())) == len(rows)
     assert bloom_lm.score(df.limit(0), held).count() == 0
+
+
+def test_a_filter_over_the_broadcast_bound_loses_no_pairs(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(0, 80))) or None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    whole, asked = (sorted(map(tuple, bloom_lm.score(df, held, filter_bytes=n, batch_bytes=2000).collect())) for n in (128 << 20, 4096))
+    assert asked == whole

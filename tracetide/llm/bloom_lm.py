@@ -4,10 +4,10 @@ Training tokens are counted in two kinds: words exactly, word pairs in a Bloom
 filter that holds the quantised count of each: a pair seen c times is entered
 under the levels 1 .. 1 + floor(log2 c), and a probe asks for level after level
 until one is missing. The filter is built in segments, one for each bucket of
-pairs, each bounded by `filter_bytes / buckets`; a bucket whose pairs would not
-fit enters only those from a higher count on. Its size is therefore bounded by
-the parameter, and it is broadcast. Word counts grow with the corpus and are not
-broadcast: each batch of documents asks the buckets for the counts of its words.
+pairs, and holds all pairs at every size. Up to `filter_bytes` it is broadcast;
+beyond, its segments stay a table. Word counts grow with the corpus and are not
+broadcast: each batch of documents asks the buckets for the counts of its words,
+and beyond `filter_bytes` for the levels of its pairs.
 
 The probability of a word after another interpolates the pair's share, from the
 filter, with the add-one share of the word. A text's first word follows a begin
@@ -110,32 +110,38 @@ def segment(bucket: int, remainder: np.ndarray, counts: np.ndarray, least: int,
 
 
 class Filter:
-    """All segments; level() finds the quantised counts of pairs."""
+    """Segments of the buckets from `first` on; level() finds the quantised counts of pairs."""
 
-    def __init__(self, data: bytes, sizes: list[int], bits: int):
-        self.bits = bits
+    def __init__(self, data: bytes, sizes: list[int], bits: int, first: int = 0):
+        self.bits, self.first = bits, first
         self.data = np.frombuffer(data, np.uint8)
         sizes = np.array(sizes, np.uint64)
         self.size, self.begin = sizes * np.uint64(8), (np.cumsum(sizes) - sizes) * np.uint64(8)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        bucket, remainder = (keys >> np.uint64(64 - self.bits)).astype(np.int64), _remainder(keys, self.bits)
-        found, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        return self.levels((keys >> np.uint64(64 - self.bits)).astype(np.int64), _remainder(keys, self.bits))
+
+    def levels(self, bucket: np.ndarray, remainder: np.ndarray) -> np.ndarray:
+        found, alive, level = np.zeros(len(bucket), np.int64), np.arange(len(bucket)), 0
         while len(alive):
             level += 1
             b = bucket[alive]
+            own = b - self.first
             ok = np.ones(len(alive), bool)
-            for at in _places(b, remainder[alive], level, self.size[b]):
-                at = self.begin[b] + at
+            for at in _places(b, remainder[alive], level, self.size[own]):
+                at = self.begin[own] + at
                 ok &= (self.data[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
             alive = alive[ok]
             found[alive] = level
         return found
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The geometric middle of the level's counts; 0 for pairs that are not held."""
-        level = self.level(keys)
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)))
+        return middles(self.level(keys))
+
+
+def middles(level: np.ndarray) -> np.ndarray:
+    """The geometric middle of the level's counts; 0 for pairs that are not held."""
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)))
 
 
 def text_scores(h: np.ndarray, sizes: np.ndarray, count: np.ndarray, before: np.ndarray, total: int, distinct: int, pair_counts: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +157,7 @@ def text_scores(h: np.ndarray, sizes: np.ndarray, count: np.ndarray, before: np.
 def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "text", weight: float = 0.4, least: int = 1, bits_each: int = 8, filter_bytes: int = 128 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learnt from rows that are not held out.
 
-    is_held_out: a boolean column. least: pairs seen less often are not entered. filter_bytes bounds the broadcast.
+    is_held_out: a boolean column. least: pairs seen less often are not entered. filter_bytes bounds the broadcast, not the filter.
     """
     require(docs, doc_id, text)
     spark = docs.sparkSession
@@ -192,24 +198,34 @@ def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "tex
         w, wc, g, gc = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("w", np.uint64), ("wc", np.uint32), ("g", np.uint32), ("gc", np.uint32)))
         w, wc = _summed(w, wc.astype(np.int64))
         g, gc = _summed(g, gc.astype(np.int64))
-        bloom = segment(bucket, g, gc, least, bits_each, max(64, filter_bytes >> bits))
+        bloom = segment(bucket, g, gc, least, bits_each, 1 << 40)  # all of them
         ends = int(wc[np.searchsorted(w, np.uint64(END))]) if END in w else 0
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "wc": pa.array([wc.tobytes()], pa.binary()), "total": [int(wc.sum())], "words": [len(w)], "ends": [ends], "bloom": pa.array([bloom], pa.binary())})
 
     sent = rows.filter(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, w binary, wc binary, g binary, gc binary")
     counted = materialize(sent.groupBy("bucket").applyInArrow(reduce, "bucket int, w binary, wc binary, total bigint, words bigint, ends bigint, bloom binary"), "counts")
-    sums = counted.agg(F.sum("total"), F.sum("words"), F.sum("ends")).first()
-    total, distinct, texts_seen = (x or 0 for x in sums)
-    held = {r.bucket: bytes(r.bloom) for r in counted.select("bucket", "bloom").collect()}  # at most filter_bytes
-    shared = spark.sparkContext.broadcast((b"".join(held.get(b, b"\0" * 8) for b in range(1 << bits)), [len(held.get(b, b"\0" * 8)) for b in range(1 << bits)]))
+    sums = counted.agg(F.sum("total"), F.sum("words"), F.sum("ends"), F.sum(F.length("bloom").cast("long"))).first()
+    total, distinct, texts_seen, filtered = (x or 0 for x in sums)
+    shared = None
+    if filtered <= filter_bytes:
+        held = {r.bucket: bytes(r.bloom) for r in counted.select("bucket", "bloom").collect()}
+        shared = spark.sparkContext.broadcast((b"".join(held.get(b, b"\0" * 8) for b in range(1 << bits)), [len(held.get(b, b"\0" * 8)) for b in range(1 << bits)]))
+    ask_pairs = shared is None
 
     batched = rows.select("doc_id", "held_out", "text", F.pmod("key", F.lit(batches)).cast("int").alias("batch"))
 
+    def asked_for(made: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of a batch, and its distinct pairs where they are asked for."""
+        words = np.unique(np.concatenate([np.unique(h) for h, _ in made]))
+        asked = [np.unique(pairs(contexts(h, sizes), h)) for h, sizes in made] if ask_pairs else []
+        return words, np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64)
+
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        h = np.unique(np.concatenate([np.unique(tokens(texts[k : k + 500])[0]) for texts in [text_bytes(group.column("text"))] for k in range(0, len(texts), 500)]))
-        cuts = _cuts(h, bits)
+        texts = text_bytes(group.column("text"))
+        h, g = asked_for([tokens(texts[k : k + 500]) for k in range(0, len(texts), 500)])
         n = 1 << bits
-        return pa.table({"bucket": pa.array(range(n), pa.int32()), "batch": pa.array([key[0].as_py()] * n, pa.int32()), "w": pa.array([h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        w, p = ([x[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)] for x, cuts in ((h, _cuts(h, bits)), (_remainder(g, bits), _cuts(g, bits))))
+        return pa.table({"bucket": pa.array(range(n), pa.int32()), "batch": pa.array([key[0].as_py()] * n, pa.int32()), "w": pa.array(w, pa.binary()), "p": pa.array(p, pa.binary())})
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         w, c = (np.frombuffer(b"".join(known.column(x).to_pylist()), t) for x, t in (("w", np.uint64), ("wc", np.int64)))
@@ -220,15 +236,22 @@ def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "tex
             at = np.searchsorted(w[:-1], q)
             return np.where(w[at] == q, c[at], 0).astype(np.int64).tobytes()
 
-        return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "c": pa.array([counts(x) for x in asked.column("w").to_pylist()], pa.binary())})
+        segments = known.column("bloom").to_pylist() if ask_pairs else []
+        bloom = Filter(segments[0], [len(segments[0])], bits, key[0].as_py()) if segments else None
+
+        def levels(blob: bytes) -> bytes:
+            q = np.frombuffer(blob, np.uint32)
+            return (bloom.levels(np.full(len(q), key[0].as_py()), q) if bloom else np.zeros(len(q))).astype(np.int8).tobytes()
+
+        return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "c": pa.array([counts(x) for x in asked.column("w").to_pylist()], pa.binary()), "l": pa.array([levels(x) for x in asked.column("p").to_pylist()], pa.binary())})
 
     def settle(key: tuple, group: pa.Table, answers: pa.Table) -> pa.Table:
-        bloom = Filter(*shared.value, bits)
-        answers = sorted(zip(answers.column("bucket").to_pylist(), answers.column("c").to_pylist(), strict=True))
-        c = np.frombuffer(b"".join(x for _, x in answers), np.int64)
+        bloom = None if ask_pairs else Filter(*shared.value, bits)
+        answers = sorted(zip(*(answers.column(x).to_pylist() for x in ("bucket", "c", "l")), strict=True))
+        c, level = (np.frombuffer(b"".join(x[i] for x in answers), t) for i, t in ((1, np.int64), (2, np.int8)))
         texts = text_bytes(group.column("text"))
         made = [tokens(texts[k : k + 500]) for k in range(0, len(texts), 500)]
-        words = np.unique(np.concatenate([np.unique(h) for h, _ in made]))
+        words, asked = asked_for(made)
         parts = []
         for h, sizes in made:
             before = contexts(h, sizes)
@@ -236,10 +259,12 @@ def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "tex
             prior = np.empty_like(count)
             prior[1:] = count[:-1]
             prior[np.cumsum(sizes) - sizes] = texts_seen
-            parts.append((*text_scores(h, sizes, count, prior, total, distinct, bloom.counts(pairs(before, h)), weight), sizes))
+            g = pairs(before, h)
+            g = middles(level[np.searchsorted(asked, g)].astype(np.int64)) if ask_pairs else bloom.counts(g)
+            parts.append((*text_scores(h, sizes, count, prior, total, distinct, g, weight), sizes))
         base, found, known, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), total), "base_score": base, "score": found})
 
-    asked = batched.groupBy("batch").applyInArrow(ask, "bucket int, batch int, w binary")
-    answers = asked.groupBy("bucket").cogroup(counted.select("bucket", "w", "wc").groupBy("bucket")).applyInArrow(answer, "batch int, bucket int, c binary")
+    asked = batched.groupBy("batch").applyInArrow(ask, "bucket int, batch int, w binary, p binary")
+    answers = asked.groupBy("bucket").cogroup(counted.select("bucket", "w", "wc", *(["bloom"] if ask_pairs else [])).groupBy("bucket")).applyInArrow(answer, "batch int, bucket int, c binary, l binary")
     return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(settle, f"doc_id {ids}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
