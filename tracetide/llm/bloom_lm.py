@@ -1,17 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Training tokens are counted in two kinds: words exactly, word pairs in a Bloom
-filter that holds the quantised count of each: a pair seen c times is entered
-under the levels 1 .. 1 + floor(log2 c), and a probe asks for level after level
-until one is missing. The filter is built in segments, one for each bucket of
-pairs, and holds all pairs at every size. Up to `filter_bytes` it is broadcast;
+filter that holds the quantised count of each: counts are rounded down to 1, 2,
+3, 4, 6, 8, 12, 16 and so on, a pair is entered under the levels up to its own,
+and a probe asks for level after level until one is missing. The filter is built
+in segments, one for each bucket of pairs, and holds all pairs at every size. Up to `filter_bytes` it is broadcast;
 beyond, its segments stay a table. Word counts grow with the corpus and are not
 broadcast: each batch of documents asks the buckets for the counts of its words,
 and beyond `filter_bytes` for the levels of its pairs.
 
-The probability of a word after another interpolates the pair's share, from the
-filter, with the add-one share of the word. A text's first word follows a begin
-mark, its last token is an end mark. Words and pairs are told apart by 64-bit
+The probability of a word w after another v is
+(pair(v, w) + prior * share(w)) / (count(v) + prior), where pair is the filter's
+count and share the add-one share of the word. Pairs are rounded down, so that
+the probabilities after v sum to at most one, but for the filter's false answers:
+a pair that never occurred is answered with a count of one in about 2.4 % of
+probes (8 bits an entry, 4 probes), which adds 1 / (count(v) + prior). A text's
+first word follows a begin mark, its last token is an end mark. Words and pairs are told apart by 64-bit
 hashes (pairs by 32 bits within a bucket). Null and empty texts are an end mark.
 Every row gives a row; rows with a null id are training rows.
 """
@@ -81,7 +85,15 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+    """Number of the largest of 1, 2, 3, 4, 6, 8, 12, ... that is at most the count."""
+    e = np.frexp(np.maximum(counts, 1))[1].astype(np.int64) - 1
+    return np.maximum(1, 2 * e + (counts >= 1.5 * 2.0**e))
+
+
+def level_counts(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for; 0 for pairs that are not held."""
+    e = np.maximum(level, 2) // 2
+    return np.where(level < 2, level, np.where(level % 2, 1.5, 1.0) * 2.0**e)
 
 
 def _places(bucket: np.ndarray, remainder: np.ndarray, level: np.ndarray | int, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -91,18 +103,12 @@ def _places(bucket: np.ndarray, remainder: np.ndarray, level: np.ndarray | int,
         yield (z + np.uint64(i) * step) % size
 
 
-def segment(bucket: int, remainder: np.ndarray, counts: np.ndarray, least: int, bits_each: int, most: int) -> bytes:
-    """The Bloom filter of one bucket of pairs, at most `most` bytes."""
-    while True:
-        keep = counts >= least
-        levels = levels_of(counts[keep])
-        size = 8 * -(-max(64, int(levels.sum()) * bits_each) // 8)
-        if size <= 8 * most or not len(levels):
-            break
-        least += 1
-    size = min(size, 8 * most)
+def segment(bucket: int, remainder: np.ndarray, counts: np.ndarray, bits_each: int) -> bytes:
+    """The Bloom filter of one bucket of pairs."""
+    levels = levels_of(counts)
+    size = 8 * -(-max(64, int(levels.sum()) * bits_each) // 8)
     on = np.zeros(size, np.uint8)
-    which = np.repeat(remainder[keep], levels)
+    which = np.repeat(remainder, levels)
     level = np.arange(len(which)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
     for at in _places(np.full(len(which), bucket), which, level, np.uint64(size)):
         on[at] = 1
@@ -136,28 +142,28 @@ class Filter:
         return found
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        return middles(self.level(keys))
+        return level_counts(self.level(keys))
 
 
-def middles(level: np.ndarray) -> np.ndarray:
-    """The geometric middle of the level's counts; 0 for pairs that are not held."""
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)))
+def word_probability(count: np.ndarray, before: np.ndarray, total: int, distinct: int, pair_counts: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(add-one share, probability after the word before); no pair is more frequent than its words, whatever the filter answers."""
+    share = (count + 1.0) / (total + distinct + 1.0)
+    pair = np.minimum(pair_counts, np.minimum(count, before))
+    return share, (pair + prior * share) / (before + prior)
 
 
-def text_scores(h: np.ndarray, sizes: np.ndarray, count: np.ndarray, before: np.ndarray, total: int, distinct: int, pair_counts: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def text_scores(h: np.ndarray, sizes: np.ndarray, count: np.ndarray, before: np.ndarray, total: int, distinct: int, pair_counts: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(base, score, known) of each text; count and before: training counts of each token and of the one before it."""
     first = np.cumsum(sizes) - sizes
-    share = (count + 1.0) / (total + distinct + 1.0)
-    after = np.minimum(1.0, pair_counts / np.maximum(before, 1))
-    p = np.where(before > 0, weight * after + (1 - weight) * share, share)
+    share, p = word_probability(count, before, total, distinct, pair_counts, prior)
     add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
     return add(np.log10(share)), add(np.log10(p)), add((count > 0).astype(np.int64))
 
 
-def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "text", weight: float = 0.4, least: int = 1, bits_each: int = 8, filter_bytes: int = 128 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "text", prior: float = 100.0, bits_each: int = 8, filter_bytes: int = 96 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learnt from rows that are not held out.
 
-    is_held_out: a boolean column. least: pairs seen less often are not entered. filter_bytes bounds the broadcast, not the filter.
+    is_held_out: a boolean column. filter_bytes bounds the broadcast, not the filter. score is a log10 probability of the text.
     """
     require(docs, doc_id, text)
     spark = docs.sparkSession
@@ -198,7 +204,7 @@ def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "tex
         w, wc, g, gc = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("w", np.uint64), ("wc", np.uint32), ("g", np.uint32), ("gc", np.uint32)))
         w, wc = _summed(w, wc.astype(np.int64))
         g, gc = _summed(g, gc.astype(np.int64))
-        bloom = segment(bucket, g, gc, least, bits_each, 1 << 40)  # all of them
+        bloom = segment(bucket, g, gc, bits_each)
         ends = int(wc[np.searchsorted(w, np.uint64(END))]) if END in w else 0
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "wc": pa.array([wc.tobytes()], pa.binary()), "total": [int(wc.sum())], "words": [len(w)], "ends": [ends], "bloom": pa.array([bloom], pa.binary())})
 
@@ -256,12 +262,12 @@ def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "tex
         for h, sizes in made:
             before = contexts(h, sizes)
             count = c[np.searchsorted(words, h)]
-            prior = np.empty_like(count)
-            prior[1:] = count[:-1]
-            prior[np.cumsum(sizes) - sizes] = texts_seen
+            preceding = np.empty_like(count)
+            preceding[1:] = count[:-1]
+            preceding[np.cumsum(sizes) - sizes] = texts_seen
             g = pairs(before, h)
-            g = middles(level[np.searchsorted(asked, g)].astype(np.int64)) if ask_pairs else bloom.counts(g)
-            parts.append((*text_scores(h, sizes, count, prior, total, distinct, g, weight), sizes))
+            g = level_counts(level[np.searchsorted(asked, g)].astype(np.int64)) if ask_pairs else bloom.counts(g)
+            parts.append((*text_scores(h, sizes, count, preceding, total, distinct, g, prior), sizes))
         base, found, known, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), total), "base_score": base, "score": found})
 
