@@ -13,8 +13,8 @@ The probability of a word w after another v is
 (pair(v, w) + prior * share(w)) / (count(v) + prior), where pair is the filter's
 count and share the add-one share of the word. Pairs are rounded down, so that
 the probabilities after v sum to at most one, but for the filter's false answers:
-a pair that never occurred is answered with a count of one in about 2.4 % of
-probes (8 bits an entry, 4 probes), which adds 1 / (count(v) + prior). A text's
+a pair that never occurred is answered with a count of one in about one of 100
+cases (10 bits an entry, 5 probes), which adds 1 / (count(v) + prior). A text's
 first word follows a begin mark, its last token is an end mark. Words and pairs are told apart by 64-bit
 hashes (pairs by 32 bits within a bucket). Null and empty texts are an end mark.
 Every row gives a row; rows with a null id are training rows.
@@ -34,7 +34,7 @@ from tracetide.llm.common import document_key, materialize, require, shuffle_par
 
 # Marks are no words: words hold no white space.
 BEGIN, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\t"))
-PROBES = 4
+PROBES = 5
 #: Tokens counted by a task before it sends them on.
 HELD = 2_000_000
 
@@ -160,7 +160,7 @@ def text_scores(h: np.ndarray, sizes: np.ndarray, count: np.ndarray, before: np.
     return add(np.log10(share)), add(np.log10(p)), add((count > 0).astype(np.int64))
 
 
-def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "text", prior: float = 100.0, bits_each: int = 8, filter_bytes: int = 96 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "text", prior: float = 100.0, bits_each: int = 10, filter_bytes: int = 96 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learnt from rows that are not held out.
 
     is_held_out: a boolean column. filter_bytes bounds the broadcast, not the filter. score is a log10 probability of the text.
