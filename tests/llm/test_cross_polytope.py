@@ -12,7 +12,8 @@ def brute(rows, queries, k):
             best = {}
             for i, v in good:
                 if i != q and len(v) == len(x):
-                    s = float((x * v).sum() / (np.sqrt((x * x).sum()) * np.sqrt((v * v).sum())))
+                    a, b = (np.ldexp(y, -np.frexp(np.abs(y).max())[1]) for y in (x, v))
+                    s = float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
                     best[i] = max(best.get(i, -2), s)
             out[q] = [(i, s) for s, i in sorted(((s, i) for i, s in best.items()), key=lambda t: (-t[0], t[1]))[:k]]
     return out
@@ -69,6 +70,39 @@ def test_recall_with_two_hashes(spark):
     assert sum(len({i for i, _ in got[100 * q]} & set(want[q].tolist())) for q in range(60)) >= 0.9 * 5 * 60
 
 
+def test_recall_with_three_hashes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2000, 16)))]
+    assert cp.hashes_for(len(rows), 16, 1) == 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries = set(range(0, 2000, 400))
+    got, want = result(cp.search(df, df.filter("vec_id % 400 = 0"), bucket=1)), brute(rows, queries, 5)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in queries) >= 0.9 * 5 * len(queries)
+
+
+def test_all_candidates_if_fewer(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(4)]
+    rows += [(100 + i, [float(x) for x in rng.normal(size=48)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for options in ({}, {"tables": 1, "probes": 1, "block": 3}):
+        got, want = result(cp.search(df, df.filter("vec_id = 2 or vec_id >= 100"), **options)), brute(rows, {2, *range(100, 140)}, 5)
+        assert got[2] == want[2] and len(got[2]) == 3
+        assert all(len(got[q]) == 5 for q in range(100, 140))
+
+
+def test_repeated_query_ids_and_extreme_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1e-170, 1e-170]), (2, [1e200, 1e199]), (3, [1e-310, 3e-310]), (4, [0.5, 0.25]), (5, [1e308, -1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(cp.search(df, df.filter("vec_id % 50 = 0"), tables=20))
+    want = {}
+    for q in ([1.0, 0.0], [0.0, 1.0]):
+        for i, s in brute([(0, q), *rows[2:]], {0}, 9)[0]:
+            want[i] = max(s, want.get(i, -2))
+    assert got[0] == sorted(want.items(), key=lambda t: (-t[1], t[0]))[:5]
+    assert all(-1 <= s <= 1 + 1e-12 for _, s in got[0])
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [1e300, 1e299]), (100, [1.0, 0.0])]

@@ -6,9 +6,11 @@ each. Vectors go to one bucket per table; a query probes the `probes` buckets
 (times 4 * `probes` for each further hash, which keeps the recall of one hash)
 whose axes are nearest. Queries meet the vectors of a bucket in one group, where
 cosines are computed in double precision on the original vectors, and each group
-returns only a query's best `k`. The number of hashes grows with the table, so
-that buckets keep about the same size. Buckets over `block` rows are split among
-several groups, each of which the queries visit, so that no group is unbounded.
+returns only a query's best `k`. The number of hashes grows with the number of
+vectors of a length, so that buckets keep about the same size. Buckets over
+`block` rows are split among several groups, each of which the queries visit, so
+that no group is unbounded. Queries that find fewer than `k` this way are compared
+with all vectors of their length, in blocks.
 
 Equal vectors are hashed once, with their `k + 1` smallest ids: no other id of
 that vector can be among a query's best. Null ids and vectors that are null,
@@ -107,7 +109,11 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Of paired rows, in double precision; equal rows give equal results wherever they stand."""
+    """Of paired rows, in double precision; equal rows give equal results wherever they stand.
+
+    Rows are scaled by powers of two first, which keeps squares finite and alters no digit.
+    """
+    q, v = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (q, v))
     return (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
@@ -153,7 +159,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     kind = rows.schema["v"].dataType.simpleString()
     numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     distinct = materialize(numbered.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
-    count = distinct.count()
+    # lengths whose vectors need more than one hash; few, as each has thousands of vectors
+    counts = {r.n: r["count"] for r in distinct.groupBy(F.size("v").alias("n")).count().filter(F.col("count") > 4 * bucket).collect()}
     sought = usable(queries, vec_id, embedding).distinct()
 
     def sender(is_query: bool):
@@ -161,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
             for b in filter(len, batches):
                 for r, x in _matrix(b.column(1)):
                     dim = x.shape[1]
-                    h, u = Hashes(dim, tables, hashes_for(count, dim, bucket), seed), _units(x)
+                    h, u = Hashes(dim, tables, hashes_for(counts.get(dim, 0), dim, bucket), seed), _units(x)
                     wanted = probes_for(probes, h.hashes) if is_query else 1
                     step = max(1, SENT_ROWS // wanted)
                     for t, k in ((t, k) for t in range(tables) for k in range(0, len(r), step)):
@@ -196,6 +203,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     met = indexed.select(columns).union(probing.select(columns)).groupBy("tbl", "bucket", "part").applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    found = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = materialize(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "neighbours")
+    few = sought.join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).filter(F.col("n") >= k), "vec_id", "left_anti")
+    few = materialize(few, "few")
+    asking = {r.n: r["count"] for r in few.groupBy(F.size("v").alias("n")).count().collect()}  # lengths, not rows
+    if asking:
+        found = found.union(exhaustive(distinct, few, asking, meet, block))
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def exhaustive(distinct: DataFrame, few: DataFrame, asking: dict[int, int], meet, block: int) -> DataFrame:
+    """The given queries against all vectors of their length: blocks of vectors meet blocks of queries."""
+    spark = distinct.sparkSession
+    per = spark.createDataFrame([(d, -(-n // block)) for d, n in asking.items()], "n int, q_parts bigint")
+    vectors = distinct.withColumn("n", F.size("v")).join(F.broadcast(per), "n")
+    v_parts = F.broadcast(vectors.groupBy("n", "q_parts").agg(F.ceil(F.count("*") / block).cast("bigint").alias("v_parts")))
+    own = lambda parts: F.pmod(F.xxhash64("v"), parts)
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    vectors = vectors.join(v_parts, ["n", "q_parts"]).select(F.col("n").alias("tbl"), F.lit(False).alias("query"), "ids", "v", own(F.col("v_parts")).alias("bucket"), every(F.col("q_parts")).alias("part"))
+    asks = few.withColumn("n", F.size("v")).join(v_parts, "n").select(F.col("n").alias("tbl"), F.lit(True).alias("query"), F.array("vec_id").alias("ids"), "v", every(F.col("v_parts")).alias("bucket"), own(F.col("q_parts")).alias("part"))
+    return asks.unionByName(vectors).groupBy("tbl", "bucket", "part").applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
