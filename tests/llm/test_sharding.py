@@ -24,7 +24,7 @@ def test_append_merge_and_versions(spark, tmp_path):
     (merged,) = store.runs()
     assert (merged.files, merged.rows) == (1, 300)
     assert rows(store.read()) == old == rows(store.read(3))
-    store.vacuum()
+    store.vacuum(keep=1)
     assert rows(store.read()) == old and store._names("runs") == [merged.name] and store.version() == 4
 
 
@@ -41,6 +41,49 @@ def test_commit_is_exclusive_and_failures_leave_no_trace(spark, tmp_path):
         ShardStore(spark, str(tmp_path / "none")).read()
 
 
+def test_torn_manifests_and_unfinished_commits_are_no_versions(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"))
+    store.append(frame(spark, 0, 10))
+    (tmp_path / "s/manifest/v0000000002.json").write_bytes(b"")
+    (tmp_path / "s/manifest/v0000000003.json").write_bytes(b'{"version": 3, "runs": [{"na')
+    (tmp_path / "s/manifest/_half").write_bytes(b'{"ver')
+    assert store.version() == 1 and store.read().count() == 10
+    with pytest.raises(ValueError):
+        store.read(3)
+    assert store.append(frame(spark, 10, 30)) == 4 and store.read().count() == 30
+    store.vacuum()
+    assert [n for n in store._names("manifest") if not n.startswith(".")] == ["v0000000001.json", "v0000000004.json"] and store.read(1).count() == 10
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    a, b = (ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    a.append(frame(spark, 0, 5))
+    run = a._write(frame(spark, 5, 9))
+    old = b._numbers
+
+    def late():  # another commit between the look at the numbers and the rename
+        found = old()
+        b._numbers = old
+        a.commit([*a.runs(), run], 1)
+        return found
+
+    b.version = lambda: 1
+    b._numbers = late
+    with pytest.raises(Overtaken):
+        b.commit([], 1)
+    assert a.version() == 2 and a.read().count() == 9
+
+
+def test_versions_kept_for_readers(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), fan=2, smallest=1 << 20)
+    for i in range(2):
+        store.append(frame(spark, 10 * i, 10 * i + 10))
+    reader = store.read()
+    store.compact()
+    store.vacuum(keep=2)
+    assert reader.count() == 20 and len(store.runs(2)) == 2 and len(store.runs()) == 1
+
+
 def test_many_arrivals_keep_few_runs_of_target_size(spark, tmp_path):
     arrivals = [frame(spark, 50 * i, 50 * i + 50) for i in range(9)]
     store = shard(spark, arrivals, str(tmp_path / "s"), target=4000, fan=3, smallest=1 << 10)

@@ -79,15 +79,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+#: Arrivals of op9_sharding; with a fan of 4 the first tier fills, and merges, twice and more.
+ARRIVALS = 9
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table arrives in up to eight arrivals, by its files; what the latest version holds is read back whole."""
+    """The table arrives in nine arrivals, by a hash of id and text; what the latest version holds is read back whole.
+
+    shards_merged: the latest version has fewer runs than there were arrivals.
+    """
     docs = table(spark, sf_dir, "documents")
-    files = sorted(docs.inputFiles())
-    arrivals = [spark.read.schema(docs.schema).parquet(*files[i::8]) for i in range(min(8, len(files)))] or [docs]
-    store = op9.shard(spark, arrivals, f"{shared_dir(spark)}/tracetide/store-{uuid.uuid4().hex}")
+    n = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS))
+    store = op9.shard(spark, [docs.filter(n == i) for i in range(ARRIVALS)], f"{shared_dir(spark)}/tracetide/store-{uuid.uuid4().hex}", keep=2)
+    runs = store.runs()
     text = F.coalesce("text", F.lit(""))
-    held = store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
-    return held.groupBy("doc_id", "n_bytes", "text_sha256").agg(F.count("*").alias("n_rows"))
+    held = store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    counted = held.groupBy(*held.columns).agg(F.count("*").alias("n_rows"))
+    return counted.withColumn("shards_merged", F.lit(len(runs) < ARRIVALS))
 
 
 @cache
@@ -134,8 +142,8 @@ FROM h LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 OP9_SQL = """
-SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_rows
-FROM documents GROUP BY ALL
+SELECT doc_id, lang, source, n_chars, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_rows, true AS shards_merged
+FROM documents GROUP BY doc_id, lang, source, n_chars, n_bytes, text_sha256
 """
 
 

@@ -4,11 +4,17 @@ A store is a folder of immutable runs. Arrivals are appended as small runs, one
 shard for each input partition. Runs fall into tiers by size (powers of
 `fan`); when a tier holds `fan` runs, they are merged into one run of files of
 about `target` bytes, without a shuffle: their partitions are coalesced. Each
-change ends with a new version of the manifest, a file that is created only if
-it does not exist yet. That creation is the commit: what a failed or overtaken
-job has written is in no manifest, and vacuum() deletes it. Readers of a version
-see its runs and nothing else. The manifest lists runs, whose number grows with
-the logarithm of the data.
+change ends with a new version of the manifest. It is written whole under a name
+of its own and then renamed to the version's name, which fails where that name
+is taken. The rename is the commit: what a failed or overtaken job has written is
+in no manifest, and vacuum() deletes it. A file under a version's name that is
+not a whole manifest is no version; the next commit takes the number after it.
+Readers of a version see its runs and nothing else; vacuum() keeps the runs of
+the last `keep` versions for them. The manifest lists runs, whose number grows
+with the logarithm of the data.
+
+The rename must be atomic and not overwrite, as HDFS and local folders do it; an
+object store needs a file system that offers that.
 
 Rows are kept as they are, nulls and repeats included. An empty arrival makes an
 empty run, so that a store has a schema from its first arrival on.
@@ -52,29 +58,60 @@ class ShardStore:
         fs, p = self._fs(f"{self.path}/{folder}")
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
+    def _numbers(self) -> list[int]:
+        """Numbers that are taken, the latest first."""
+        return sorted((int(n[1:-5]) for n in self._names("manifest") if n.startswith("v") and n.endswith(".json")), reverse=True)
+
+    def _manifest(self, version: int) -> list[Run] | None:
+        """The runs of a version; None if its file is torn."""
+        found = self.spark.read.text(f"{self.path}/manifest/v{version:010d}.json", wholetext=True).first()
+        try:
+            return [Run(**r) for r in json.loads(found[0])["runs"]] if found else None
+        except (ValueError, KeyError, TypeError):
+            return None
+
     def version(self) -> int:
-        """The latest; 0 before the first commit."""
-        return max((int(n[1:-5]) for n in self._names("manifest") if n.startswith("v") and n.endswith(".json")), default=0)
+        """The latest whole version; 0 before the first commit."""
+        return next((n for n in self._numbers() if self._manifest(n) is not None), 0)
 
     def runs(self, version: int | None = None) -> list[Run]:
         version = self.version() if version is None else version
         if not version:
             return []
-        text = self.spark.read.text(f"{self.path}/manifest/v{version:010d}.json", wholetext=True).first()[0]
-        return [Run(**r) for r in json.loads(text)["runs"]]
+        found = self._manifest(version)
+        if found is None:
+            raise ValueError(f"version {version} of {self.path} is torn")
+        return found
 
     def commit(self, runs: list[Run], base: int) -> int:
-        """Make these runs version base + 1, unless someone else already has."""
-        fs, p = self._fs(f"{self.path}/manifest/v{base + 1:010d}.json")
+        """Make these runs the version after base, unless someone else has committed since."""
+        if self.version() != base:
+            raise Overtaken(f"version {base} of {self.path} is not the latest")
+        number = max(self._numbers(), default=0) + 1
+        fs, made = self._fs(f"{self.path}/manifest/_{uuid.uuid4().hex}")
+        out = fs.create(made, False)
+        try:
+            out.write(bytearray(json.dumps({"version": number, "runs": [asdict(r) for r in runs]}).encode()))
+        finally:
+            out.close()
+        _, final = self._fs(f"{self.path}/manifest/v{number:010d}.json")
+        if not self._rename(made, final):
+            fs.delete(made, False)
+            raise Overtaken(f"version {number} of {self.path}")
+        return number
+
+    def _rename(self, made, final) -> bool:
+        """Rename unless the name is taken, atomically."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        context = jvm.FileContext.getFileContext(made.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 0)
         try:
-            out = fs.create(p, False)
-        except Exception as e:
-            if fs.exists(p):
-                raise Overtaken(f"version {base + 1} of {self.path}") from e
+            context.rename(context.makeQualified(made), context.makeQualified(final), none)
+        except Exception:
+            if context.util().exists(final):
+                return False
             raise
-        out.write(bytearray(json.dumps({"version": base + 1, "runs": [asdict(r) for r in runs]}).encode()))
-        out.close()
-        return base + 1
+        return True
 
     def _write(self, df: DataFrame) -> Run:
         name = uuid.uuid4().hex
@@ -137,26 +174,26 @@ class ShardStore:
         """(run, shard, bytes, rows) of a version."""
         return self.shards_of([r.name for r in self.runs(version)])
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete runs that none of the last `keep` versions lists, and older manifests. No writer may be at work."""
-        latest = self.version()
-        live = {r.name for v in range(max(1, latest - keep + 1), latest + 1) for r in self.runs(v)}
+    def vacuum(self, keep: int = 10) -> None:
+        """Delete runs that none of the last `keep` versions lists, older manifests and torn ones. No writer may be at work."""
+        kept = [n for n in self._numbers() if self._manifest(n) is not None][:keep]
+        live = {r.name for v in kept for r in self.runs(v)}
         for n in self._names("runs"):
             if n not in live:
                 fs, p = self._fs(f"{self.path}/runs/{n}")
                 fs.delete(p, True)
         for n in self._names("manifest"):
-            if n.endswith(".json") and int(n[1:-5]) <= latest - keep:
+            if not (n.startswith("v") and n.endswith(".json") and int(n[1:-5]) in kept):
                 fs, p = self._fs(f"{self.path}/manifest/{n}")
                 fs.delete(p, False)
 
 
-def shard(spark: SparkSession, arrivals: list[DataFrame], path: str, **options) -> ShardStore:
-    """A store of the arrivals, compacted after each as far as tiers are full; superseded runs are deleted as it goes."""
+def shard(spark: SparkSession, arrivals: list[DataFrame], path: str, keep: int = 10, **options) -> ShardStore:
+    """A store of the arrivals, compacted after each as far as tiers are full; runs that only versions before the last `keep` list are deleted as it goes."""
     store = ShardStore(spark, path, **options)
     for df in arrivals:
         store.append(df)
         while store.compact() is not None:
             pass
-        store.vacuum()
+        store.vacuum(keep)
     return store
