@@ -43,8 +43,8 @@ def test_links_against_brute_force(spark):
     rows = [(i, x) for i, x in enumerate(dict.fromkeys(fps))]
     signed = [(i, x - (1 << 64) if x >= 1 << 63 else x) for i, x in rows]
     df = spark.createDataFrame(signed, "id long, fp long")
-    for bits in (4, 10):
-        got = {r.node: r.component for r in simhash.components(simhash.links(df, bits)).collect()}
+    for bits, most, hub in ((4, 1 << 18, 10**6), (10, 1 << 18, 5), (10, 3, 2)):
+        got = {r.node: r.component for r in simhash.components(simhash.links(df, bits, most), hub=hub).collect()}
         want = brute_components(rows)
         by_fp = {f: i for i, f in signed}
         groups = {}
@@ -65,5 +65,31 @@ def test_near_duplicates_edge_cases(spark):
     assert (fp[1] ^ fp[3]).bit_count() <= 3
     assert got == [(-1, 1), (1, 1), (2, 2), (3, 1), (5, 2), (7, 7), (7, 7)]
     kept = sorted((r.doc_id or -1) for r in simhash.keep_first(df).collect())
-    assert kept == [-1, 1, 2, 7]
+    assert kept == [1, 2, 7]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bits_grow_with_the_fingerprints():
+    assert simhash.bits_for(0, 1 << 18) == simhash.bits_for(10**6, 1 << 18) == 10
+    for n in (10**8, 10**10):
+        b = simhash.bits_for(n, 1 << 18)
+        index, _ = simhash.prefixes(np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), b)
+        assert n * len(index) / 1000 / 2**b < 1.1 * (1 << 18)
+
+
+def test_splitting_a_prefix_reaches_what_longer_prefixes_reach():
+    fps = np.random.default_rng(2).integers(0, 1 << 63, 200, dtype=np.uint64)
+    index, short = simhash.prefixes(fps, 6)
+    again, long = simhash.deeper(short, fps[index], 6, 8)
+    want_index, want = simhash.prefixes(fps, 14)
+    assert sorted(zip(index[again].tolist(), long.tolist())) == sorted(zip(want_index.tolist(), want.tolist()))
+
+
+def test_one_row_of_each_group_stays_when_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (None, b + " end", "s"), (None, c, "t"), (None, c, "t"), (5, None, "u"), (5, b, "r"), (9, "x " * 100_000, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __other string").repartition(3)
+    kept = sorted((r.doc_id or -1, r.text) for r in simhash.keep_first(df).collect() if r.text)
+    assert kept == sorted([(1, a), (5, b), (-1, c), (9, "x " * 100_000)])
+    assert simhash.keep_first(df).columns == df.columns and simhash.keep_first(df).count() == 5
+    assert simhash.keep_first(df.limit(0)).count() == 0
