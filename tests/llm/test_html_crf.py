@@ -1,3 +1,8 @@
+import time
+import tracemalloc
+
+import pytest
+
 from tracetide.llm import html_crf, page_samples
 from tracetide.llm.queries import page_model
 
@@ -16,6 +21,39 @@ def test_blocks():
     assert texts("</div></p>x<p") == ["x"]
 
 
+def test_slashes_and_links():
+    found = html_crf.blocks("<div/><p>a <a href=/x/>link</a> b<p>c<svg><path d='m'/></svg><a name=q>d<a href=x>e</a> f")
+    assert [(b.text, b.linked) for b in found] == [("a link b", 4), ("c", 0), ("de f", 2)]
+    assert [b.node.tag for b in found] == ["p", "p", "p"] and [b.node.parent.tag for b in found] == ["div", "div", "div"]
+
+
+def test_features_are_those_of_the_whole_path():
+    (b,) = html_crf.blocks("<div class='main Post'><section id=main><div role=x><b>t</b></div></section></div>")
+    assert html_crf.path_features(b.node) == sorted(["bias", "in:div", "in:section", "word:main", "word:post", "word:x", "own:div", "near:x", "depth:3", "pair:section>div"])
+    model = page_model()
+    whole = sum(model.weights.get(f, 0.0) for f in html_crf.path_features(b.node) + html_crf.text_features(html_crf.text_key(b)))
+    assert abs(model.emission(b) - whole) < 1e-9
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<p>x<div class='a b'>", "<ul><li>x", "<a href='/'>x", "</div", "<a b='", "<script></script", "&amp", "<table><tr><td>x", "<b>x</i>"])
+def test_deep_and_ill_formed_pages_take_linear_time(piece):
+    took = []
+    for n in (4_000, 40_000):
+        began = time.process_time()
+        assert isinstance(page_model().extract(piece * n), str)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_a_deep_page_takes_bounded_memory():
+    page_model()
+    tracemalloc.start()
+    page_model().extract("<div>x" * 100_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
 def test_held_out_accuracy():
     model, right, total = page_model(), 0, 0
     for found, labels in html_crf.training_set(page_samples.pages(200, seed=9), page_samples.SIGN):

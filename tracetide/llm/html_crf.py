@@ -9,6 +9,8 @@ labelled pages (forward and backward sums) and decoded by Viterbi.
 
 Character references are decoded, white space within a block becomes one space,
 kept blocks are joined by one space. Null and empty pages give an empty text.
+Time and memory are proportional to the page: blocks share the nodes of their
+ancestors, and open tags are looked up by name.
 Pages are read whole; ill-formed markup is repaired as browsers do in the plain
 cases (unclosed paragraphs, items and cells, stray end tags).
 """
@@ -35,46 +37,103 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+FOREIGN = ("svg", "math")  # where a slash ends an element
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"td", "th", "table", "button", "li", "article", "div", "section"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Node:
+    """A chain of block elements from the root; chains with a common beginning share it."""
+
+    __slots__ = ("parent", "tag", "depth", "held", "new", "own", "children", "owner", "inherited", "score")
+
+    def __init__(self, parent: Node | None, tag: str, held: list[str], new: list[str], own: list[str]):
+        self.parent, self.tag, self.depth = parent, tag, parent.depth + 1 if parent else 0
+        self.held = held  # features that every block below has
+        self.new = new  # of these, the ones that no ancestor gives
+        self.own = own  # features of the blocks whose nearest element this is
+        self.children: dict[tuple[str, str], Node] = {}
+        self.owner = None  # the field that `inherited` and `score` belong to
+        self.inherited = self.score = 0.0
+
+
+class Paths:
+    """The nodes of the pages read so far; begun anew when there are many."""
+
+    def __init__(self, most: int = 100_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.count = Node(None, "", ["bias"], ["bias"], []), 0
+
+    def below(self, parent: Node, tag: str, attributes: str, open_features: dict[str, int]) -> Node:
+        node = parent.children.get((tag, attributes))
+        if node is None:
+            words = [w.lower() for w in WORD.findall(attributes)]
+            held = [f"in:{tag}", *dict.fromkeys(f"word:{w}" for w in words)]
+            own = [f"own:{tag}", *dict.fromkeys(f"near:{w}" for w in words), f"depth:{min(parent.depth + 1, 8)}"]
+            if parent.parent is not None:
+                own.append(f"pair:{parent.tag}>{tag}")
+            node = parent.children[tag, attributes] = Node(parent, tag, held, [f for f in held if not open_features.get(f)], own)
+            self.count += 1
+        return node
+
+
+PATHS = Paths()
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[tuple[str, str], ...]  # (tag, attributes) of the ancestors, from the root
+    node: Node
     text: str
     linked: int  # characters inside links
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, paths: Paths = PATHS) -> list[Block]:
+    if paths.count > paths.most:
+        paths.clear()
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
     names: list[str] = []
+    nodes: list[Node] = [paths.root]  # of the open block elements
+    blocks_at: list[int] = []  # their places in names
+    places: dict[str, list[int]] = {}  # of each open tag
+    open_features: dict[str, int] = {}
     parts: list[str] = []
-    state = {"linked": 0, "silent": 0, "links": 0}
+    linked = silent = links = 0
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, state["linked"]))
+            out.append(Block(nodes[-1], text, linked))
         parts.clear()
-        state["linked"] = 0
+        linked = 0
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def pop_to(depth: int) -> None:
-        while len(stack) > depth:
+        nonlocal silent, links
+        while len(names) > depth:
             tag = names.pop()
-            stack.pop()
-            state["silent"] -= tag in SILENT
-            state["links"] -= tag == "a"
+            places[tag].pop()
+            silent -= tag in SILENT
+            links -= tag == "a"
+            if tag not in INLINE:
+                blocks_at.pop()
+                for f in nodes.pop().held:
+                    open_features[f] -= 1
 
     def add(piece: str) -> None:
-        if piece and not state["silent"]:
+        nonlocal linked
+        if piece and not silent:
             parts.append(piece)
-            if state["links"]:
-                state["linked"] += len(piece)
+            if links:
+                linked += len(piece)
 
     at, n = 0, len(page)
     while at < n:
@@ -89,55 +148,48 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if slash:
-            if tag in names:
-                if tag not in INLINE:
-                    flush()
-                depth = len(names) - 1 - names[::-1].index(tag)
-                pop_to(depth)
-            elif tag not in INLINE:
+            if tag not in INLINE:
                 flush()
+            if places.get(tag):
+                pop_to(last(tag))
             continue
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P and "p" in names:
-                depth = len(names) - 1 - names[::-1].index("p")
-                if not any(x in SCOPES["p"] for x in names[depth + 1 :]):
-                    pop_to(depth)
-            for k in range(len(names) - 1, -1, -1) if tag in IMPLIED else ():
-                if names[k] in SCOPES[tag]:
-                    break
-                if names[k] in IMPLIED[tag]:
-                    pop_to(k)
-                    break
+            if tag in CLOSES_P and last("p") > last(*SCOPES["p"]):
+                pop_to(last("p"))
+            if tag in IMPLIED and last(*IMPLIED[tag]) > last(*SCOPES[tag]):
+                pop_to(max(last(t) for t in IMPLIED[tag]))
         elif tag == "br":
             add(" ")
-        if tag in VOID or rest.endswith("/"):
+        elif tag == "a" and places.get("a") and last("a") > (blocks_at[-1] if blocks_at else -1):
+            pop_to(last("a"))  # a link ends where the next begins
+        foreign = tag in FOREIGN or last(*FOREIGN) >= 0
+        if tag in VOID or (foreign and rest.endswith("/")):
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or n
             continue
-        stack.append((tag, " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(rest)).strip() if rest else ""))
+        places.setdefault(tag, []).append(len(names))
+        if tag not in INLINE:
+            attributes = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(rest)).strip() if rest else ""
+            nodes.append(paths.below(nodes[-1], tag, attributes, open_features))
+            blocks_at.append(len(names))
+            for f in nodes[-1].held:
+                open_features[f] = open_features.get(f, 0) + 1
         names.append(tag)
-        state["silent"] += tag in SILENT
-        state["links"] += tag == "a"
+        silent += tag in SILENT
+        links += tag == "a"
     flush()
     return out
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    found = {"bias"}
-    for tag, attributes in path:
-        found.add(f"in:{tag}")
-        for w in WORD.findall(attributes):
-            found.add(f"word:{w.lower()}")
-    if path:
-        found.add(f"own:{path[-1][0]}")
-        for w in WORD.findall(path[-1][1]):
-            found.add(f"near:{w.lower()}")
-        found.add(f"depth:{min(len(path), 8)}")
-    if len(path) > 1:
-        found.add(f"pair:{path[-2][0]}>{path[-1][0]}")
+def path_features(node: Node) -> list[str]:
+    found = set(node.own)
+    while node is not None:
+        found.update(node.new)
+        node = node.parent
     return sorted(found)
 
 
@@ -159,18 +211,20 @@ class Field:
     weights: dict[str, float]
     between: list[list[float]]
     begin: list[float]
-    _paths: dict = field(default_factory=dict)
     _texts: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"_paths": {}, "_texts": {}}
+        return self.__dict__ | {"_texts": {}}
 
     def emission(self, block: Block) -> float:
-        if len(self._paths) > 100_000:
-            self._paths.clear()
-        found = self._paths.get(block.path)
-        if found is None:
-            found = self._paths[block.path] = sum(self.weights.get(f, 0.0) for f in path_features(block.path))
+        node, above = block.node, []
+        while node is not None and node.owner is not self:
+            above.append(node)
+            node = node.parent
+        for x in reversed(above):
+            x.inherited = (x.parent.inherited if x.parent else 0.0) + sum(self.weights.get(f, 0.0) for f in x.new)
+            x.score, x.owner = x.inherited + sum(self.weights.get(f, 0.0) for f in x.own), self
+        found = block.node.score
         key = text_key(block)
         own = self._texts.get(key)
         if own is None:
@@ -206,7 +260,7 @@ def train(pages: Iterable[tuple[list[Block], list[bool]]], rounds: int = 12, rat
     made = []
     for found, labels in pages:
         if found:
-            rows = [np.array([index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(text_key(b)))]) for b in found]
+            rows = [np.array([index.setdefault(f, len(index)) for f in (*path_features(b.node), *text_features(text_key(b)))]) for b in found]
             made.append((rows, np.array(labels, int)))
     w, wg = np.zeros(len(index)), np.full(len(index), 1e-6)
     t, tg = np.zeros(6), np.full(6, 1e-6)  # four transitions, two beginnings

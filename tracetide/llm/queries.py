@@ -104,7 +104,7 @@ def page_model() -> op10.Field:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = op10.extract(table(spark, sf_dir, "pages"), page_model())
+    pages = op10.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), page_model())
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
