@@ -42,11 +42,11 @@ def tables(spark):
     return rows, items, spark.createDataFrame([(*x, "c", "c") for x in rows], "doc_id long, text string, items string, win string").repartition(3), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, length int")
 
 
-@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
-def test_report_against_brute_force(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 26, 0])
+def test_report_against_brute_force(spark, broadcast_bytes):
     rows, items, docs, bench = tables(spark)
     want = brute(rows, items)
-    got = {r.doc_id: r for r in d.report(docs, bench, broadcast_rows=broadcast_rows).collect()}
+    got = {r.doc_id: r for r in d.report(docs, bench, broadcast_bytes=broadcast_bytes).collect()}
     assert got.keys() == want.keys()
     for i, (n, hit, found) in want.items():
         assert (got[i].n_words, set(got[i].positions), sorted(got[i].items)) == (n, hit, found), i
@@ -72,6 +72,8 @@ def test_repeats_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b"), (None, "c")], "item_id long, text string")
     got = sorted((r.doc_id or -1, r.n_words, r.n_hit) for r in d.report(docs, bench).collect())
-    assert got == [(-1, 0, 0), (-1, 2, 2), (1, 1, 0), (1, 2, 2)]
+    assert got == [(-1, 0, 0), (-1, 2, 2), (1, 1, 1), (1, 2, 2), (1, 2, 2)]
+    assert {tuple(r["items"]) for r in d.report(docs, bench).filter("n_words = 1").collect()} == {()}
+    assert sorted(r.text for r in d.decontaminate(docs, bench, remove="spans").filter("doc_id = 1").collect()) == ["", " ", " "]
     assert d.report(docs.limit(0), bench).count() == 0
     assert all(r.n_hit == 0 for r in d.report(docs, bench.limit(0)).collect())

@@ -113,32 +113,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-dw AS (SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bl AS (SELECT item_id, w, least(len(w), 13) AS k FROM bw WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM bl)),
 ks AS (SELECT DISTINCT k FROM win),
-cand AS (SELECT doc_id, text, k, s, array_to_string(w[s : s + k - 1], ' ') AS win FROM (SELECT doc_id, text, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM dw CROSS JOIN ks WHERE len(w) >= k)),
-hit AS (SELECT doc_id, text, cand.k, s, item_id FROM cand JOIN win ON cand.k = win.k AND cand.win = win.win),
-pos AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id, text),
-its AS (SELECT doc_id, text, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM hit GROUP BY doc_id, text)
+cand AS (SELECT r, k, s, array_to_string(w[s : s + k - 1], ' ') AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM dw CROSS JOIN ks WHERE len(w) >= k)),
+hit AS (SELECT r, cand.k, s, item_id FROM cand JOIN win ON cand.k = win.k AND cand.win = win.win),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM hit WHERE item_id IS NOT NULL GROUP BY r)
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.w) AS contaminated
-FROM dw LEFT JOIN pos ON dw.doc_id IS NOT DISTINCT FROM pos.doc_id AND dw.text = pos.text LEFT JOIN its ON dw.doc_id IS NOT DISTINCT FROM its.doc_id AND dw.text = its.text
+FROM dw LEFT JOIN pos ON dw.r = pos.r LEFT JOIN its ON dw.r = its.r
 """
 
 
 OP8_SQL = """
-WITH h AS (SELECT DISTINCT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS win FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM h WHERE n >= 100)),
-late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
-edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM late),
-span AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM edge) GROUP BY doc_id, run),
-gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM span UNION ALL SELECT doc_id, max(b), 1000000000 FROM span GROUP BY doc_id),
-kept AS (SELECT gap.doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS kx FROM gap JOIN h USING (doc_id) GROUP BY gap.doc_id),
-cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
-SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kx, x))) AS kept_sha256
-FROM h LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+o AS (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, x) AS d FROM h),
+w AS (SELECT DISTINCT d, doc_id, s, substr(x, 2 * s + 1, 200) AS win FROM (SELECT d, doc_id, x, unnest(range(0, n - 99)) AS s FROM o WHERE n >= 100)),
+late AS (SELECT d, s FROM (SELECT d, s, row_number() OVER (PARTITION BY win ORDER BY d, s) AS k FROM w) WHERE k > 1),
+edge AS (SELECT d, s, CASE WHEN s <= lag(s) OVER (PARTITION BY d ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM late),
+span AS (SELECT d, min(s) AS a, max(s) + 100 AS b FROM (SELECT d, s, sum(new) OVER (PARTITION BY d ORDER BY s) AS run FROM edge) GROUP BY d, run),
+gap AS (SELECT d, coalesce(lag(b) OVER (PARTITION BY d ORDER BY a), 0) AS f, a AS t FROM span UNION ALL SELECT d, max(b), 1000000000 FROM span GROUP BY d),
+texts AS (SELECT DISTINCT d, x FROM o),
+kept AS (SELECT gap.d, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS kx FROM gap JOIN texts USING (d) GROUP BY gap.d),
+cut AS (SELECT d, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY d)
+SELECT o.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kx, x))) AS kept_sha256
+FROM o LEFT JOIN cut USING (d) LEFT JOIN kept USING (d)
 """
 
 OP9_SQL = """
