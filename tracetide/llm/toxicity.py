@@ -151,16 +151,19 @@ def _counts(sample: DataFrame, least: int, prefixes: range) -> DataFrame:
     return sample.select("text", "y").mapInArrow(run, "term string, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(F.col("toxic") + F.col("other") >= least)
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, least: int = 4, max_terms: int = 4_000, ratio: float = 3.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, least: int = 4, ratio: float = 3.0) -> Lexicon:
     """A lexicon from labelled documents; rows without a label or id teach nothing.
 
-    sample bounds the labelled documents read, max_terms the lexicon.
+    sample bounds the labelled documents read; of several rows with one id the one
+    with the smallest hash of its text teaches. The lexicon holds every term and
+    exception phrase that at least `least` of them hold, and so grows with their words.
     """
     require(docs, doc_id, text)
     require(labels, doc_id, label)
     marks = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(sample)
-    taught = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(marks), "id")
+    taught = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(marks), "id")  # at most sample rows
+    taught = taught.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     taught = materialize(taught.select("text", (F.col("y") > 0).cast("int").alias("y")), "taught")
     totals = {r.y: r["count"] for r in taught.groupBy("y").count().collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
@@ -168,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Lexicon({}, [], 1.0, math.log((toxic + 0.5) / (other + 0.5)))
     counted = _counts(taught, least, range(3, 9)).withColumn("weight", F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1)))
     counted = materialize(counted.withColumn("is_phrase", F.size(F.split(F.trim("term"), " ")) == 2), "terms")
-    top = counted.filter(~F.col("is_phrase") & (F.col("weight") >= ratio)).orderBy(F.desc(F.col("weight") * F.sqrt(F.col("toxic").cast("double"))), "term").limit(max_terms).select("term", "weight").collect()
+    top = counted.filter(~F.col("is_phrase") & (F.col("weight") >= ratio)).select("term", "weight").collect()
     terms = _without_longer({r.term: r.weight for r in top})
     phrases = counted.filter("is_phrase and weight <= 0")
     listed, sizes = list(terms), sorted({len(t) - 1 for t in terms if not t.endswith(" ")})
@@ -177,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return reduce(or_, [F.concat(F.lit(" "), F.substring(w, 1, k)).isin(listed) for k in sizes], F.concat(F.lit(" "), w, F.lit(" ")).isin(listed))
 
     held = F.exists(F.split(F.trim("term"), " "), is_held)
-    exceptions = [r.term for r in phrases.filter(held).orderBy("weight", "term").limit(max_terms).select("term").collect()] if terms else []
+    exceptions = [r.term for r in phrases.filter(held).select("term").orderBy("term").collect()] if terms else []
     lexicon = Lexicon(terms, exceptions)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
