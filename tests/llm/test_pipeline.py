@@ -72,3 +72,23 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     tables(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert "sequence_id" in out.columns and out.count() > 100
+
+
+def test_empty_tables_and_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = lambda k: " ".join(f"{chr(97 + k)}{i}x" for i in range(80))
+    rows = [(7, prose(0), "en", "s", 1), (7, prose(1), "en", "s", 1), (7, prose(1), "en", "s", 1), (None, prose(1), "en", "s", 1), (None, prose(2), "en", "s", 1), (None, None, None, None, None)]
+    for name, given in (("empty", []), ("repeats", rows)):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(given, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[1:]:
+            out = f(spark, docs, path)
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            if stage == "simhash":
+                kept = sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
+        assert kept == (sorted([(7, prose(0)), (7, prose(1)), (-1, prose(2)), (-1, "")]) if given else [])
+        assert docs.select("doc_id", "start").count() >= len(kept) and (given or docs.count() == 0)
+        assert given or corpus_pipeline.run(spark, path).count() == 0
