@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tracetide.api import Waveform
@@ -35,6 +37,7 @@ def lines(text):
         ("#0\r\n1!\r\n#5\r\n0!\r\n", [(0, "1"), (5, "0")], [0, 5]),
         ("$dumpvars 0! $end\n#1\n1!\n", [(0, "0"), (1, "1")], [0, 1]),
         ("#1\n$comment skip 1! $end\n0!\n", [(1, "0")], [1]),
+        ("#1\n$comment\n# notes\n#7 1!\n$end 0!\n#2\n1!\n", [(1, "0"), (2, "1")], [1, 2]),
     ],
 )
 def test_bodies(spark, tmp_path, body, changes, times):
@@ -116,3 +119,28 @@ def test_objects(spark, tmp_path):
     steps = []
     w.stream_time_steps(lambda t, values, changed: steps.append((t, len(changed))), ["top.out", w["top.sub.c"]])
     assert steps == [(0, 2), (2, 1), (6, 1), (9, 1)]
+
+
+def test_comments_with_lines_that_begin_with_a_time(spark, tmp_path):
+    path = tmp_path / "c.vcd"
+    body = "".join(f"#{i}\n{i % 2}!\n" + ("$comment\n# a\n#3\n0! $end\n" if i % 5 == 0 else "") for i in range(2000))
+    path.write_text("$comment\n# made by hand\n#1\n$end\n$scope module top $end\n$var wire 1 ! a $end\n$upscope $end\n$enddefinitions $end\n" + body)
+    v = VcdFiles(spark, str(path))
+    assert v.table("meta").first().comments == ["# made by hand\n#1"]
+    want = [(i, str(i % 2)) for i in range(2000)]
+    assert read(spark, str(path))[0] == want
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert read(spark, str(path))[0] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_a_header_of_many_variables_is_read_in_linear_time():
+    took = []
+    for n in (4_000, 40_000):
+        began = time.process_time()
+        Header("$scope module a $end\n" + "".join(f"$var wire 1 {i} v{i} $end\n" for i in range(n)) + "$upscope $end $enddefinitions $end")
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.05)

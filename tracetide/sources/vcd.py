@@ -1,10 +1,12 @@
 """VCD files as DataFrames.
 
-The header of each file is parsed once into catalog tables. The body is read by
-Spark's splittable text source with a record for each time step, tokenised by one
-regular expression, and decoded by built-in expressions; order within a file is
-(split, row, position). Steps that go back in time are dropped with their changes,
-by a window within each split and one row for each split above it.
+The body is read by Spark's splittable text source with a record for each line
+that begins with #. A first look, by built-in functions, finds where each file's
+header ends and which splits begin inside a comment. The header is parsed once
+into catalog tables. The body is then tokenised in order, a split at a time, and
+its values are decoded by built-in expressions. Steps that go back in time are
+dropped with their changes: each split decides for itself, but for steps at or
+before the latest time of the splits above it, of which there is one row each.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ class VcdError(ValueError):
 
 COMMANDS = frozenset("date timescale var scope upscope comment version enddefinitions attrbegin attrend".split())
 COMMAND = re.compile(r"\$(\S+)\s*(.*?)\s*\$end(?=\s|\Z)", re.S)
+SPACE = re.compile(r"\s*")
 SUFFIX = re.compile(r"^(.*?)\s*\[\s*(-?\d+)\s*(?::\s*(-?\d+)\s*)?\]$", re.S)
 
 
@@ -78,7 +81,7 @@ class Header:
     def _read(self, text: str) -> int:
         at = 0
         while True:
-            at += len(text[at:]) - len(text[at:].lstrip())
+            at = SPACE.match(text, at).end()
             m = COMMAND.match(text, at)
             if not m:
                 raise VcdError("header ends without $enddefinitions" if text[at : at + 1] in ("", "$") else f"unknown or invalid command: {text[at : at + 30]!r}")
@@ -236,9 +239,90 @@ class Header:
 
 TABLES = {"meta": model.META, "scopes": model.SCOPES, "vars": model.VARS, "signals": model.SIGNALS, "derived": model.DERIVED, "enums": model.ENUMS}
 
-#: One token: a comment, a command, a time, a value with its id, a scalar with its id, or anything else.
-TOKEN = r"(?s)\$comment\s.*?\$end(?=\s|$)|\$\S+|#\S+|[bBrRsS]\S*\s+\S+|\S+"
-TIME = r"^(\d+)(?:\.0*)?$"
+TIME = re.compile(r"(\d+)(?:\.0*)?")
+LONG, SCALAR = frozenset("bBrRsS"), frozenset("01xXzZhHuUwWlL-")
+IGNORED = frozenset(("$dumpvars", "$dumpon", "$dumpoff", "$end"))
+TOKENS = "file string, block bigint, pos bigint, time bigint, own boolean, first boolean, letter string, code string, rest string"
+ROWS = 1 << 16
+
+
+class Scanner:
+    """The tokens of one split, record by record.
+
+    A step (a time with the changes up to the next one) is `own` if the split by itself
+    accepts it: it is later than all before, or at the latest time and follows an accepted
+    step. It is `first` if all steps up to it have one time.
+    """
+
+    def __init__(self, inside: bool):
+        self.inside = inside  # a comment
+        self.pos = 0
+        self.time = self.latest = self.lowest = None
+        self.own = self.first = True
+
+    def _text_time(self, text: str) -> int:
+        if text.isdecimal() and text.isascii():
+            return int(text)
+        m = TIME.fullmatch(text)
+        if not m:
+            raise VcdError(f"cannot parse an integer time: {text}" if text else "unknown or invalid command: #")
+        return int(m[1])
+
+    def step(self, time: int) -> None:
+        if self.latest is None or time > self.latest:
+            self.own, self.first, self.latest = True, self.latest is None, time
+        elif time < self.latest:
+            self.own = self.first = False
+        self.time = time
+
+    def record(self, text: str, begins_with_time: bool, out: list, start: int | None, end: int | None) -> None:
+        """Adds (pos, time, own, first, letter, code, rest) for each step, with no letter, and each change."""
+        words = iter(text.split())
+        if begins_with_time and not self.inside:
+            time = next(words, "") if text[:1].strip() else ""
+            self.pos += 1
+            self.step(self._text_time(time))
+            if (start is None or self.time >= start) and (end is None or self.time <= end):
+                out.append((self.pos, self.time, self.own, self.first, None, None, None))
+        for word in words:
+            if self.inside:
+                self.inside = not word.endswith("$end")
+                continue
+            self.pos += 1
+            letter = word[0]
+            if letter == "#" or word == "$dumpall":
+                self.step(self._text_time(word[1:]) if letter == "#" else 0)
+                if (start is None or self.time >= start) and (end is None or self.time <= end):
+                    out.append((self.pos, self.time, self.own, self.first, None, None, None))
+                continue
+            if letter == "$":
+                if word == "$comment":
+                    self.inside = True
+                elif word not in IGNORED:
+                    raise VcdError(f"unknown or invalid command: {word}")
+                continue
+            if letter in SCALAR:
+                code, rest = word[1:], ""
+            elif letter in LONG:
+                code, rest = next(words, ""), word[1:]
+            else:
+                raise VcdError(f"unknown or invalid command: {word}")
+            if not code:
+                raise VcdError(f"expected an id: {word}")
+            if self.time is None:  # changes before the first time are at 0
+                self.step(0)
+                if (start is None or start <= 0) and (end is None or end >= 0):
+                    out.append((self.pos, 0, True, True, None, None, None))
+                self.pos += 1
+            if (start is None or self.time >= start) and (end is None or self.time <= end):
+                out.append((self.pos, self.time, self.own, self.first, letter, code, rest))
+
+    def skim(self, text: str, begins_with_time: bool) -> None:
+        """record() for times alone."""
+        if begins_with_time and not self.inside and "#" not in text and "$" not in text:
+            self.step(self._text_time(text.split(None, 1)[0] if text[:1].strip() else ""))
+        else:
+            self.record(text, begins_with_time, [], None, None)
 
 
 class VcdFiles:
@@ -247,18 +331,37 @@ class VcdFiles:
     def __init__(self, spark: SparkSession, path: str, flatten_unnamed: bool = False):
         self.spark, self.path, self.flatten = spark, path, flatten_unnamed
         self._catalog: DataFrame | None = None
+        self._found: DataFrame | None = None
 
     def _records(self) -> DataFrame:
-        """One row for each stretch of text up to a line that begins with #."""
+        """One row for each stretch of text up to a line that begins with #, in order within a split."""
         text = self.spark.read.option("lineSep", "\n#").text(self.path)
         return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
 
+    def _splits(self) -> DataFrame:
+        """(file, block, inside, end_block, end_row): whether the split begins inside a comment, and the record in which the file's header ends."""
+        if self._found is None:
+            # what follows the last $end of a record tells whether it ends inside a comment, wherever it began
+            opened = F.element_at(F.split("value", r"\$end(?=\s|$)"), -1).contains("$comment")
+            marked = F.col("value").contains("$comment") | F.col("value").contains("$end")
+            found = self._records().groupBy("file", "block").agg(
+                F.max_by(opened, F.when(marked, F.col("row"))).alias("opened"), F.min(F.when(F.col("value").contains("$enddefinitions"), F.col("row"))).alias("end_row"), F.min("row").alias("first_row")
+            )
+            found = materialize(found, "splits")
+            above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each split
+            ends = found.groupBy("file").agg(F.min(F.when(F.col("end_row").isNotNull(), F.struct("block", "end_row"))).alias("end"), F.min(F.struct("block", F.col("first_row").alias("end_row"))).alias("begin"))
+            ends = ends.select("file", F.coalesce("end", "begin").alias("end")).select("file", F.col("end.block").alias("end_block"), F.col("end.end_row").alias("end_row"))
+            inside = found.select("file", "block", F.coalesce(F.last("opened", ignorenulls=True).over(above), F.lit(False)).alias("inside"))
+            self._found = materialize(inside.join(ends, "file"), "splits")
+        return self._found
+
     def _catalog_rows(self) -> DataFrame:
         if self._catalog is None:
             flatten = self.flatten
-            first = self._records().filter("block = 0")
-            # a header is the file's first record; one that holds a line with # is told by its missing end
-            first = first.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("row"))).filter("n = 1")
+            # a header is one record, but for comments in it with lines that begin with #
+            head = self._records().join(F.broadcast(self._splits()), ["file", "block"]).filter((F.col("block") < F.col("end_block")) | ((F.col("block") == F.col("end_block")) & (F.col("row") <= F.col("end_row"))))
+            parts = F.array_sort(F.collect_list(F.struct("block", "row", "value")))
+            first = head.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: F.coalesce(x["value"], F.lit(""))), "\n#").alias("value"))
 
             def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
@@ -274,71 +377,86 @@ class VcdFiles:
         schema = TABLES[name].removeprefix("file string, ")
         return self._catalog_rows().filter(F.col("kind") == name).select("file", F.from_json("row", schema).alias("r")).select("file", "r.*")
 
-    def _tokens(self) -> DataFrame:
-        """(file, block, row, pos, time, token): time is that of the record or of the last time token before in it."""
-        records = self._records()
-        is_first = (F.col("block") == 0) & F.col("value").contains("$enddefinitions")
-        body = F.when(is_first, F.regexp_replace("value", r"(?s)^.*?\$enddefinitions\s+\$end[^\n]*", "")).otherwise(F.concat(F.lit("#"), F.col("value")))
-        tokens = records.select("file", "block", "row", F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("$comment")).alias("tokens"))
-        is_time = lambda t: t.startswith("#") | (t == "$dumpall")
-        plain = tokens.filter(F.size(F.filter("tokens", is_time)) <= F.when(is_time(F.get("tokens", F.lit(0))), 1).otherwise(0))
-        mixed = tokens.filter(F.size(F.filter("tokens", is_time)) > F.when(is_time(F.get("tokens", F.lit(0))), 1).otherwise(0))
-        own = F.get("tokens", F.lit(0))
-        step = lambda t: F.when(t == "$dumpall", F.lit("0")).otherwise(F.substring(t, 2, 1 << 20))
-        a = plain.select("file", "block", "row", F.when(is_time(own), step(own)).alias("time"), F.posexplode("tokens").alias("pos", "token"))
-        b = mixed.select("file", "block", "row", F.posexplode("tokens").alias("pos", "token"))
-        w = Window.partitionBy("file", "block", "row").orderBy("pos")
-        b = b.withColumn("time", F.last(F.when(is_time(F.col("token")), step(F.col("token"))), ignorenulls=True).over(w)).select("file", "block", "row", "time", "pos", "token")
-        out = a.union(b)
-        text = F.coalesce("time", F.lit("0"))  # changes before the first time are at 0
-        whole = F.when(text.rlike(TIME), F.regexp_extract(text, TIME, 1).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("cannot parse an integer time: "), text)).cast("bigint"))
-        return out.withColumn("is_time", is_time(F.col("token"))).withColumn("time", whole)
-
-    def _accepted(self, tokens: DataFrame) -> DataFrame:
-        """tokens with `kept`: the step's time is not before the latest accepted one.
-
-        A step at the latest accepted time keeps the state of the step before it.
+    def _scanned(self, start: int | None, end: int | None, skim: bool) -> DataFrame:
+        """Steps and changes of all splits; with skim, one row for each split: its last step and in pos its latest time."""
+        splits = F.broadcast(self._splits())  # one row for each split that is read
+        text = F.col("value")
+        ends = (F.col("block") == F.col("end_block")) & (F.col("row") == F.col("end_row"))
+        body = F.when(ends, F.regexp_replace(text, r"(?s)^.*?\$enddefinitions\s+\$end[^\n]*", "")).otherwise(text)
+        after = (F.col("block") > F.col("end_block")) | ((F.col("block") == F.col("end_block")) & (F.col("row") >= F.col("end_row")))
+        rows = self._records().join(splits, ["file", "block"]).filter(after).select("file", "block", "inside", ends.alias("ends"), body.alias("value"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, scanner, out = None, None, []
+
+            def send() -> pa.RecordBatch:
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                n = len(out)
+                return pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.string()), pa.array([at[1]] * n, pa.int64()), *columns], [c.split()[0] for c in TOKENS.split(", ")])
+
+            def summary() -> None:
+                if skim and scanner.time is not None:
+                    out.append((scanner.latest, scanner.time, scanner.own, scanner.first, None, None, None))
+
+            for b in batches:
+                files, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for file, block, inside, is_end, value in zip(files, blocks, b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    if (file, block) != at:
+                        if scanner is not None:
+                            summary()
+                            if out:
+                                yield send()
+                                out = []
+                        at, scanner = (file, block), Scanner(inside and not is_end)
+                    if skim:
+                        scanner.skim(value, not is_end)
+                    else:
+                        scanner.record(value, not is_end, out, start, end)
+                        if len(out) >= ROWS:
+                            yield send()
+                            out = []
+            if scanner is not None:
+                summary()
+                if out:
+                    yield send()
+
+        return rows.mapInArrow(run, TOKENS)
+
+    def _tokens(self, start: int | None = None, end: int | None = None) -> DataFrame:
+        """(file, block, pos, time, letter, code, rest) of accepted steps, which have no letter, and their changes.
+
+        A step is accepted if it is later than all before it, or at the latest time and follows an accepted one.
         """
-        steps = tokens.filter(F.col("is_time") | ~F.col("token").startswith("$")).groupBy("file", "block", "row", "time").agg(F.min("pos").alias("pos"))
-        within = Window.partitionBy("file", "block").orderBy("row", "pos")
-        splits = steps.groupBy("file", "block").agg(F.max("time").alias("highest"))
-        above = splits.withColumn("reached", F.max("highest").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("highest")
-        latest = F.greatest("reached", F.max("time").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-        steps = steps.join(above, ["file", "block"]).withColumn("latest", latest)
-        flag = F.when(F.col("latest").isNull() | (F.col("time") > F.col("latest")), 1).when(F.col("time") < F.col("latest"), 0)
-        steps = steps.withColumn("flag", flag).withColumn("own", F.last("flag", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        ends = steps.filter("flag is not null").groupBy("file", "block").agg(F.max_by("flag", F.struct("row", "pos")).alias("last_flag"))
-        carried = splits.select("file", "block").join(ends, ["file", "block"], "left").withColumn("carry", F.last("last_flag", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("last_flag")
-        return steps.join(carried, ["file", "block"]).withColumn("kept", F.coalesce("own", "carry", F.lit(1)) == 1).select("file", "block", "row", "time", "kept")
+        tokens = self._scanned(start, end, False)
+        if self._splits().groupBy("file").count().filter("count > 1").isEmpty():
+            return tokens.filter("own").drop("own", "first")
+        splits = materialize(self._scanned(None, None, True), "split-times")
+        above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each split
+        splits = splits.withColumn("reached", F.max("pos").over(above))
+        # the last step's state, where it does not hang on the splits above
+        state = F.when(F.col("reached").isNull() | (F.col("time") > F.col("reached")), F.col("own")).when((F.col("time") < F.col("reached")) | ~F.col("first"), False)
+        splits = splits.withColumn("carried", F.last(state, ignorenulls=True).over(above)).select("file", "block", "reached", "carried")
+        joined = tokens.join(F.broadcast(splits), ["file", "block"])
+        kept = F.when(F.col("reached").isNull() | (F.col("time") > F.col("reached")), F.col("own")).when(F.col("time") < F.col("reached"), False).otherwise(F.col("first") & F.col("carried"))
+        return joined.filter(kept).drop("own", "first", "reached", "carried")
 
     def steps(self) -> DataFrame:
         """(file, time): all accepted times, with or without changes."""
-        tokens = self._tokens()
-        return self._accepted(tokens).filter("kept").select("file", "time").distinct()
+        return self._tokens().filter("letter is null").select("file", "time").distinct()
 
     def changes(self, signals: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
         """(file, signal_id, time, seq, kind, bits, str, real), in file order by seq; of all ground signals or of (file, signal_id) given.
 
         start and end are included; they drop tokens before these are decoded.
         """
-        tokens = self._tokens()
-        kept = self._accepted(tokens).filter("kept").drop("kept")
-        if start is not None:
-            tokens = tokens.filter(F.col("time") >= start)
-        if end is not None:
-            tokens = tokens.filter(F.col("time") <= end)
-        letter = F.lower(F.substring("token", 1, 1))
-        long = letter.isin("b", "r", "s")
-        known = F.col("token").startswith("$")
-        scalar = letter.rlike("[01xzhuwl-]")
-        code = F.when(long, F.regexp_extract("token", r"\s(\S+)$", 1)).otherwise(F.substring("token", 2, 1 << 20))
-        problem = F.when(F.col("is_time") | known, None).when(~long & ~scalar, F.concat(F.lit("unknown or invalid command: "), F.col("token"))).when(code == "", F.concat(F.lit("expected an id: "), F.col("token")))
-        named = tokens.filter(~F.col("is_time") & ~F.col("token").isin("$dumpvars", "$dumpon", "$dumpoff", "$end", "$dumpall")).select("file", "block", "row", "pos", "time", letter.alias("letter"), F.when(problem.isNotNull() | known, F.raise_error(F.coalesce(problem, F.concat(F.lit("unknown or invalid command: "), F.col("token")))).cast("string")).otherwise(code).alias("id_code"), F.regexp_extract("token", r"^\S(\S*)", 1).alias("rest"))
+        letter = F.lower("letter")
+        named = self._tokens(start, end).filter("letter is not null").select("file", "block", "pos", "time", letter.alias("letter"), F.col("code").alias("id_code"), "rest")
         wanted = self.table("signals").filter("kind = 'ground'")
         if signals is not None:
             wanted = wanted.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
-        found = named.join(wanted, ["file", "id_code"]).join(kept, ["file", "block", "row", "time"], "left_semi")
+        found = named.join(wanted, ["file", "id_code"])
         encoding, width = F.col("encoding"), F.col("width")
         bits = F.when(encoding == "bits", F.when(F.col("letter") == "b", values.from_vcd(F.col("rest"), width)).otherwise(values.extend(F.col("letter"), width)))
         kind = F.when(encoding == "event", 0).when(encoding == "bits", 1).when(encoding == "string", 2).otherwise(3).cast("tinyint")
-        return found.select("file", "signal_id", "time", F.struct("block", "row", "pos").alias("seq"), kind.alias("kind"), bits.alias("bits"), F.when(encoding == "string", values.unescape(F.col("rest"))).alias("str"), F.when(encoding == "real", F.col("rest").cast("double")).alias("real"))
+        return found.select("file", "signal_id", "time", F.struct("block", "pos").alias("seq"), kind.alias("kind"), bits.alias("bits"), F.when(encoding == "string", values.unescape(F.col("rest"))).alias("str"), F.when(encoding == "real", F.col("rest").cast("double")).alias("real"))
