@@ -65,10 +65,10 @@ def test_catalog_and_changes(spark, tmp_path, order):
     ids = {r.full_name: r.signal_id for r in f.table("vars").collect()}
     assert ids["top.clk"] == ids["top.gen(-2).p.a"] and ids["top.q"] == ids["top.gen(-2).p.b"]
     got = {}
-    for r in f.changes().orderBy("time").collect():
+    for r in f.changes().orderBy("time", "seq").collect():
         got.setdefault(r.signal_id, []).append((r.time, r.bits if r.real is None else r.real))
     assert got[ids["top.clk"]] == [(0, "u"), (5, "1")]
-    assert got[ids["top.q"]] == [(0, "000u"), (5, "100u"), (15, "1000")]
+    assert got[ids["top.q"]] == [(0, "000u"), (5, "100u"), (15, "100z"), (15, "1000")]
     assert got[ids["top.n"]] == [(0, "1" * 32), (15, f"{7:032b}")] and got[ids["top.r"]] == [(0, 1.5)] and got[ids["top.s"]] == [(0, "00"), (15, "10")]
     assert sorted(r.time for r in f.steps().collect()) == [0, 5, 15]
 

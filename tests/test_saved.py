@@ -18,7 +18,7 @@ def test_save_and_reread(spark, tmp_path):
 def test_every_format_opens(spark, tmp_path):
     (tmp_path / "x.ghw").write_bytes(ghw())
     w = Waveform(spark, str(tmp_path / "x.ghw"))
-    assert w.file_format == "ghw" and list(w["top.q"].signal) == [(0, "000u"), (5, "100u"), (15, 8)] and w["top.s"].enum_type == {"00": "idle", "01": "run", "10": "stop"}
+    assert w.file_format == "ghw" and list(w["top.q"].signal) == [(0, "000u"), (5, "100u"), (15, "100z"), (15, 8)] and w["top.s"].enum_type == {"00": "idle", "01": "run", "10": "stop"}
     (tmp_path / "x.fst").write_bytes(fst()[0])
     w = Waveform(spark, str(tmp_path / "x.fst"))
     assert w.file_format == "fst" and w["top.q"][12] == 5 and w["top.r"].signal[-1] == (20, 2.5)

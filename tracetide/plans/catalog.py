@@ -6,17 +6,23 @@ O (orders: customer, order date), C (conversations). H is the tree region > nati
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracetide.api import Waveform
 from tracetide.builder import Encoder, HierarchyBuilder
 from tracetide.functions import values
 from tracetide.operators import derived, hierarchy
 from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, numbered, undelta_times
+from tracetide.sources import writers
 from tracetide.sources.detect import file_format
+from tracetide.sources.fst import FstFiles
+from tracetide.sources.ghw import GhwFiles
 from tracetide.sources.vcd import VcdFiles
 from tracetide.storage import shared_dir
 from tracetide.streaming import steps
@@ -521,10 +527,94 @@ def q54_vcd_round_trip(spark, d):
     return read.select(F.regexp_extract("file", r"signal=(\d+)", 1).cast("bigint").alias("signal"), "time", F.col("bits").alias("value"))
 
 
-@query("SELECT 'events' AS name, 'unknown' AS file_format")
+def written(spark: SparkSession, rows: DataFrame, key: str, suffix: str, content) -> str:
+    """A folder of files, one for each key, written side by side by the tasks that hold the keys' rows; content makes bytes of them."""
+    folder = f"{shared_dir(spark)}/tracetide/{suffix}-{uuid.uuid4().hex}".removeprefix("file:")
+    os.makedirs(folder)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        with open(f"{folder}/{pdf[key].iloc[0]}.{suffix}", "wb") as f:
+            f.write(content(pdf))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    rows.groupBy(key).applyInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    return folder
+
+
+def user_of(file: str = "file"):
+    return F.regexp_extract(file, r"(\d+)\.\w+$", 1).cast("bigint")
+
+
+def as_ghw(pdf: pd.DataFrame) -> bytes:
+    """Every event is a cycle: it sets the bit `over` and one element of the vector q."""
+    pdf = pdf.sort_values(["time", "seq"])
+    return writers.ghw("events", "over", "q", 4, [(t, [(0, v), (1 + k, v)]) for t, v, k in zip(pdf["time"].tolist(), pdf["value"], (pdf["seq"] % 4).tolist(), strict=True)])
+
+
+@query(f"""WITH {EB}, q AS (SELECT *, seq % 4 AS k, min(time) OVER (PARTITION BY signal) AS begin FROM eb),
+v AS (SELECT signal, time, seq, lead(time) OVER s AS next, lead(k) OVER s AS next_k, lead(value) OVER s AS next_value, value, begin,
+  coalesce(last_value(CASE WHEN k = 0 THEN value END IGNORE NULLS) OVER s, 'u') || coalesce(last_value(CASE WHEN k = 1 THEN value END IGNORE NULLS) OVER s, 'u') || coalesce(last_value(CASE WHEN k = 2 THEN value END IGNORE NULLS) OVER s, 'u') || coalesce(last_value(CASE WHEN k = 3 THEN value END IGNORE NULLS) OVER s, 'u') AS bits
+  FROM q WINDOW s AS (PARTITION BY signal ORDER BY time, seq))
+SELECT signal, 'events.over' AS full_name, time, value AS bits FROM eb UNION ALL SELECT signal, 'events.over', min(time), 'u' FROM eb GROUP BY signal
+UNION ALL SELECT signal, 'events.q', time, bits FROM v WHERE next IS DISTINCT FROM time UNION ALL SELECT signal, 'events.q', min(time), 'uuuu' FROM eb GROUP BY signal""")
+def q55_ghw(spark, d):
+    """Each user's log is written as a GHW file and read back: a bit, and a vector put together from its elements."""
+    rows = events(spark, d, bit()).df
+    waves = GhwFiles(spark, written(spark, rows, "signal", "ghw", as_ghw))
+    found = waves.changes().join(waves.table("vars").select("file", "signal_id", "full_name"), ["file", "signal_id"])
+    return found.select(user_of().alias("signal"), "full_name", "time", "bits")
+
+
+def as_fst(pdf: pd.DataFrame) -> bytes:
+    """Two variables: the events with even and with odd numbers."""
+    pdf = pdf.sort_values(["time", "seq"])
+    times = sorted(set(pdf["time"].tolist()))
+    index = {t: k for k, t in enumerate(times)}
+    own = [[(index[t], int(v)) for t, v, s in zip(pdf["time"].tolist(), pdf["value"], pdf["seq"].tolist(), strict=True) if s % 2 == odd] for odd in (0, 1)]
+    return writers.fst("events", ["even", "odd"], times, own)
+
+
+@query(f"""WITH {EB} SELECT signal, CASE WHEN seq % 2 = 0 THEN 'events.even' ELSE 'events.odd' END AS full_name, time, value AS bits FROM eb
+UNION ALL SELECT signal, n, min(time), 'x' FROM eb, (VALUES ('events.even'), ('events.odd')) t(n) GROUP BY signal, n""")
+def q56_fst(spark, d):
+    """Each user's log is written as an FST file and read back; x is the value before the first change."""
+    waves = FstFiles(spark, written(spark, events(spark, d, bit()).df, "signal", "fst", as_fst))
+    found = waves.changes().join(waves.table("vars").select("file", "signal_id", "full_name"), ["file", "signal_id"])
+    return found.select(user_of().alias("signal"), "full_name", "time", "bits")
+
+
+@query(f"""WITH {EB}, {deduped('eb')}, u AS (SELECT DISTINCT signal FROM eb WHERE signal IN (SELECT signal FROM eb ORDER BY signal LIMIT 1))
+SELECT 'change' AS what, time, value FROM d JOIN u USING (signal)
+UNION ALL SELECT 'length', CAST(count(*) AS BIGINT), '' FROM d JOIN u USING (signal)
+UNION ALL SELECT 'first', min(time), arg_min(value, time) FROM d JOIN u USING (signal)
+UNION ALL SELECT 'at', max(time), arg_max(value, time) FROM d JOIN u USING (signal)
+UNION ALL SELECT 'variable', 1, 'events.over'""")
+def q59_objects(spark, d):
+    """The first user's log as a VCD file, asked through objects."""
+    log = events(spark, d, bit())
+    first = log.df.agg(F.min("signal")).first()[0]
+    own = log.df.filter(F.col("signal") == first)
+    text = lambda pdf: (HEADER + "\n" + "".join(f"#{t}\n{v}!\n" for t, v in pdf.sort_values(["time", "seq"])[["time", "value"]].itertuples(index=False))).encode()
+    wave = Waveform(spark, f"{written(spark, own, 'signal', 'vcd', text)}/{first}.vcd")
+    var = wave["events.over"]
+    signal = var.signal
+    changes = signal.log.df.select(F.lit("change").alias("what"), "time", "value")
+    time, value = signal[0]
+    last = signal[-1][0]
+    told = [("length", len(signal), ""), ("first", time, str(value)), ("at", last, str(var[last])), ("variable", len(wave.all_vars()), var.full_name)]
+    return changes.union(spark.createDataFrame(told, "what string, time bigint, value string"))
+
+
+@query("SELECT * FROM (VALUES ('vcd', 'vcd'), ('ghw', 'ghw'), ('fst', 'fst'), ('parquet', 'unknown')) t(name, file_format)")
 def q53_detect(spark, d):
-    path = table(spark, d, "events").inputFiles()[0]
-    return spark.createDataFrame([("events", file_format(spark, path))], "name string, file_format string")
+    """Files of each format, told by their first bytes."""
+    rows = events(spark, d, bit()).df
+    user = rows.agg(F.min("signal")).first()[0]
+    first = rows.filter(F.col("signal") == user)
+    made = [("ghw", as_ghw), ("fst", as_fst), ("vcd", lambda pdf: f"{HEADER}\n#0\n0!\n".encode())]
+    kinds = [(kind, file_format(spark, f"{written(spark, first, 'signal', kind, content)}/{user}.{kind}")) for kind, content in made]
+    kinds.append(("parquet", file_format(spark, table(spark, d, "events").inputFiles()[0])))
+    return spark.createDataFrame(kinds, "name string, file_format string")
 
 
 @query("SELECT * FROM (VALUES ('top.count', 0, '0000'), ('top.count', 1, '0001'), ('top.count', 2, '0010'), ('top.count', 3, '0011')) t(full_name, time, bits)")

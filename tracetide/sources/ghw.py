@@ -13,7 +13,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracetide import model
@@ -347,6 +347,46 @@ class GhwFile:
             else:
                 self._unknown(mark)
 
+    def signal_changes(self) -> Iterator[tuple[int | None, int, int, str | None, float | None]]:
+        """(signal, time, seq, bits, real) in file order; without a signal a time step.
+
+        A vector changes once in a step, after its last element, unless all elements
+        have changed or one changes again to another value: then what it was before
+        is a change too (a delta cycle).
+        """
+        places: dict[int, list[tuple[int, int]]] = {}
+        sizes: dict[int, int] = {}
+        for r in self.elements:
+            places.setdefault(r["element"], []).append((r["signal_id"], r["pos"]))
+            sizes[r["signal_id"]] = r["pos"] + 1
+        state = {s: ["u"] * n for s, n in sizes.items() if n > 1}
+        open_bits: dict[int, set[int]] = {}  # elements changed since the vector's last change of this step
+        at = seq = 0
+        for element, time, seq, bits, real in self.changes():
+            if element == 0:
+                if time != at:
+                    for s in open_bits:
+                        yield s, at, seq, "".join(state[s]), None
+                    open_bits = {}
+                at = time
+                yield None, time, seq, None, None
+                continue
+            for s, pos in places.get(element, ()):
+                if sizes[s] == 1:
+                    yield s, time, seq, bits, real
+                    continue
+                changed = open_bits.setdefault(s, set())
+                if pos in changed and state[s][pos] != bits:
+                    yield s, time, seq, "".join(state[s]), None
+                    changed.clear()
+                state[s][pos] = bits
+                changed.add(pos)
+                if len(changed) == sizes[s]:
+                    yield s, time, seq, "".join(state[s]), None
+                    del open_bits[s]
+        for s in open_bits:
+            yield s, at, seq + 1, "".join(state[s]), None
+
     def rows(self) -> Iterator[tuple[str, dict]]:
         yield "meta", {"file_format": "ghw", "timescale_factor": 1, "timescale_unit": "fs", "timescale_exponent": -15, "comments": []}
         for kind, found in (("scopes", self.scopes), ("vars", self.vars), ("signals", self.signals), ("enums", self.enums), ("elements", self.elements)):
@@ -355,7 +395,7 @@ class GhwFile:
 
 
 TABLES = {"meta": model.META, "scopes": model.SCOPES, "vars": model.VARS, "signals": model.SIGNALS, "enums": model.ENUMS, "elements": "file string, signal_id bigint, pos int, element bigint"}
-SCALARS = "file string, element bigint, time bigint, seq bigint, bits string, real double"
+DECODED = "file string, signal_id bigint, time bigint, seq bigint, bits string, real double"
 ROWS = 1 << 16
 
 
@@ -365,7 +405,7 @@ class GhwFiles:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._catalog: DataFrame | None = None
-        self._scalars: DataFrame | None = None
+        self._decoded: DataFrame | None = None
 
     def _files(self) -> DataFrame:
         return self.spark.read.format("binaryFile").load(self.path).select("path", "content")
@@ -384,16 +424,16 @@ class GhwFiles:
         schema = TABLES[name].removeprefix("file string, ")
         return self._catalog.filter(F.col("kind") == name).select("file", F.from_json("row", schema).alias("r")).select("file", "r.*")
 
-    def scalars(self) -> DataFrame:
-        """Scalar changes as they stand in the files; element 0 marks the time steps."""
-        if self._scalars is None:
+    def decoded(self) -> DataFrame:
+        """All changes as they stand in the files; rows without a signal are the time steps."""
+        if self._decoded is None:
 
             def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                names = [f.split()[0] for f in SCALARS.split(", ")]
+                names = [f.split()[0] for f in DECODED.split(", ")]
                 for b in batches:
                     for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                         held: list[tuple] = []
-                        for row in GhwFile(data).changes():
+                        for row in GhwFile(data).signal_changes():
                             held.append((file, *row))
                             if len(held) == ROWS:
                                 yield _batch(held, names)
@@ -401,34 +441,23 @@ class GhwFiles:
                         if held:
                             yield _batch(held, names)
 
-            self._scalars = materialize(self._files().mapInArrow(decode, SCALARS), "scalars")
-        return self._scalars
+            self._decoded = materialize(self._files().mapInArrow(decode, DECODED), "decoded")
+        return self._decoded
 
     def steps(self) -> DataFrame:
-        return self.scalars().filter("element = 0").select("file", "time").distinct()
+        return self.decoded().filter("signal_id is null").select("file", "time").distinct()
 
     def changes(self, signals: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-        """(file, signal_id, time, seq, kind, bits, str, real): final values of each time step in which an element changed. start and end are included."""
-        elements = self.table("elements")
-        if signals is not None:
-            elements = elements.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
-        last = self.scalars().filter("element > 0").groupBy("file", "element", "time").agg(F.max_by(F.struct("bits", "real"), "seq").alias("v"), F.max("seq").alias("seq"))
-        own = last.join(elements, ["file", "element"]).select("file", "signal_id", "pos", "time", "seq", "v.bits", "v.real")
-        n = elements.groupBy("file", "signal_id").agg(F.count("*").alias("n"))
-        single = own.join(n.filter("n = 1"), ["file", "signal_id"]).select("file", "signal_id", "time", "seq", "bits", "real")
-        many = own.join(n.filter("n > 1"), ["file", "signal_id"])
-        # every element gets a row at every time of its vector, and its latest value is carried forward
-        times = many.groupBy("file", "signal_id", "time").agg(F.max("seq").alias("seq"))
-        grid = times.join(elements, ["file", "signal_id"]).join(many.select("file", "signal_id", "pos", "time", "bits"), ["file", "signal_id", "pos", "time"], "left")
-        w = Window.partitionBy("file", "signal_id", "pos").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-        held = grid.withColumn("bit", F.coalesce(F.last("bits", ignorenulls=True).over(w), F.lit("u")))
-        vector = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "bit"))), lambda x: x["bit"]), "")
-        vectors = held.groupBy("file", "signal_id", "time").agg(F.max("seq").alias("seq"), vector.alias("bits")).withColumn("real", F.lit(None).cast("double"))
-        kind = F.when(F.col("real").isNotNull(), 3).otherwise(1).cast("tinyint")
-        out = single.unionByName(vectors).select("file", "signal_id", "time", "seq", kind.alias("kind"), "bits", F.lit(None).cast("string").alias("str"), "real")
+        """(file, signal_id, time, seq, kind, bits, str, real), delta cycles included. start and end are included."""
+        out = self.decoded().filter("signal_id is not null")
         if start is not None:
             out = out.filter(F.col("time") >= start)
-        return out if end is None else out.filter(F.col("time") <= end)
+        if end is not None:
+            out = out.filter(F.col("time") <= end)
+        if signals is not None:
+            out = out.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
+        kind = F.when(F.col("real").isNotNull(), 3).otherwise(1).cast("tinyint")
+        return out.select("file", "signal_id", "time", "seq", kind.alias("kind"), "bits", F.lit(None).cast("string").alias("str"), "real")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
