@@ -286,8 +286,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     _, first = _grouped(docs, doc_id, text, size, seed, **options)
     kept = first.select(F.col("first.key").alias("__kept"), F.col("first.doc_id").alias("__id")).distinct()
     keyed = docs.withColumn("__key", document_key(doc_id, text))
-    same = (F.col("__key") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    # the join compares ids after it has met keys, so that the shuffle by key serves the last step too
+    # ids are compared once keys have met, not as join keys, so that one shuffle by key serves the last step too
+    same = (F.col("__key") == F.col("__kept")) & F.coalesce(F.col(doc_id) == F.col("__id"), F.col(doc_id).isNull() & F.col("__id").isNull())
     return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key")
 
 
