@@ -61,6 +61,18 @@ class Waveform:
     def vars(self) -> list[Var]:
         return [v for v in self._vars if v.row.parent_id is None]
 
+    def first_scope(self) -> Scope | None:
+        """The scope declared first at the top."""
+        return min(self.scopes(), key=lambda s: s.row.ord, default=None)
+
+    def is_derived(self, signal_id: int) -> bool:
+        """The signal is put together from bits of others."""
+        return signal_id in self._derived
+
+    def derived_signals(self) -> dict[int, list[Extract]]:
+        """The parts of each derived signal, the most significant first."""
+        return {i: [Extract(d.input_signal_id, d.msb, d.lsb) for d in rows] for i, rows in self._derived.items()}
+
     def all_scopes(self) -> list[Scope]:
         return list(self._walk(None, "scopes"))
 
@@ -125,11 +137,17 @@ class Waveform:
         if self.stream_only:
             raise RuntimeError("Cannot access signals in stream only mode")
         if signal_id in self._derived:
-            parts = [Extract(d.input_signal_id, d.msb, d.lsb) for d in self._derived[signal_id]]
-            found = Derived(parts).evaluate(self._raw(sorted({p.signal for p in parts})))
-            return ChangeLog(found.select(F.lit(signal_id).alias("signal"), "time", F.lit(0).alias("seq"), "value"))
+            return self._evaluated(signal_id)
         return self._raw([signal_id]).dedup(F.lit(True) if self._signals[signal_id].encoding == "event" else None)
 
+    def _evaluated(self, signal_id: int) -> ChangeLog:
+        parts = self.derived_signals()[signal_id]
+        found = Derived(parts).evaluate(self._raw(sorted({p.signal for p in parts})))
+        return ChangeLog(found.select(F.lit(signal_id).cast("bigint").alias("signal"), "time", F.lit(0).alias("seq"), "value"))
+
+    def _ground(self, ids: list[int]) -> ChangeLog:
+        return self._raw([i for i in ids if i not in self._derived])
+
     def _raw(self, ids: list[int]) -> ChangeLog:
         kept = self._loaded.get(ids[0]) if len(ids) == 1 else None
         return ChangeLog(self._decoded(ids) if kept is None else kept.filter(F.col("signal") == ids[0]))
@@ -155,16 +173,26 @@ class Waveform:
         return ids
 
     def stream_changes(self, callback: Callable, include: list | None = None) -> None:
-        """callback(time, signal_id, value) for every change in file order, repeated values included."""
-        log = self._raw(self._included(include))
-        for r in log.df.orderBy("seq").toLocalIterator():
+        """callback(time, signal_id, value) for every change in file order, repeated values included.
+
+        A derived signal changes once in a time, after the changes of that time in the file.
+        """
+        ids = self._included(include)
+        rows = self._ground(ids).df.select("time", "signal", "value", "seq", F.lit(False).alias("derived"))
+        for i in filter(self._derived.get, ids):
+            own = self._evaluated(i).df.select("time", "signal", "value", F.lit(None).cast(rows.schema["seq"].dataType).alias("seq"), F.lit(True).alias("derived"))
+            rows = rows.unionByName(own)
+        for r in rows.orderBy("time", "derived", "seq", "signal").toLocalIterator():
             callback(r.time, r.signal, self.value(r.signal, r.value))
 
     def stream_time_steps(self, callback: Callable, include: list | None = None) -> None:
-        """callback(time, values, changed) for every time with a real change; values holds all latest values so far."""
+        """callback(time, values, changed) for every time with a real change; values holds all latest values so far, derived ones too."""
         ids = self._included(include)
         events = F.col("signal").isin([i for i in ids if self._signals[i].encoding == "event"])
-        steps = self._raw(ids).time_steps(events).groupBy("time").agg(F.sort_array(F.collect_list(F.struct("signal", "value"))).alias("changes"))
+        rows = self._ground(ids).time_steps(events).select("time", "signal", "value")
+        for i in filter(self._derived.get, ids):
+            rows = rows.union(self._evaluated(i).df.select("time", "signal", "value"))
+        steps = rows.groupBy("time").agg(F.sort_array(F.collect_list(F.struct("signal", "value"))).alias("changes"))
         latest: dict[int, object] = {}
         for r in steps.orderBy("time").toLocalIterator():
             latest |= {c.signal: self.value(c.signal, c.value) for c in r.changes}
