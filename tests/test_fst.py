@@ -68,7 +68,8 @@ def test_catalog_and_changes(spark, tmp_path, pack, order, hier):
     (tmp_path / "x.fst").write_bytes(data)
     if not hier:
         (tmp_path / "x.fst.hier").write_bytes(hierarchy)
-    f = FstFiles(spark, str(tmp_path))
+    f = FstFiles(spark, str(tmp_path / "x.fst"))
+    assert sorted(map(str, FstFiles(spark, str(tmp_path)).table("vars").collect())) == sorted(map(str, f.table("vars").collect()))
     meta = f.table("meta").first()
     assert (meta.version, meta.date, meta.timescale_factor, meta.timescale_unit) == ("a tool", "a day", 100, "ps")
     assert [(v.full_name, v.var_type, v.direction, v.msb, v.lsb, v.signal_id) for v in f.table("vars").orderBy("var_id").collect()] == [
@@ -84,6 +85,9 @@ def test_catalog_and_changes(spark, tmp_path, pack, order, hier):
     assert got == {0: clk, 1: [(0, "0000000z"), (10, "00000101"), (20, "0000000x")], 2: [(0, 0.5), (20, 2.5)], 3: [(10, "abé")], 4: clk[:-1]}
     assert sorted(r.time for r in f.steps().collect()) == [0, 10, 20, 30]
     assert {r.time for r in f.changes(start=10, end=20).collect()} == {10, 20}
+    some = f.table("signals").filter("signal_id in (1, 4)")
+    assert sorted((r.signal_id, r.time) for r in f.changes(some, start=5).collect()) == [(1, 10), (1, 20), (4, 10), (4, 20)]
+    assert f.changes(start=25)._jdf.queryExecution().executedPlan().toString().count("GreaterThanOrEqual(last,25)") == 1
 
 
 def test_detection_and_errors():

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracetide.builder import Encoder, HierarchyBuilder
 from tracetide.functions import values
+from tracetide.operators import derived
 from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, undelta_times
 from tracetide.operators.derived import Derived, Extract
 from tracetide.streaming import steps
@@ -39,7 +40,7 @@ def test_dedup_and_lookup(spark, slices):
 def test_time_table_and_slices(spark):
     rows, log = log_of(spark)
     times = sorted({r[1] for r in rows})
-    assert sorted(map(tuple, log.time_table().collect())) == list(enumerate(times)) == sorted(map(tuple, log.time_table(distributed=False).collect()))
+    assert sorted(map(tuple, log.time_table().collect())) == list(enumerate(times))
     mine = [(t, q) for s, t, q, _ in sorted(rows) if s == 0]
     for a, b, c in ((None, None, 1), (2, -3, 2), (-5, None, 1), (5, 2, 1), (0, 100000, 3)):
         got = [(r.time, r.seq) for r in log.slice(a, b, c).filter("signal = 0").orderBy("idx").collect()]
@@ -87,7 +88,10 @@ def test_delta_round_trip(spark):
 
 def test_values(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert one(values.extend(F.lit("z1"), 4)) == "zzz1" and one(values.extend(F.lit("h1"), 4)) is None
+    assert one(values.extend(F.lit("z1"), 4)) == "zzz1"
+    for wrong in ("h1", "01010"):
+        with pytest.raises(Exception, match="cannot extend"):
+            one(values.extend(F.lit(wrong), 4))
     assert one(values.from_vcd(F.lit(""), 1)) == "0" and one(values.from_int(F.lit(5), 6)) == "000101"
     assert one(values.get_bit(F.lit("100"), 2)) == "1" and one(values.get_bit(F.lit("100"), 3)) is None and one(values.set_bit(F.lit("100"), 0, "x")) == "10x"
     assert int(one(values.to_long(F.lit("1" * 70)))) == 2**64 - 1 and one(values.to_long(F.lit("1x"))) is None
@@ -126,3 +130,31 @@ def test_stream_equals_batch(spark, tmp_path):
     out = steps.run_available(steps.real_changes(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted(brute_dedup(rows), key=str)
     assert steps.select_changes(log.df, 10, 20, [1]).filter("signal <> 1 or time < 10 or time > 20").count() == 0 and steps.select_changes(log.df, signals=[]).count() == 0
+
+
+def test_slices_change_nothing(spark):
+    _, log = log_of(spark, 9)
+    probes = spark.createDataFrame([(s, t) for s in range(7) for t in range(-2, 140, 5)], "signal long, time long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    bits = log.df.select("signal", "time", "seq", (F.col("seq") % 3).alias("bit"), F.coalesce("value", F.lit("z")).alias("value"))
+    other = ChangeLog(log.df.withColumn("time", F.col("time") * 2))
+    found = []
+    for log.slices in (1, 2, 7):
+        found.append([rows(log.positions()), rows(log.slice(1, -2, 3)), rows(log.at(-1)), rows(log.offsets(probes)), rows(derived.merge_keyed(log, other, 1, 1).df), rows(derived.assemble_bits(bits, 3, log.slices))])
+    assert found[0] == found[1] == found[2] and all(found[0])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_accepted_steps_over_ranges(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), q, r.randint(0, 3) + q // 20) for q in range(300)]
+    want, latest, kept = [], {}, {}
+    for f, q, t in rows:
+        if f not in latest or t > latest[f]:
+            latest[f], kept[f] = t, True
+        elif t < latest[f]:
+            kept[f] = False
+        if kept[f]:
+            want.append((f, q, t))
+    df = spark.createDataFrame(rows, "file string, seq long, time long")
+    assert sorted(map(str, map(tuple, accepted_steps(df, within=["file"]).collect()))) == sorted(map(str, want))

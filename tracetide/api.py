@@ -42,6 +42,9 @@ class Waveform:
         self.source = open_waves(spark, path, flatten_unnamed)
         self._scopes = [Scope(self, r) for r in self.source.table("scopes").orderBy("scope_id").collect()]
         self._vars = [Var(self, r) for r in self.source.table("vars").orderBy("var_id").collect()]
+        self._children: dict[int | None, list] = {}
+        for x in sorted((*self._scopes, *self._vars), key=lambda x: x.row.ord):
+            self._children.setdefault(x.row.parent_id, []).append(x)
         self._signals = {r.signal_id: r for r in self.source.table("signals").collect()}
         self._loaded: dict[int, DataFrame] = {}
         self._derived: dict[int, list] = {}
@@ -80,7 +83,7 @@ class Waveform:
         return list(self._walk(None, "vars"))
 
     def _items(self, parent: int | None) -> list:
-        return sorted((x for x in (*self._scopes, *self._vars) if x.row.parent_id == parent), key=lambda x: x.row.ord)
+        return self._children.get(parent, [])
 
     def _walk(self, parent: int | None, kind: str) -> Iterator:
         """Depth first, leaves before the scope that holds them."""
@@ -153,7 +156,8 @@ class Waveform:
         return ChangeLog(self._decoded(ids) if kept is None else kept.filter(F.col("signal") == ids[0]))
 
     def _decoded(self, ids: list[int]) -> DataFrame:
-        wanted = self.source.table("signals").filter(F.col("signal_id").isin(ids)).select("file", "signal_id")
+        every = len(set(ids)) == len(self._signals) - len(self._derived)
+        wanted = None if every else self.source.table("signals").filter(F.col("signal_id").isin(ids)).select("file", "signal_id")
         value = F.coalesce("bits", "str", F.col("real").cast("string"), F.lit(""))
         return self.source.changes(wanted).select(F.col("signal_id").alias("signal"), "time", "seq", value.alias("value"))
 

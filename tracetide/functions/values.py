@@ -46,12 +46,13 @@ def repeat(state: str, width: int) -> Column:
 
 
 def extend(bits: Column, width: Column | int) -> Column:
-    """To `width` bits: x and z fill with themselves, 0 and 1 with 0; anything else cannot be extended."""
+    """To `width` bits: x and z fill with themselves, 0 and 1 with 0; another first state, or too many bits, is an error."""
     width = F.lit(width) if isinstance(width, int) else width
     lead = F.lower(F.substring(bits, 1, 1))
     fill = F.when(lead.isin("x", "z"), lead).when(lead.isin("0", "1"), F.lit("0"))
     short = width - F.length(bits)
-    return F.when(short == 0, canonical(bits)).when(short > 0, canonical(F.concat(F.repeat(fill, short), bits)))
+    wrong = F.raise_error(F.concat(F.lit("cannot extend "), bits, F.lit(" to "), width.cast("string"), F.lit(" bits")))
+    return F.when(short == 0, canonical(bits)).when((short > 0) & fill.isNotNull(), canonical(F.concat(F.repeat(fill, short), bits))).when(bits.isNotNull(), wrong)
 
 
 def from_vcd(token: Column, width: Column | int) -> Column:

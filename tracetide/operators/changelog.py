@@ -44,10 +44,28 @@ class ChangeLog:
         bounds = sorted({b for b in df.agg(F.percentile_approx("time", F.array(*map(F.lit, parts)), 10_000)).first()[0] or []})
         return reduce(lambda a, b: a + (F.col("time") >= F.lit(b)).cast("int"), bounds, F.lit(0))
 
-    def _carried(self, df: DataFrame) -> DataFrame:
-        """(signal, slot, carried): the last entry of the signal in earlier slices. df: signal, slot, time, seq, entry."""
-        last = df.filter(F.col("entry").isNotNull()).groupBy("signal", "slot").agg(F.max_by("entry", F.struct("time", "seq")).alias("last"))
-        return last.select("signal", (F.col("slot") + 1).alias("slot"), "last")
+    def slotted(self, df: DataFrame) -> DataFrame:
+        """df with the slice of each row's time as slot."""
+        return df.withColumn("slot", self.slot_of(df))
+
+    def carry(self, df: DataFrame, entries: list[str], order: Column) -> DataFrame:
+        """(signal, slot, before_<entry>, ...): of each entry the last one that is not null, in earlier slices of the signal. A row for each signal and slice."""
+        ends = df.groupBy("signal", "slot").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in entries])
+        earlier = Window.partitionBy("signal").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        return ends.select("signal", "slot", *[F.last(c, ignorenulls=True).over(earlier).alias(f"before_{c}") for c in entries])
+
+    def held(self, df: DataFrame, entries: list[str], order: list[str]) -> DataFrame:
+        """df with each entry as of its row: the last one that is not null, in order, within the signal."""
+        last = Window.unboundedPreceding, 0
+        if self.slices <= 1:
+            w = Window.partitionBy("signal").orderBy(*order).rowsBetween(*last)
+            return df.select(*[c for c in df.columns if c not in entries], *[F.last(c, ignorenulls=True).over(w).alias(c) for c in entries])
+        df = self.slotted(df)
+        w = Window.partitionBy("signal", "slot").orderBy(*order).rowsBetween(*last)
+        kept = [c for c in df.columns if c not in (*entries, "slot")]
+        within = df.select(*kept, "slot", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in entries])
+        joined = beside(within, self.carry(df, entries, F.struct(*order)), ["signal", "slot"])
+        return joined.select(*kept, *[F.coalesce(c, f"before_{c}").alias(c) for c in entries])
 
     # Filters
 
@@ -77,12 +95,9 @@ class ChangeLog:
         same = F.col("previous").isNotNull() & same
         df = self.df.withColumn("entry", F.struct("value"))
         if self.slices > 1:
-            df = df.withColumn("slot", self.slot_of(df))
-            last = self._carried(df).withColumnRenamed("slot", "after")
-            # the last entry before a slice: the latest of all earlier slices
-            slots = df.groupBy("signal", "slot").agg(F.lit(1).alias("one")).drop("one")
-            before = slots.join(last, "signal", "left").filter("after <= slot").groupBy("signal", "slot").agg(F.max_by("last", "after").alias("carried"))
-            df = df.withColumn("lagged", F.lag("entry").over(_ranked(df, F.col("slot")))).join(before, ["signal", "slot"], "left").withColumn("previous", F.coalesce("lagged", "carried"))
+            df = self.slotted(df)
+            before = self.carry(df, ["entry"], F.struct("time", "seq"))
+            df = beside(df.withColumn("lagged", F.lag("entry").over(_ranked(df, F.col("slot")))), before, ["signal", "slot"]).withColumn("previous", F.coalesce("lagged", "before_entry"))
         else:
             df = df.withColumn("previous", F.lag("entry").over(_ranked(df)))
         return self._with(df.filter(~same if is_event is None else is_event | ~same))
@@ -92,15 +107,13 @@ class ChangeLog:
     def times(self) -> DataFrame:
         return self.df.select("time").distinct()
 
-    def time_table(self, steps: DataFrame | None = None, distributed: bool = True) -> DataFrame:
+    def time_table(self, steps: DataFrame | None = None) -> DataFrame:
         """(time_idx, time): the distinct times, numbered from 0. steps: times with or without a change.
 
         Ranges of times are sorted side by side, and each adds the sizes of those
         before it; no task sees all times.
         """
         times = self.times() if steps is None else steps.select("time").distinct()
-        if not distributed:
-            return times.select((F.row_number().over(Window.orderBy("time")) - 1).cast("long").alias("time_idx"), "time")
         return numbered(times, "time", "time_idx").select("time_idx", "time")
 
     def span(self) -> DataFrame:
@@ -133,18 +146,7 @@ class ChangeLog:
         change = self.df.select("signal", "time", F.lit(0).alias("side"), "seq", F.struct("time", "value").alias("entry"), F.lit(None).cast(probes.select(F.struct(F.lit(1).alias("one"), *extra)).schema[0].dataType).alias("probe"))
         probe = probes.select("signal", "time", F.lit(1).alias("side"), F.lit(None).cast(self.df.schema["seq"].dataType).alias("seq"), F.lit(None).cast(change.schema["entry"].dataType).alias("entry"), F.struct(F.lit(1).alias("one"), *extra).alias("probe"))
         both = change.unionByName(probe)
-        order = ["time", "side", "seq"]
-        if self.slices > 1:
-            both = both.withColumn("slot", self.slot_of(self.df))
-            last = self._carried(both.filter("side = 0")).withColumnRenamed("slot", "after")
-            slots = both.select("signal", "slot").distinct()
-            before = slots.join(last, "signal", "left").filter("after <= slot").groupBy("signal", "slot").agg(F.max_by("last", "after").alias("carried"))
-            w = Window.partitionBy("signal", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            both = both.withColumn("within", F.last("entry", ignorenulls=True).over(w)).join(before, ["signal", "slot"], "left").withColumn("found", F.coalesce("within", "carried"))
-        else:
-            w = Window.partitionBy("signal").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            both = both.withColumn("found", F.last("entry", ignorenulls=True).over(w))
-        out = both.filter("side = 1")
+        out = self.held(both, ["entry"], ["time", "side", "seq"]).withColumnRenamed("entry", "found").filter("side = 1")
         if not keep_missing:
             out = out.filter(F.col("found").isNotNull())
         return out.select("signal", "time", *[F.col(f"probe.{c}").alias(c) for c in extra], F.col("found.time").alias("found_time"), F.col("found.value").alias("value"))
@@ -152,8 +154,15 @@ class ChangeLog:
     def offsets(self, probes: DataFrame) -> DataFrame:
         """probes with start (time of the last change), elements there, whether it is the probe's own time, and the time of the next change."""
         steps = self.steps()
-        w = Window.partitionBy("signal").orderBy("time")
-        entries = steps.withColumn("next_time", F.lead("time").over(w)).select("signal", "time", F.lit(0).alias("seq"), F.struct("value", "elements", "next_time").alias("value"))
+        if self.slices > 1:
+            steps = self.slotted(steps)
+            firsts = steps.groupBy("signal", "slot").agg(F.min("time").alias("time"))
+            after = firsts.select("signal", "slot", F.lead("time").over(Window.partitionBy("signal").orderBy("slot")).alias("after"))
+            w = Window.partitionBy("signal", "slot").orderBy("time")
+            steps = beside(steps.withColumn("next_time", F.lead("time").over(w)), after, ["signal", "slot"]).withColumn("next_time", F.coalesce("next_time", "after"))
+        else:
+            steps = steps.withColumn("next_time", F.lead("time").over(Window.partitionBy("signal").orderBy("time")))
+        entries = steps.select("signal", "time", F.lit(0).alias("seq"), F.struct("value", "elements", "next_time").alias("value"))
         found = ChangeLog(entries, slices=self.slices).value_at(probes)
         first = self.first_times()
         joined = found.join(first, "signal", "left")
@@ -168,9 +177,16 @@ class ChangeLog:
 
     def positions(self) -> DataFrame:
         """Changes with their index among the signal's, from 0, and from the end, from -1."""
-        n = F.count("*").over(Window.partitionBy("signal"))
-        at = (F.row_number().over(_ranked(self.df)) - 1).cast("long")
-        return self.df.withColumn("idx", at).withColumn("from_end", at - n)
+        if self.slices <= 1:
+            n = F.count("*").over(Window.partitionBy("signal"))
+            at = (F.row_number().over(_ranked(self.df)) - 1).cast("long")
+            return self.df.withColumn("idx", at).withColumn("from_end", at - n)
+        df = self.slotted(self.df)
+        signal = Window.partitionBy("signal")
+        so_far = F.sum("n").over(signal.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+        sizes = df.groupBy("signal", "slot").agg(F.count("*").alias("n")).select("signal", "slot", (so_far - F.col("n")).alias("lead"), F.sum("n").over(signal).alias("all"))
+        at = (F.row_number().over(_ranked(df, F.col("slot"))) - 1).cast("long")
+        return beside(df.withColumn("at", at), sizes, ["signal", "slot"]).select("signal", "time", "seq", "value", (F.col("lead") + F.col("at")).alias("idx"), (F.col("lead") + F.col("at") - F.col("all")).alias("from_end"))
 
     def at(self, index: int) -> DataFrame:
         return self.positions().filter(F.col("idx" if index >= 0 else "from_end") == index)
@@ -213,6 +229,13 @@ class ChangeLog:
         return self.df.groupBy("signal").agg(F.count("*").alias("n_changes"), F.countDistinct("time").alias("n_times"), F.sum(size).alias("n_bytes"), F.max(size).alias("widest"))
 
 
+def beside(df: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of ends, which has one row for each combination of the keys, nulls included."""
+    found = ends.select(*[F.col(k).alias(f"__of_{k}") for k in keys], *[c for c in ends.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(found[f"__of_{k}"]) for k in keys])
+    return df.join(found, same, "left").drop(*[f"__of_{k}" for k in keys])
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with its place in the order, from 0; a range of the order is a task, and adds the sizes of those before it."""
     at = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
@@ -227,15 +250,24 @@ def accepted_steps(steps: DataFrame, time: str = "time", seq: str = "seq", withi
 
     A step before the latest accepted time is dropped; an equal one keeps the state
     of the step before it. `within` names the keys of independent files; the order is
-    global within one.
+    global within one. Ranges of the order are judged side by side: the latest time and
+    the last verdict before each come from tables with a row for each file and range.
     """
     keys = within or []
-    w = Window.partitionBy(*keys).orderBy(seq)
-    latest = F.max(time).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    part = [*keys, "__part"]
+    df = materialize(steps.repartitionByRange(*keys, seq).withColumn("__part", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy(*part).orderBy(seq)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+
+    tops = df.groupBy(*part).agg(F.max(time).alias("__end")).select(*part, F.max("__end").over(earlier).alias("__top"))
+    latest = F.greatest(F.max(time).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__top"))
     flag = F.when(latest.isNull() | (F.col(time) > latest), 1).when(F.col(time) < latest, 0)
-    flagged = steps.withColumn("__flag", flag)
-    kept = F.last("__flag", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("__kept", kept).filter("__kept = 1").drop("__flag", "__kept")
+    df = beside(df, tops, part).withColumn("__flag", flag)
+
+    ends = df.groupBy(*part).agg(F.max_by("__flag", F.when(F.col("__flag").isNotNull(), F.col(seq))).alias("__end"))
+    verdicts = ends.select(*part, F.last("__end", ignorenulls=True).over(earlier).alias("__verdict"))
+    own = F.last("__flag", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return beside(df.withColumn("__kept", own), verdicts, part).filter(F.coalesce("__kept", "__verdict") == 1).select(*steps.columns)
 
 
 def delta_times(times: DataFrame) -> DataFrame:

@@ -79,16 +79,15 @@ def merge_keyed(left: ChangeLog, right: ChangeLog, left_width: int, right_width:
     """For each signal the concatenation of its values in two logs, changing when either does."""
     tagged = left.steps().select("signal", "time", F.col("value").alias("l"), F.lit(None).cast("string").alias("r")).unionByName(right.steps().select("signal", "time", F.lit(None).cast("string").alias("l"), F.col("value").alias("r")))
     both = tagged.groupBy("signal", "time").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    w = Window.partitionBy("signal").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.select("signal", "time", F.last("l", ignorenulls=True).over(w).alias("l"), F.last("r", ignorenulls=True).over(w).alias("r"))
+    held = left.held(both, ["l", "r"], ["time"])
     value = F.concat(values.or_unknown(F.col("l"), left_width), values.or_unknown(F.col("r"), right_width))
-    return ChangeLog(held.select("signal", "time", F.lit(0).alias("seq"), value.alias("value"))).dedup()
+    return ChangeLog(held.select("signal", "time", F.lit(0).alias("seq"), value.alias("value")), slices=left.slices).dedup()
 
 
-def assemble_bits(bits: DataFrame, width: int) -> DataFrame:
+def assemble_bits(bits: DataFrame, width: int, slices: int = 1) -> DataFrame:
     """(signal, time, value) from single bits (signal, time, seq, bit, value): each step holds the vector's state after it."""
     last = bits.groupBy("signal", "time", "bit").agg(F.max_by("value", "seq").alias("value"))
-    wide = last.groupBy("signal", "time").agg(*[F.max(F.when(F.col("bit") == i, F.col("value"))).alias(f"b{i}") for i in range(width)])
-    w = Window.partitionBy("signal").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    held = [F.coalesce(F.last(f"b{i}", ignorenulls=True).over(w), F.lit("u")) for i in range(width - 1, -1, -1)]
-    return wide.select("signal", "time", F.concat(*held).alias("value"))
+    names = [f"b{i}" for i in range(width)]
+    wide = last.groupBy("signal", "time").agg(*[F.max(F.when(F.col("bit") == i, F.col("value"))).alias(b) for i, b in enumerate(names)])
+    held = ChangeLog(bits, slices=slices).held(wide, names, ["time"])
+    return held.select("signal", "time", F.concat(*[F.coalesce(b, F.lit("u")) for b in reversed(names)]).alias("value"))

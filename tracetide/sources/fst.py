@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -238,8 +239,8 @@ class FstFile:
             yield "blocks", {"block": k, "block_type": kind, "first": a, "last": b}
 
 
-def block_changes(kind: int, data: bytes, lengths: list[int], reals: str, first_block: bool) -> Iterator[tuple[int, int, int, str | None, float | None]]:
-    """(signal, time, seq, text, real) of one value-change block; signal -1 marks a time."""
+def block_changes(kind: int, data: bytes, lengths: list[int], reals: str, first_block: bool, wanted: set[int] | None = None) -> Iterator[tuple[int, int, int, str | None, float | None]]:
+    """(signal, time, seq, text, real) of one value-change block; signal -1 marks a time. Chains of signals that are not wanted stay packed."""
     c = Cursor(data, 0, ">")
     begin, _, _ = c.number("Q"), c.number("Q"), c.number("Q")
     size, packed, count = c.unsigned(), c.unsigned(), c.unsigned()
@@ -256,7 +257,7 @@ def block_changes(kind: int, data: bytes, lengths: list[int], reals: str, first_
         n = lengths[i]
         if n:
             found = value(n, frame.take(8 if n == -1 else n))
-            if first_block:
+            if first_block and (wanted is None or i in wanted):
                 yield i, begin, -1, *found
     signals, pack = c.unsigned(), chr(c.u8())
     base = c.at - 1
@@ -299,7 +300,7 @@ def block_changes(kind: int, data: bytes, lengths: list[int], reals: str, first_
     stops = dict(zip(own := [s for s in starts if s > 0], [*own[1:], times_at - 8 - chain_size - base], strict=True))
     for i, s in enumerate(starts):
         s = starts[-s - 1] if s < 0 else s
-        if s <= 0:
+        if s <= 0 or (wanted is not None and i not in wanted):
             continue
         v = Cursor(data, base + s)
         size = v.unsigned()
@@ -334,17 +335,20 @@ RAW = "file string, block int, signal_id bigint, time bigint, seq bigint, text s
 ROWS = 1 << 16
 
 
+BLOCK = "file string, block int, kind int, first bigint, last bigint, content binary, lengths array<int>, reals string"
+
+
 class FstFiles:
     """All FST files of a path; every table has the file as its first column."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._catalog: DataFrame | None = None
-        self._raw: DataFrame | None = None
+        self._cut: DataFrame | None = None
 
     def _files(self) -> DataFrame:
         """(file, content, hier): hier is the content of a .hier file beside it, if there is one."""
-        found = self.spark.read.format("binaryFile").load(self.path)
+        found = self.spark.read.format("binaryFile").load(self.path.rstrip("/") + "{,.hier}")
         own = found.filter(~F.col("path").endswith(".hier")).select(F.col("path").alias("file"), "content")
         beside = found.filter(F.col("path").endswith(".hier")).select(F.regexp_replace("path", r"\.hier$", "").alias("file"), F.col("content").alias("hier"))
         return own.join(beside, "file", "left").select("file", "content", "hier")
@@ -355,56 +359,72 @@ class FstFiles:
             def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for file, data, hier in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                        found = list(FstFile(data, gzip.decompress(hier) if hier and hier[:2] == b"\x1f\x8b" else hier).rows())
+                        found = list(parsed(data, hier).rows())
                         yield pa.RecordBatch.from_arrays([pa.array([file] * len(found)), pa.array([k for k, _ in found]), pa.array([json.dumps(r) for _, r in found])], ["file", "kind", "row"])
 
             self._catalog = materialize(self._files().mapInArrow(parse, "file string, kind string, row string"), "catalog")
         schema = TABLES[name].removeprefix("file string, ")
         return self._catalog.filter(F.col("kind") == name).select("file", F.from_json("row", schema).alias("r")).select("file", "r.*")
 
-    def _changes(self) -> DataFrame:
-        """Raw changes, a task for each value-change block; signal -1 marks the times."""
-        if self._raw is None:
-            # blocks are cut out of their files first, so that each can go to a task of its own
+    def _blocks(self) -> DataFrame:
+        """The value-change blocks, cut out of their files but still packed, with their first and last times."""
+        if self._cut is None:
 
             def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for file, data, hier in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                        f = FstFile(data, gzip.decompress(hier) if hier and hier[:2] == b"\x1f\x8b" else hier)
+                        f = parsed(data, hier)
                         for k, (kind, a, z) in enumerate(x for x in f.blocks if x[0] in CHANGES):
-                            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int32()), pa.array([kind], pa.int32()), pa.array([f.data[a:z]], pa.binary()), pa.array([f.lengths], pa.list_(pa.int32())), pa.array([f.reals])], ["file", "block", "kind", "content", "lengths", "reals"])
+                            span = [pa.array([t], pa.int64()) for t in struct.unpack_from(">QQ", f.data, a)]
+                            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int32()), pa.array([kind], pa.int32()), *span, pa.array([f.data[a:z]], pa.binary()), pa.array([f.lengths], pa.list_(pa.int32())), pa.array([f.reals])], names_of(BLOCK))
 
-            def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                names = [f.split()[0] for f in RAW.split(", ")]
-                kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+            self._cut = materialize(self._files().mapInArrow(cut, BLOCK), "blocks")
+        return self._cut
 
-                def send(rows: list[tuple]) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def _raw(self, blocks: DataFrame) -> DataFrame:
+        """Changes in the blocks, which have a column wanted (signals, or null for all of them), a task for each block; signal -1 marks the times."""
 
-                for b in batches:
-                    for file, block, kind, data, lengths, reals in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                        held: list[tuple] = []
-                        for row in block_changes(kind, data, lengths, reals, block == 0):
-                            held.append((file, block, *row))
-                            if len(held) == ROWS:
-                                yield send(held)
-                                held = []
-                        if held:
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+
+            def send(rows: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names_of(RAW))
+
+            for b in batches:
+                for file, block, kind, data, lengths, reals, wanted in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                    held: list[tuple] = []
+                    for row in block_changes(kind, data, lengths, reals, block == 0, None if wanted is None else set(wanted)):
+                        held.append((file, block, *row))
+                        if len(held) == ROWS:
                             yield send(held)
+                            held = []
+                    if held:
+                        yield send(held)
 
-            blocks = self._files().mapInArrow(cut, "file string, block int, kind int, content binary, lengths array<int>, reals string")
-            self._raw = materialize(blocks.repartition("file", "block").mapInArrow(decode, RAW), "raw")
-        return self._raw
+        packed = blocks.select("file", "block", "kind", "content", "lengths", "reals", "wanted")
+        return packed.repartition("file", "block").mapInArrow(decode, RAW)
 
     def steps(self) -> DataFrame:
-        return self._changes().filter("signal_id = -1").select("file", "time").distinct()
+        none = F.array().cast("array<bigint>").alias("wanted")
+        return self._raw(self._blocks().select("*", none)).filter("signal_id = -1").select("file", "time").distinct()
 
     def changes(self, signals: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-        """(file, signal_id, time, seq, kind, bits, str, real); seq orders the changes of a signal. start and end are included."""
-        known = self.table("signals")
-        if signals is not None:
+        """(file, signal_id, time, seq, kind, bits, str, real); seq orders the changes of a signal. start and end are included.
+
+        Blocks outside the times are not read, and signals that are not asked for are not unpacked.
+        """
+        known, blocks = self.table("signals"), self._blocks()
+        if signals is None:
+            blocks = blocks.withColumn("wanted", F.lit(None).cast("array<bigint>"))
+        else:
             known = known.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
-        raw = self._changes().filter("signal_id >= 0")
+            # no longer than lengths, which each block has anyway
+            blocks = blocks.join(known.groupBy("file").agg(F.collect_set("signal_id").alias("wanted")), "file")
+        if start is not None:
+            blocks = blocks.filter(F.col("last") >= start)
+        if end is not None:
+            blocks = blocks.filter(F.col("first") <= end)
+        raw = self._raw(blocks).filter("signal_id >= 0")
         if start is not None:
             raw = raw.filter(F.col("time") >= start)
         if end is not None:
@@ -413,3 +433,11 @@ class FstFiles:
         encoding = F.col("encoding")
         kind = F.when(encoding == "event", 0).when(encoding == "bits", 1).when(encoding == "string", 2).otherwise(3).cast("tinyint")
         return found.select("file", "signal_id", "time", F.struct("block", "seq").alias("seq"), kind.alias("kind"), F.when(encoding == "bits", F.col("text")).alias("bits"), F.when(encoding == "string", F.col("text")).alias("str"), "real")
+
+
+def parsed(data: bytes, hier: bytes | None) -> FstFile:
+    return FstFile(data, gzip.decompress(hier) if hier and hier[:2] == b"\x1f\x8b" else hier)
+
+
+def names_of(schema: str) -> list[str]:
+    return re.findall(r"(\w+) [a-z]", schema)
