@@ -160,6 +160,17 @@ def text_scores(h: np.ndarray, sizes: np.ndarray, count: np.ndarray, before: np.
     return add(np.log10(share)), add(np.log10(p)), add((count > 0).astype(np.int64))
 
 
+def _gathered(counted: DataFrame, bits: int) -> tuple[bytearray, list[int]]:
+    """The filter and the sizes of its segments: room is made by their lengths, then they come a partition at a time, so that the driver holds them once."""
+    found = {r.bucket: r.size for r in counted.select("bucket", F.length("bloom").alias("size")).collect()}
+    sizes = [found.get(b, 8) for b in range(1 << bits)]
+    starts = np.cumsum([0, *sizes])
+    whole = bytearray(int(starts[-1]))
+    for r in counted.select("bucket", "bloom").toLocalIterator():
+        whole[starts[r.bucket] : starts[r.bucket + 1]] = r.bloom
+    return whole, sizes
+
+
 def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "text", prior: float = 100.0, bits_each: int = 10, filter_bytes: int = 96 << 20, batch_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learnt from rows that are not held out.
 
@@ -214,8 +225,7 @@ def score(docs: DataFrame, is_held_out, doc_id: str = "doc_id", text: str = "tex
     total, distinct, texts_seen, filtered = (x or 0 for x in sums)
     shared = None
     if filtered <= filter_bytes:
-        held = {r.bucket: bytes(r.bloom) for r in counted.select("bucket", "bloom").collect()}
-        shared = spark.sparkContext.broadcast((b"".join(held.get(b, b"\0" * 8) for b in range(1 << bits)), [len(held.get(b, b"\0" * 8)) for b in range(1 << bits)]))
+        shared = spark.sparkContext.broadcast(_gathered(counted, bits))
     ask_pairs = shared is None
 
     batched = rows.select("doc_id", "held_out", "text", F.pmod("key", F.lit(batches)).cast("int").alias("batch"))
