@@ -1,9 +1,10 @@
+import random
 import time
 
 import pytest
 
 from tracetide.api import Waveform
-from tracetide.sources.vcd import Header, VcdError, VcdFiles, is_vcd, split_name
+from tracetide.sources.vcd import Header, Scanner, VcdError, VcdFiles, is_vcd, split_name
 
 HEAD = "$timescale 1ns $end\n$scope module top $end\n{vars}$upscope $end\n$enddefinitions $end\n"
 
@@ -144,3 +145,35 @@ def test_a_header_of_many_variables_is_read_in_linear_time():
         Header("$scope module a $end\n" + "".join(f"$var wire 1 {i} v{i} $end\n" for i in range(n)) + "$upscope $end $enddefinitions $end")
         took.append(time.process_time() - began)
     assert took[1] < 25 * max(took[0], 0.05)
+
+
+def test_many_records_at_once_are_scanned_as_one_by_one():
+    chance = random.Random(5)
+    usual = ["0!", "1#", "x$", "b101 !", "b1 b1", "bx #5", "r1.5 b", "sfoo $end", "$dumpvars", "$end", "#7", "bz b b1 0b"]
+    other = ["$comment hi $end", "$dumpall", "b $comment", "1", "q", "b1", "$foo", "#", "#x", "#3.0", "sé !"]
+
+    def one_by_one(scanner, texts, want):
+        out = []
+        for text in texts:
+            scanner.record(text, True, out, 2, 7)
+        return [r for r in out if (r[4] is not None) == (want == "changes")]
+
+    at_once = 0
+    for _ in range(1500):
+        want, texts = chance.choice(["changes", "steps"]), []
+        for _ in range(chance.randint(1, 6)):
+            words = [str(chance.randint(0, 9))] + [chance.choice(usual if chance.random() < 0.97 else other) for _ in range(chance.randint(0, 5))]
+            texts.append((chance.choice(" \n\t").join(words) + chance.choice(["", "\n", " "])).replace("\n#", " #"))
+        found = []
+        for quick in (False, True):
+            scanner, rows = Scanner(False), []
+            try:
+                for _ in range(2):  # the state is carried
+                    columns = scanner.many(b"#" + "\n#".join(texts).encode(), 2, 7, want) if quick else None
+                    at_once += columns is not None
+                    rows += one_by_one(scanner, texts, want) if columns is None else list(zip(*[c.to_pylist() for c in columns], strict=True))
+                found.append((rows, vars(scanner)))
+            except VcdError:
+                found.append("error")
+        assert found[0] == found[1], texts
+    assert at_once > 1000

@@ -60,7 +60,11 @@ def from_vcd(token: Column, width: Column | int) -> Column:
     width = F.lit(width) if isinstance(width, int) else width
     body = F.when((F.length(token) > 2) & F.substring(token, 1, 2).isin("0b", "0B"), F.substring(token, 3, 1 << 30)).otherwise(token)
     last = F.when(F.length(body) == 0, F.lit("0")).otherwise(F.right(body, F.lit(1)))
-    return F.when(width == 1, canonical(last)).otherwise(extend(body, width))
+    # most tokens are plain: one look at their characters is enough for these
+    lead = F.substring(token, 1, 1)
+    fill = F.when(lead.isin("x", "z"), lead).otherwise(F.lit("0"))
+    plain = (F.length(token) <= width) & token.rlike("^[01xz]+$")
+    return F.when(plain, F.lpad(token, width, fill)).when(width == 1, canonical(last)).otherwise(extend(body, width))
 
 
 def slice_bits(bits: Column, msb: int, lsb: int) -> Column:

@@ -15,7 +15,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -242,8 +244,32 @@ TABLES = {"meta": model.META, "scopes": model.SCOPES, "vars": model.VARS, "signa
 TIME = re.compile(r"(\d+)(?:\.0*)?")
 LONG, SCALAR = frozenset("bBrRsS"), frozenset("01xXzZhHuUwWlL-")
 IGNORED = frozenset(("$dumpvars", "$dumpon", "$dumpoff", "$end"))
-TOKENS = "file string, block bigint, pos bigint, time bigint, own boolean, first boolean, letter string, code string, rest string"
+TOKENS = "split bigint, pos bigint, time bigint, own boolean, first boolean, letter string, code string, rest string"
+NAMES = [c.split()[0] for c in TOKENS.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()]
 ROWS = 1 << 16
+NEVER = np.iinfo(np.int64).min
+
+
+def flags(letters) -> np.ndarray:
+    """Whether a byte is one of these."""
+    found = np.zeros(256, bool)
+    found[[ord(c) for c in letters]] = True
+    return found
+
+
+IS_SPACE, IS_LONG, IS_SCALAR = flags([chr(i) for i in range(128) if chr(i).isspace()]), flags(LONG), flags(SCALAR)
+
+
+def pieces(data: bytes, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings data[begin:end], in order and without overlap, cut in one go."""
+    n = len(begin)
+    if not n:
+        return pa.array([], pa.string())
+    bounds = np.empty(2 * n, np.int32)
+    bounds[::2], bounds[1::2] = begin, end
+    both = pa.StringArray.from_buffers(2 * n - 1, pa.py_buffer(bounds), pa.py_buffer(data))  # the gaps between them too
+    return both.take(pa.array(np.arange(0, 2 * n, 2)))
 
 
 class Scanner:
@@ -317,12 +343,80 @@ class Scanner:
             if (start is None or self.time >= start) and (end is None or self.time <= end):
                 out.append((self.pos, self.time, self.own, self.first, letter, code, rest))
 
-    def skim(self, text: str, begins_with_time: bool) -> None:
-        """record() for times alone."""
-        if begins_with_time and not self.inside and "#" not in text and "$" not in text:
-            self.step(self._text_time(text.split(None, 1)[0] if text[:1].strip() else ""))
-        else:
-            self.record(text, begins_with_time, [], None, None)
+    def _times(self, data: bytes, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - begin
+        if not len(length) or length.min() == 0 or length.max() > 18:
+            return np.array([self._text_time(data[a:b].decode()) for a, b in zip(begin, end, strict=True)], np.int64)
+        time, plain = np.zeros(len(begin), np.int64), np.ones(len(begin), bool)
+        for k in range(int(length.max())):
+            digit = buf[np.minimum(begin + k, len(buf) - 1)].astype(np.int64) - 48
+            here = k < length
+            plain &= ~here | ((digit >= 0) & (digit <= 9))
+            time = np.where(here, time * 10 + digit, time)
+        for i in np.flatnonzero(~plain):
+            time[i] = self._text_time(data[begin[i] : end[i]].decode())
+        return time
+
+    def many(self, data: bytes, start: int | None, end: int | None, want: str) -> list | None:
+        """record() for ASCII text of many records at once: columns of steps, changes or (neither: nothing) alone.
+
+        None, with nothing done, where the text needs record(): comments, dumps at time 0 and changes before any time.
+        """
+        if self.inside or not data.isascii() or b"$comment" in data or b"$dumpall" in data:
+            return None
+        buf = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(~IS_SPACE[buf], prepend=False, append=False))
+        begin, finish = edges[::2], edges[1::2]
+        n = len(begin)
+        if not n:
+            return [pa.array([], k) for k in KINDS]
+        letter, at = buf[begin], np.arange(n)
+        # what follows a long change is its code, whatever it looks like; in a run of such letters that is every second word
+        long = IS_LONG[letter]
+        opens = long & ((at - np.maximum.accumulate(np.where(long, -1, at))) % 2 == 1)
+        code = np.concatenate(([False], opens[:-1]))
+        step, command, scalar = (~code & x for x in (letter == ord("#"), letter == ord("$"), IS_SCALAR[letter]))
+        change = scalar | opens
+        if self.time is None and change.any() and not step[: int(change.argmax())].any():
+            return None
+
+        def word(i: int) -> str:
+            return data[begin[i] : finish[i]].decode()
+
+        lost = scalar & (finish - begin == 1)
+        lost[:-1] |= (code & (letter == ord("#")) & (buf[begin - 1] == ord("\n")))[1:]  # the next record, not a code
+        lost[-1] |= opens[-1]
+        unknown = ~(code | step | command | change)
+        for i in np.flatnonzero(command):
+            unknown[i] = word(i) not in IGNORED
+        if unknown.any():
+            raise VcdError(f"unknown or invalid command: {word(int(unknown.argmax()))}")
+        if lost.any():
+            raise VcdError(f"expected an id: {word(int(lost.argmax()))}")
+
+        time = self._times(data, buf, begin[step] + 1, finish[step])
+        before = np.maximum.accumulate(np.concatenate(([NEVER if self.latest is None else self.latest], time)))
+        decided = np.maximum.accumulate(np.where(time == before[:-1], -1, np.arange(len(time))))
+        own = np.where(decided >= 0, (time > before[:-1])[decided], self.own) if len(time) else np.zeros(0, bool)
+        first = self.first & np.logical_and.accumulate(time == (time[:1] if self.latest is None else self.latest))
+        # with the state that the text begins in, for changes before its first step
+        time, own, first = np.concatenate(([self.time or 0], time)), np.concatenate(([self.own], own)), np.concatenate(([self.first], first))
+        pos, of = self.pos + np.cumsum(~code), np.cumsum(step)
+        self.pos = int(pos[-1])
+        if len(time) > 1:
+            self.time, self.latest, self.own, self.first = int(time[-1]), int(before[-1]), bool(own[-1]), bool(first[-1])
+
+        i = np.flatnonzero(change if want == "changes" else step) if want else np.zeros(0, np.int64)
+        if start is not None:
+            i = i[time[of[i]] >= start]
+        if end is not None:
+            i = i[time[of[i]] <= end]
+        columns = [pa.array(pos[i]), *(pa.array(x[of[i]]) for x in (time, own, first))]
+        if want != "changes":
+            return [*columns, *(pa.nulls(len(i), pa.string()) for _ in range(3))]
+        two, after = opens[i], np.minimum(i + 1, n - 1)
+        codes = pieces(data, np.where(two, begin[after], begin[i] + 1), np.where(two, finish[after], finish[i]))
+        return [*columns, pieces(data, begin[i], begin[i] + 1), codes, pieces(data, begin[i] + 1, np.where(two, finish[i], begin[i] + 1))]
 
 
 class VcdFiles:
@@ -339,11 +433,11 @@ class VcdFiles:
         return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
 
     def _splits(self) -> DataFrame:
-        """(file, block, inside, end_block, end_row): whether the split begins inside a comment, and the record in which the file's header ends."""
+        """(split, file, block, inside, end_block, end_row): whether the split begins inside a comment, and the record in which the file's header ends."""
         if self._found is None:
             # what follows the last $end of a record tells whether it ends inside a comment, wherever it began
-            opened = F.element_at(F.split("value", r"\$end(?=\s|$)"), -1).contains("$comment")
             marked = F.col("value").contains("$comment") | F.col("value").contains("$end")
+            opened = F.when(marked, F.element_at(F.split("value", r"\$end(?=\s|$)"), -1).contains("$comment"))
             found = self._records().groupBy("file", "block").agg(
                 F.max_by(opened, F.when(marked, F.col("row"))).alias("opened"), F.min(F.when(F.col("value").contains("$enddefinitions"), F.col("row"))).alias("end_row"), F.min("row").alias("first_row")
             )
@@ -352,7 +446,7 @@ class VcdFiles:
             ends = found.groupBy("file").agg(F.min(F.when(F.col("end_row").isNotNull(), F.struct("block", "end_row"))).alias("end"), F.min(F.struct("block", F.col("first_row").alias("end_row"))).alias("begin"))
             ends = ends.select("file", F.coalesce("end", "begin").alias("end")).select("file", F.col("end.block").alias("end_block"), F.col("end.end_row").alias("end_row"))
             inside = found.select("file", "block", F.coalesce(F.last("opened", ignorenulls=True).over(above), F.lit(False)).alias("inside"))
-            self._found = materialize(inside.join(ends, "file"), "splits")
+            self._found = materialize(inside.join(ends, "file").withColumn("split", F.monotonically_increasing_id()), "splits")
         return self._found
 
     def _catalog_rows(self) -> DataFrame:
@@ -377,73 +471,80 @@ class VcdFiles:
         schema = TABLES[name].removeprefix("file string, ")
         return self._catalog_rows().filter(F.col("kind") == name).select("file", F.from_json("row", schema).alias("r")).select("file", "r.*")
 
-    def _scanned(self, start: int | None, end: int | None, skim: bool) -> DataFrame:
-        """Steps and changes of all splits; with skim, one row for each split: its last step and in pos its latest time."""
+    def _scanned(self, start: int | None, end: int | None, want: str) -> DataFrame:
+        """The steps or changes of all splits; with neither wanted, one row for each split: its last step and in pos its latest time."""
         splits = F.broadcast(self._splits())  # one row for each split that is read
         text = F.col("value")
         ends = (F.col("block") == F.col("end_block")) & (F.col("row") == F.col("end_row"))
         body = F.when(ends, F.regexp_replace(text, r"(?s)^.*?\$enddefinitions\s+\$end[^\n]*", "")).otherwise(text)
         after = (F.col("block") > F.col("end_block")) | ((F.col("block") == F.col("end_block")) & (F.col("row") >= F.col("end_row")))
-        rows = self._records().join(splits, ["file", "block"]).filter(after).select("file", "block", "inside", ends.alias("ends"), body.alias("value"))
+        rows = self._records().join(splits, ["file", "block"]).filter(after).select("split", "inside", ends.alias("ends"), body.alias("value"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, scanner, out = None, None, []
+            at, scanner = None, None
+
+            def send(columns: list) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), at, np.int64)), *columns], NAMES)
 
-            def send() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                n = len(out)
-                return pa.RecordBatch.from_arrays([pa.array([at[0]] * n, pa.string()), pa.array([at[1]] * n, pa.int64()), *columns], [c.split()[0] for c in TOKENS.split(", ")])
+            def send_rows(out: list) -> pa.RecordBatch:
+                return send([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)])
 
-            def summary() -> None:
-                if skim and scanner.time is not None:
-                    out.append((scanner.latest, scanner.time, scanner.own, scanner.first, None, None, None))
+            def summary() -> Iterator[pa.RecordBatch]:
+                if not want and scanner is not None and scanner.time is not None:
+                    yield send_rows([(scanner.latest, scanner.time, scanner.own, scanner.first, None, None, None)])
 
             for b in batches:
-                files, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for file, block, inside, is_end, value in zip(files, blocks, b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    if (file, block) != at:
-                        if scanner is not None:
-                            summary()
-                            if out:
-                                yield send()
-                                out = []
-                        at, scanner = (file, block), Scanner(inside and not is_end)
-                    if skim:
-                        scanner.skim(value, not is_end)
-                    else:
-                        scanner.record(value, not is_end, out, start, end)
-                        if len(out) >= ROWS:
-                            yield send()
+                split, value = b.column(0).to_numpy(), b.column(3)
+                cuts = [0, *(np.flatnonzero(np.diff(split)) + 1).tolist(), len(split)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if low == high:
+                        continue
+                    is_end = b.column(2)[low].as_py()  # such a record is the first of its split
+                    if split[low] != at:
+                        yield from summary()
+                        at, scanner = int(split[low]), Scanner(b.column(1)[low].as_py() and not is_end)
+                    part = value.slice(low, high - low)
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), part), pa.scalar("\n#", value.type))[0].as_buffer().to_pybytes()
+                    columns = scanner.many(joined if is_end else b"#" + joined, start, end, want)
+                    if columns is not None:
+                        if len(columns[0]):
+                            yield send(columns)
+                        continue
+                    out: list = []
+                    for k, text in enumerate(part.to_pylist()):
+                        scanner.record(text, not is_end or k > 0, out, start, end)
+                        if len(out) >= ROWS or not want:
+                            if want:
+                                yield send_rows(out)
                             out = []
-            if scanner is not None:
-                summary()
-                if out:
-                    yield send()
+                    if out:
+                        yield send_rows(out)
+            yield from summary()
 
-        return rows.mapInArrow(run, TOKENS)
+        found = rows.mapInArrow(run, TOKENS)
+        return found.filter(f"letter is {'not ' if want == 'changes' else ''}null")
 
-    def _tokens(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """(file, block, pos, time, letter, code, rest) of accepted steps, which have no letter, and their changes.
+    def _tokens(self, want: str, start: int | None = None, end: int | None = None) -> DataFrame:
+        """(file, block, pos, time, letter, code, rest) of accepted steps, which have no letter, or of their changes.
 
         A step is accepted if it is later than all before it, or at the latest time and follows an accepted one.
         """
-        tokens = self._scanned(start, end, False)
+        tokens, places = self._scanned(start, end, want), self._splits().select("split", "file", "block")
         if self._splits().groupBy("file").count().filter("count > 1").isEmpty():
-            return tokens.filter("own").drop("own", "first")
-        splits = materialize(self._scanned(None, None, True), "split-times")
+            return tokens.filter("own").drop("own", "first").join(F.broadcast(places), "split").drop("split")
+        splits = materialize(self._scanned(None, None, "").join(F.broadcast(places), "split"), "split-times")
         above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each split
         splits = splits.withColumn("reached", F.max("pos").over(above))
         # the last step's state, where it does not hang on the splits above
         state = F.when(F.col("reached").isNull() | (F.col("time") > F.col("reached")), F.col("own")).when((F.col("time") < F.col("reached")) | ~F.col("first"), False)
-        splits = splits.withColumn("carried", F.last(state, ignorenulls=True).over(above)).select("file", "block", "reached", "carried")
-        joined = tokens.join(F.broadcast(splits), ["file", "block"])
+        splits = splits.withColumn("carried", F.last(state, ignorenulls=True).over(above)).select("split", "file", "block", "reached", "carried")
+        joined = tokens.join(F.broadcast(splits), "split")
         kept = F.when(F.col("reached").isNull() | (F.col("time") > F.col("reached")), F.col("own")).when(F.col("time") < F.col("reached"), False).otherwise(F.col("first") & F.col("carried"))
-        return joined.filter(kept).drop("own", "first", "reached", "carried")
+        return joined.filter(kept).drop("split", "own", "first", "reached", "carried")
 
     def steps(self) -> DataFrame:
         """(file, time): all accepted times, with or without changes."""
-        return self._tokens().filter("letter is null").select("file", "time").distinct()
+        return self._tokens("steps").select("file", "time").distinct()
 
     def changes(self, signals: DataFrame | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
         """(file, signal_id, time, seq, kind, bits, str, real), in file order by seq; of all ground signals or of (file, signal_id) given.
@@ -451,12 +552,12 @@ class VcdFiles:
         start and end are included; they drop tokens before these are decoded.
         """
         letter = F.lower("letter")
-        named = self._tokens(start, end).filter("letter is not null").select("file", "block", "pos", "time", letter.alias("letter"), F.col("code").alias("id_code"), "rest")
+        named = self._tokens("changes", start, end).select("file", "block", "pos", "time", letter.alias("letter"), F.col("code").alias("id_code"), "rest")
         wanted = self.table("signals").filter("kind = 'ground'")
         if signals is not None:
             wanted = wanted.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
         found = named.join(wanted, ["file", "id_code"])
         encoding, width = F.col("encoding"), F.col("width")
-        bits = F.when(encoding == "bits", F.when(F.col("letter") == "b", values.from_vcd(F.col("rest"), width)).otherwise(values.extend(F.col("letter"), width)))
+        bits = F.when(encoding == "bits", F.when(F.col("letter") == "b", values.from_vcd(F.col("rest"), width)).when((width == 1) & F.col("letter").isin("0", "1", "x", "z"), F.col("letter")).otherwise(values.extend(F.col("letter"), width)))
         kind = F.when(encoding == "event", 0).when(encoding == "bits", 1).when(encoding == "string", 2).otherwise(3).cast("tinyint")
         return found.select("file", "signal_id", "time", F.struct("block", "pos").alias("seq"), kind.alias("kind"), bits.alias("bits"), F.when(encoding == "string", values.unescape(F.col("rest"))).alias("str"), F.when(encoding == "real", F.col("rest").cast("double")).alias("real"))
