@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tracetide.llm import bloom_lm as op7
 from tracetide.llm import cross_polytope as op2
 from tracetide.llm import decontaminate as op5
+from tracetide.llm import filter_audit as op11
 from tracetide.llm import heap_bpe as op4
 from tracetide.llm import html_crf as op10
+from tracetide.llm import line_dedup as op12
 from tracetide.llm import packing as op3
 from tracetide.llm import page_samples
 from tracetide.llm import sharding as op9
@@ -108,8 +110,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_html_text": op10_html_text, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes, "op9_sharding": op9_sharding}
+    return {"op10_html_text": op10_html_text, "op11_filter_audit": op11_filter_audit, "op12_line_dedup": op12_line_dedup, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes, "op9_sharding": op9_sharding}
 
 
 OP5_SQL = r"""
@@ -148,5 +159,30 @@ FROM documents GROUP BY doc_id, lang, source, n_chars, n_bytes, text_sha256
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM d),
+m AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS i), letters AS (SELECT i, 'ABCDE'[i] AS x FROM l),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.i, q.i, r.i, s.i, t.i] AS ix FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+st AS (SELECT filter_order, CAST(i AS INT) AS step, ix[i] AS own, ix[1 : i - 1] AS before FROM o, l),
+z AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS here, len(list_filter(before, lambda k: fails[k])) > 0 AS earlier, len(list_filter(fails, lambda k: k)) = 1 AS alone FROM m, st),
+g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS removed, coalesce(sum(n) FILTER (here AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (here AND alone), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (here AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT earlier), 0) AS toxic_lost FROM z GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) + CAST(count(*) > count(doc_id) AS INT) >= 5),
+g AS (SELECT r, doc_id, pos, line, f.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op8_suffixes": OP8_SQL, "op9_sharding": OP9_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op8_suffixes": OP8_SQL, "op9_sharding": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_line_dedup": OP12_SQL}
