@@ -22,6 +22,7 @@ from tracetide.llm import sharding as op9
 from tracetide.llm import simhash as op1
 from tracetide.llm import suffixes as op8
 from tracetide.llm import toxicity as op6
+from tracetide.llm import vector_file as op13
 from tracetide.llm.common import shared_dir, table
 
 
@@ -119,8 +120,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return op13.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_html_text": op10_html_text, "op11_filter_audit": op11_filter_audit, "op12_line_dedup": op12_line_dedup, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes, "op9_sharding": op9_sharding}
+    return {"op10_html_text": op10_html_text, "op11_filter_audit": op11_filter_audit, "op12_line_dedup": op12_line_dedup, "op13_hard_negatives": op13_hard_negatives, "op4_token_counts": op4_token_counts, "op1_simhash": op1_simhash, "op2_neighbours": op2_neighbours, "op3_packing": op3_packing, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_lm_scores": op7_lm_scores, "op8_suffixes": op8_suffixes, "op9_sharding": op9_sharding}
 
 
 OP5_SQL = r"""
@@ -184,5 +191,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 """
 
 
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score FROM r AS a JOIN r ON a.vec_id % 100 = 0 AND len(a.v) = len(r.v) AND (a.label <> r.label OR a.vec_id <> r.vec_id)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT anchor_id, positive_id, CAST(k AS INT) AS rank, negative_id, positive_score, negative_score
+FROM (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score) WHERE k <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op8_suffixes": OP8_SQL, "op9_sharding": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_line_dedup": OP12_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op8_suffixes": OP8_SQL, "op9_sharding": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
