@@ -34,6 +34,10 @@ class ChangeLog:
         out.df, out.slices = df.select("signal", "time", "seq", "value"), self.slices
         return out
 
+    def like(self, df: DataFrame) -> ChangeLog:
+        """Another log that is cut into slices as this one is."""
+        return ChangeLog(df, slices=self.slices)
+
     # Slices
 
     def slot_of(self, df: DataFrame) -> Column:

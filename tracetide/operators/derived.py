@@ -75,6 +75,25 @@ class Derived:
         return ChangeLog(out, slices=log.slices).dedup().df.select("time", "value")
 
 
+def evaluate_all(log: ChangeLog, parts: DataFrame) -> DataFrame:
+    """(signal, time, value) of many derived signals at once, wherever their values change.
+
+    parts: (signal, pos, input, msb, lsb), with pos from 0 for the most significant. Inputs without a value yet are x;
+    at one time final values count. A part is held over the times of its signal as a signal of its own, so that
+    neither the number of derived signals nor that of their inputs appears in the plan.
+    """
+    parts = parts.select(F.col("signal").alias("of"), "pos", "input", "msb", "lsb")
+    last = log.steps().select(F.col("signal").alias("input"), "time", "value")
+    bits = values.slice_bits(F.col("value"), F.col("msb"), F.col("lsb"))
+    met = parts.join(last, "input").groupBy("of", "time").agg(F.map_from_entries(F.collect_list(F.struct("pos", bits.alias("bits")))).alias("changed"))
+    rows = met.join(parts.select("of", "pos", (F.col("msb") - F.col("lsb") + 1).alias("width")), "of")
+    rows = rows.select(F.struct("of", "pos").alias("signal"), "time", F.lit(0).alias("seq"), "width", F.try_element_at("changed", F.col("pos")).alias("bits"))
+    held = log.held(rows, ["bits"], ["time"])
+    whole = F.sort_array(F.collect_list(F.struct("signal.pos", F.coalesce("bits", F.expr("repeat('x', width)")).alias("bits"))))
+    out = held.groupBy("signal.of", "time").agg(F.array_join(whole["bits"], "").alias("value"))
+    return log.like(out.select(F.col("of").alias("signal"), "time", F.lit(0).alias("seq"), "value")).dedup().df.select("signal", "time", "value")
+
+
 def merge_keyed(left: ChangeLog, right: ChangeLog, left_width: int, right_width: int) -> ChangeLog:
     """For each signal the concatenation of its values in two logs, changing when either does."""
     tagged = left.steps().select("signal", "time", F.col("value").alias("l"), F.lit(None).cast("string").alias("r")).unionByName(right.steps().select("signal", "time", F.lit(None).cast("string").alias("l"), F.col("value").alias("r")))

@@ -24,8 +24,9 @@ from tracetide.sources.detect import file_format
 from tracetide.sources.fst import FstFiles
 from tracetide.sources.ghw import GhwFiles
 from tracetide.sources.vcd import VcdFiles
-from tracetide.storage import shared_dir
+from tracetide.storage import materialize, shared_dir
 from tracetide.streaming import steps
+from tracetide.streaming.live import LiveLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -641,6 +642,62 @@ def q58_streaming(spark, d):
     return steps.run_available(steps.real_changes(changes), f"{path}/out", f"{path}/state")
 
 
+def grown(rows: DataFrame, piece, pieces: int, **options) -> LiveLog:
+    """rows (file, signal, time, seq, value) as a folder that is appended to piece by piece, and taken by a stream after each."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/tracetide/grown-{uuid.uuid4().hex}"
+    rows = materialize(rows.withColumn("piece", piece), "pieces")
+    schema = rows.drop("piece").schema
+    for k in range(pieces):
+        rows.filter(F.col("piece") == k).drop("piece").write.mode("append").parquet(f"{folder}/in")
+        live = LiveLog(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/live", **options).run()
+    return live
+
+
+def item_rows(spark, d, signal, value) -> DataFrame:
+    seq = F.struct(micros("l_shipdate").alias("time"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, d, "lineitem").select(F.lit("").alias("file"), signal.alias("signal"), micros("l_shipdate").alias("time"), seq.alias("seq"), value.cast("string").alias("value"))
+
+
+def inside_times(rows: DataFrame, pieces: int):
+    """The piece of a row: cuts lie inside a time, before and after an order number."""
+    times, order = rows.agg(F.percentile_approx("time", F.array(*[F.lit(i / pieces) for i in range(1, pieces)])), F.percentile_approx("seq.l_orderkey", F.lit(0.5))).first()
+    time, number = F.col("time"), F.col("seq.l_orderkey")
+    return sum((((time > t) | ((time == t) & (number > order))).cast("int") for t in times or []), F.lit(0))
+
+
+@query(f"{STEPS} SELECT time, signal, arg_max(value, (s1, s2, s3)) AS value, count(*) AS transitions FROM dd GROUP BY time, signal")
+def q60_live_steps(spark, d):
+    """q18 over a stream that was cut three times inside a time: each step is told once."""
+    rows = item_rows(spark, d, F.col("l_suppkey"), F.col("l_quantity"))
+    live = grown(rows, inside_times(rows, 4), 4)
+    return live.steps().select("time", "signal", F.col("value").cast("double").alias("value"), "transitions")
+
+
+@query("""WITH s AS (SELECT user_id AS file, event_id AS seq, CAST(floor(value / 10) AS BIGINT) AS time FROM events),
+m AS (SELECT *, max(time) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+f AS (SELECT *, CASE WHEN m IS NULL OR time > m THEN 1 WHEN time < m THEN 0 END AS flag FROM m)
+SELECT file, seq % 3 AS signal, seq, time FROM (SELECT *, last_value(flag IGNORE NULLS) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ok FROM f) WHERE ok = 1""")
+def q61_live_late(spark, d):
+    """q21 over a stream: what one signal's times say of late steps holds for the file's other signals, over all pieces."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 3).alias("signal"), F.floor(F.col("value") / 10).cast("bigint").alias("time"), F.col("event_id").alias("seq"), F.lit("").alias("value"))
+    cuts = rows.agg(F.percentile_approx("seq", F.array(F.lit(0.3), F.lit(0.7)))).first()[0] or []
+    live = grown(rows, sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0)), 3, raw=True)
+    return live.changes().select("file", "signal", "seq", "time")
+
+
+@query("""WITH s AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS k, epoch_us(l_shipdate) AS time, arg_max(CASE WHEN l_quantity > 25 THEN '10' ELSE '01' END, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS v FROM lineitem GROUP BY ALL),
+m AS (SELECT time, max(v) FILTER (k = 0) AS l, max(v) FILTER (k = 1) AS r FROM s GROUP BY time),
+c AS (SELECT time, coalesce(last_value(l IGNORE NULLS) OVER w, 'xx') || substr(coalesce(last_value(r IGNORE NULLS) OVER w, 'xx'), 2, 1) AS value FROM m WINDOW w AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT time, value FROM (SELECT *, lag(value) OVER (ORDER BY time) AS p FROM c) WHERE value IS DISTINCT FROM p""")
+def q62_live_derived(spark, d):
+    """q35_derived_sliced over a stream: the derived signal follows the ground changes of a time, whatever piece they came in."""
+    rows = item_rows(spark, d, F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(1), F.when(F.col("l_quantity") > 25, "10").otherwise("01"))
+    parts = spark.createDataFrame([("", 9, 0, 0, 1, 0), ("", 9, 1, 1, 0, 0)], "file string, signal int, pos int, input int, msb int, lsb int")
+    live = grown(rows, inside_times(rows, 3), 3, derived=parts)
+    return live.steps().filter("signal = 9").select("time", "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
