@@ -91,3 +91,48 @@ def test_many_arrivals_keep_few_runs_of_target_size(spark, tmp_path):
     assert len(store.runs()) <= 3
     empty = shard(spark, [frame(spark, 0, 5).limit(0)], str(tmp_path / "e"))
     assert empty.read().count() == 0 and empty.read().columns == ["doc_id", "text", "run"]
+
+
+@pytest.mark.parametrize("hook", ["before the listing", "after the listing", "before the rename"])
+def test_no_commit_is_lost_whenever_another_comes_between(spark, tmp_path, hook):
+    a, b = (ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    a.append(frame(spark, 0, 5))
+    for i in range(7):
+        mine, other = a._write(frame(spark, 100 * i, 100 * i + 3)), b._write(frame(spark, 100 * i + 50, 100 * i + 54))
+        numbers, rename, base = a._numbers, a._rename, a.version()
+
+        def between():
+            b.commit([*b.runs(), other], b.version())  # noqa: B023
+
+        def listed():
+            if hook == "before the listing":
+                between()
+            found = numbers()  # noqa: B023
+            if hook == "after the listing":
+                between()
+            return found
+
+        def renamed(made, final):
+            if hook == "before the rename":
+                between()
+            return rename(made, final)  # noqa: B023
+
+        runs = [*a.runs(base), mine]
+        a._numbers, a._rename = listed, renamed
+        with pytest.raises(Overtaken):
+            a.commit(runs, base)
+        a._numbers, a._rename = numbers, rename
+        a.commit([*a.runs(), mine], a.version())
+    assert a.read().count() == 5 + 7 * (3 + 4) and a.version() == 15
+
+
+def test_vacuum_leaves_young_runs_of_other_writers(spark, tmp_path):
+    store, other = (ShardStore(spark, str(tmp_path / "s"), fan=2, smallest=1 << 20) for _ in range(2))
+    run = other._write(frame(spark, 50, 60))
+    for i in range(2):
+        store.append(frame(spark, 10 * i, 10 * i + 10))
+    store.compact()
+    store.vacuum(keep=1, grace=3600)
+    assert len(store._names("runs")) == 2  # the merged one and the other writer's
+    other.commit([*other.runs(), run], other.version())
+    assert store.read().count() == 30

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -64,15 +65,24 @@ class ShardStore:
 
     def _manifest(self, version: int) -> list[Run] | None:
         """The runs of a version; None if its file is torn."""
-        found = self.spark.read.text(f"{self.path}/manifest/v{version:010d}.json", wholetext=True).first()
+        fs, p = self._fs(f"{self.path}/manifest/v{version:010d}.json")
+        stream = fs.open(p)
         try:
-            return [Run(**r) for r in json.loads(found[0])["runs"]] if found else None
+            found = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return [Run(**r) for r in json.loads(found)["runs"]]
         except (ValueError, KeyError, TypeError):
             return None
 
+    def _latest(self, numbers: list[int]) -> int:
+        """The latest whole version of a listing."""
+        return next((n for n in numbers if self._manifest(n) is not None), 0)
+
     def version(self) -> int:
         """The latest whole version; 0 before the first commit."""
-        return next((n for n in self._numbers() if self._manifest(n) is not None), 0)
+        return self._latest(self._numbers())
 
     def runs(self, version: int | None = None) -> list[Run]:
         version = self.version() if version is None else version
@@ -84,10 +94,15 @@ class ShardStore:
         return found
 
     def commit(self, runs: list[Run], base: int) -> int:
-        """Make these runs the version after base, unless someone else has committed since."""
-        if self.version() != base:
+        """Make these runs the version after base, unless someone else has committed since.
+
+        The look at the latest version and the choice of the number go by one listing: whoever commits after it takes
+        that number, and the rename fails.
+        """
+        taken = self._numbers()
+        if self._latest(taken) != base:
             raise Overtaken(f"version {base} of {self.path} is not the latest")
-        number = max(self._numbers(), default=0) + 1
+        number = max(taken, default=0) + 1
         fs, made = self._fs(f"{self.path}/manifest/_{uuid.uuid4().hex}")
         out = fs.create(made, False)
         try:
@@ -174,26 +189,45 @@ class ShardStore:
         """(run, shard, bytes, rows) of a version."""
         return self.shards_of([r.name for r in self.runs(version)])
 
-    def vacuum(self, keep: int = 10) -> None:
-        """Delete runs that none of the last `keep` versions lists, older manifests and torn ones. No writer may be at work."""
-        kept = [n for n in self._numbers() if self._manifest(n) is not None][:keep]
-        live = {r.name for v in kept for r in self.runs(v)}
+    def vacuum(self, keep: int = 10, grace: float = 0) -> None:
+        """Delete runs that none of the last `keep` versions lists, older manifests and torn ones.
+
+        Runs and files that no version lists may be another writer's, on the way to its commit: they go once they are
+        `grace` seconds old. With a grace of 0 no writer may be at work.
+        """
+        whole = {n: runs for n in self._numbers() if (runs := self._manifest(n)) is not None}
+        kept = sorted(whole, reverse=True)[:keep]
+        live = {r.name for n in kept for r in whole[n]}
+        known = {r.name for runs in whole.values() for r in runs}
+        now = time.time()
+
+        def old(fs, p) -> bool:
+            return not grace or now - fs.getFileStatus(p).getModificationTime() / 1000 > grace
+
         for n in self._names("runs"):
-            if n not in live:
-                fs, p = self._fs(f"{self.path}/runs/{n}")
+            fs, p = self._fs(f"{self.path}/runs/{n}")
+            if n not in live and (n in known or old(fs, p)):
                 fs.delete(p, True)
         for n in self._names("manifest"):
-            if not (n.startswith("v") and n.endswith(".json") and int(n[1:-5]) in kept):
-                fs, p = self._fs(f"{self.path}/manifest/{n}")
+            number = int(n[1:-5]) if n.startswith("v") and n.endswith(".json") else None
+            fs, p = self._fs(f"{self.path}/manifest/{n}")
+            if number not in kept and (number is not None or old(fs, p)):
                 fs.delete(p, False)
 
 
+#: Seconds that a writer has from its run to its commit.
+GRACE = 86_400
+
+
 def shard(spark: SparkSession, arrivals: list[DataFrame], path: str, keep: int = 10, **options) -> ShardStore:
-    """A store of the arrivals, compacted after each as far as tiers are full; runs that only versions before the last `keep` list are deleted as it goes."""
+    """A store of the arrivals, compacted after each as far as tiers are full; runs that only versions before the last `keep` list are deleted as it goes.
+
+    Other writers may be at work: what they have written and not yet committed stays for GRACE seconds.
+    """
     store = ShardStore(spark, path, **options)
     for df in arrivals:
         store.append(df)
         while store.compact() is not None:
             pass
-        store.vacuum(keep)
+        store.vacuum(keep, GRACE)
     return store
