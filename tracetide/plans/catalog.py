@@ -23,6 +23,7 @@ from tracetide.sources import writers
 from tracetide.sources.detect import file_format
 from tracetide.sources.fst import FstFiles
 from tracetide.sources.ghw import GhwFiles
+from tracetide.sources import vcd_source
 from tracetide.sources.vcd import VcdFiles
 from tracetide.storage import materialize, shared_dir
 from tracetide.streaming import steps
@@ -515,16 +516,21 @@ def q52_chunk_union(spark, d):
 HEADER = "$timescale 1us $end\n$scope module events $end\n$var wire 1 ! over $end\n$upscope $end\n$enddefinitions $end"
 
 
-@query(f"WITH {EB} SELECT signal, time, value FROM eb")
-def q54_vcd_round_trip(spark, d):
-    """Each user's log is written as a VCD file and read back."""
+def vcd_files(spark, d) -> str:
+    """Each user's log, written as a VCD file of a folder of its own; the common folder."""
     log = events(spark, d, bit())
     lines = log.df.select("signal", "time", "seq", F.concat(F.lit("#"), F.col("time").cast("string"), F.lit("\n"), F.col("value"), F.lit("!")).alias("value"))
     heads = log.df.select("signal").distinct().select("signal", F.lit(-1).cast("bigint").alias("time"), F.lit(-1).cast("bigint").alias("seq"), F.lit(HEADER).alias("value"))
     path = f"{shared_dir(spark)}/tracetide/vcd-{uuid.uuid4().hex}"
     files = lines.union(heads).repartition("signal").sortWithinPartitions("signal", "time", "seq").select("signal", "value")
     files.write.partitionBy("signal").text(path)
-    read = VcdFiles(spark, f"{path}/*/*.txt").changes()
+    return path
+
+
+@query(f"WITH {EB} SELECT signal, time, value FROM eb")
+def q54_vcd_round_trip(spark, d):
+    """Each user's log is written as a VCD file and read back."""
+    read = VcdFiles(spark, f"{vcd_files(spark, d)}/*/*.txt").changes()
     return read.select(F.regexp_extract("file", r"signal=(\d+)", 1).cast("bigint").alias("signal"), "time", F.col("bits").alias("value"))
 
 
@@ -666,6 +672,32 @@ def inside_times(rows: DataFrame, pieces: int):
     return sum((((time > t) | ((time == t) & (number > order))).cast("int") for t in times or []), F.lit(0))
 
 
+def file_user():
+    return F.regexp_extract("file", r"signal=(\d+)", 1).cast("bigint").alias("user")
+
+
+@query(f"WITH {EB}, b AS (SELECT min(time) + (max(time) - min(time)) // 4 AS lo, min(time) + (max(time) - min(time)) // 2 AS hi FROM eb) SELECT signal AS user, time, value FROM eb, b WHERE time BETWEEN lo AND hi")
+def q63_vcd_source(spark, d):
+    """Users' VCD files through the registered source; the times' bounds reach the reader."""
+    vcd_source.register(spark)
+    files = vcd_files(spark, d)
+    low, high = events(spark, d).df.agg(F.min("time"), F.max("time")).first()
+    rows = spark.read.format("vcd").load(files).filter(F.col("time").between(low + (high - low) // 4, low + (high - low) // 2))
+    log = vcd_source.valued(rows, spark.read.format("vcd").option("table", "signals").load(files))
+    return log.filter("signal is not null").select(file_user(), "time", "value")
+
+
+@query(f"WITH {EB}, {deduped('eb')} SELECT signal AS user, time, arg_max(value, seq) AS value, count(*) AS transitions FROM d GROUP BY signal, time")
+def q64_vcd_stream(spark, d):
+    """The same files as a stream of byte ranges: time steps of each."""
+    vcd_source.register(spark)
+    files = vcd_files(spark, d)
+    stream = spark.readStream.format("vcd").option("complete", "true").load(files)
+    signals = spark.read.format("vcd").option("table", "signals").load(files)
+    live = LiveLog(vcd_source.valued(stream, signals), f"{shared_dir(spark)}/tracetide/live-{uuid.uuid4().hex}").run()
+    return live.steps().select(file_user(), "time", "value", "transitions")
+
+
 @query(f"{STEPS} SELECT time, signal, arg_max(value, (s1, s2, s3)) AS value, count(*) AS transitions FROM dd GROUP BY time, signal")
 def q60_live_steps(spark, d):
     """q18 over a stream that was cut three times inside a time: each step is told once."""

@@ -358,7 +358,7 @@ class Scanner:
         return time
 
     def many(self, data: bytes, start: int | None, end: int | None, want: str) -> list | None:
-        """record() for ASCII text of many records at once: columns of steps, changes or (neither: nothing) alone.
+        """record() for ASCII text of many records at once: columns of steps, of changes, of all, or (neither: nothing) of none.
 
         None, with nothing done, where the text needs record(): comments, dumps at time 0 and changes before any time.
         """
@@ -406,17 +406,18 @@ class Scanner:
         if len(time) > 1:
             self.time, self.latest, self.own, self.first = int(time[-1]), int(before[-1]), bool(own[-1]), bool(first[-1])
 
-        i = np.flatnonzero(change if want == "changes" else step) if want else np.zeros(0, np.int64)
+        i = np.flatnonzero({"changes": change, "steps": step, "all": change | step}[want]) if want else np.zeros(0, np.int64)
         if start is not None:
             i = i[time[of[i]] >= start]
         if end is not None:
             i = i[time[of[i]] <= end]
         columns = [pa.array(pos[i]), *(pa.array(x[of[i]]) for x in (time, own, first))]
-        if want != "changes":
+        if want not in ("changes", "all"):
             return [*columns, *(pa.nulls(len(i), pa.string()) for _ in range(3))]
         two, after = opens[i], np.minimum(i + 1, n - 1)
         codes = pieces(data, np.where(two, begin[after], begin[i] + 1), np.where(two, finish[after], finish[i]))
-        return [*columns, pieces(data, begin[i], begin[i] + 1), codes, pieces(data, begin[i] + 1, np.where(two, finish[i], begin[i] + 1))]
+        told = [pieces(data, begin[i], begin[i] + 1), codes, pieces(data, begin[i] + 1, np.where(two, finish[i], begin[i] + 1))]
+        return [*columns, *(told if want == "changes" else [pc.if_else(pa.array(step[i]), pa.scalar(None, pa.string()), x) for x in told])]
 
 
 class VcdFiles:
@@ -551,13 +552,28 @@ class VcdFiles:
 
         start and end are included; they drop tokens before these are decoded.
         """
-        letter = F.lower("letter")
-        named = self._tokens("changes", start, end).select("file", "block", "pos", "time", letter.alias("letter"), F.col("code").alias("id_code"), "rest")
+        named = self._tokens("changes", start, end).select("file", F.struct("block", "pos").alias("seq"), "time", "letter", F.col("code").alias("id_code"), "rest")
         wanted = self.table("signals").filter("kind = 'ground'")
         if signals is not None:
             wanted = wanted.join(signals.select("file", "signal_id"), ["file", "signal_id"], "left_semi")
-        found = named.join(wanted, ["file", "id_code"])
-        encoding, width = F.col("encoding"), F.col("width")
-        bits = F.when(encoding == "bits", F.when(F.col("letter") == "b", values.from_vcd(F.col("rest"), width)).when((width == 1) & F.col("letter").isin("0", "1", "x", "z"), F.col("letter")).otherwise(values.extend(F.col("letter"), width)))
-        kind = F.when(encoding == "event", 0).when(encoding == "bits", 1).when(encoding == "string", 2).otherwise(3).cast("tinyint")
-        return found.select("file", "signal_id", "time", F.struct("block", "pos").alias("seq"), kind.alias("kind"), bits.alias("bits"), F.when(encoding == "string", values.unescape(F.col("rest"))).alias("str"), F.when(encoding == "real", F.col("rest").cast("double")).alias("real"))
+        return decoded_columns(named.join(wanted, ["file", "id_code"])).select("file", "signal_id", "time", "seq", "kind", "bits", "str", "real")
+
+
+def decoded_columns(found: DataFrame) -> DataFrame:
+    """found (letter, rest, encoding, width, ...) with kind, bits, str and real."""
+    letter, encoding, width = F.lower("letter"), F.col("encoding"), F.col("width")
+    bits = F.when(encoding == "bits", F.when(letter == "b", values.from_vcd(F.col("rest"), width)).when((width == 1) & letter.isin("0", "1", "x", "z"), letter).otherwise(values.extend(letter, width)))
+    kind = F.when(encoding == "event", 0).when(encoding == "bits", 1).when(encoding == "string", 2).otherwise(3).cast("tinyint")
+    text, real = F.when(encoding == "string", values.unescape(F.col("rest"))), F.when(encoding == "real", F.col("rest").cast("double"))
+    return found.select("*", kind.alias("__kind"), bits.alias("bits"), text.alias("str"), real.alias("real")).drop("kind").withColumnRenamed("__kind", "kind")
+
+
+def decoded(rows: DataFrame, signals: DataFrame) -> DataFrame:
+    """rows (file, seq, time, id_code, letter, rest) as (file, signal, time, seq, value): the values as text, steps with neither signal nor value.
+
+    Codes that are no ground signal are dropped.
+    """
+    ground = signals.filter("kind = 'ground'").select("file", "id_code", "signal_id", "encoding", "width")
+    found = rows.join(ground, ["file", "id_code"], "left").filter(F.col("id_code").isNull() | F.col("signal_id").isNotNull())
+    value = F.coalesce("bits", "str", F.col("real").cast("string"), F.lit(""))
+    return decoded_columns(found.withColumn("kind", F.lit(0))).select("file", F.col("signal_id").alias("signal"), "time", "seq", F.when(F.col("signal_id").isNotNull(), value).alias("value"))
