@@ -158,3 +158,38 @@ def test_accepted_steps_over_ranges(spark, seed):
             want.append((f, q, t))
     df = spark.createDataFrame(rows, "file string, seq long, time long")
     assert sorted(map(str, map(tuple, accepted_steps(df, within=["file"]).collect()))) == sorted(map(str, want))
+
+
+def test_numbers_of_any_width(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["", "0", "000", "1", "x1", "1" * 53, "1" * 54, "1" * 64, "1" + "0" * 80, "1" + "0" * 64 + "1", "1" + "0" * 1023, "1" * 1024, "1" + "0" * 1024, "0" * 300 + "101", "1" * 53 + "01", "1" + "0" * 52 + "1", "1" + "0" * 51 + "11"]
+    texts += ["".join(rng.choice("01") for _ in range(rng.randint(1, 400))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    for r in rows.select("t", values.decimal_text(t).alias("d"), values.number_text(t).alias("n"), values.to_real(t).alias("r"), values.to_nearest(t).alias("f")).collect():
+        if not r.t or set(r.t) - set("01"):
+            assert r.d is None and r.n == r.t and r.r is None and r.f is None
+            continue
+        whole = int(r.t, 2)
+        assert r.d == r.n == str(whole)
+        try:
+            near = float(whole)
+        except OverflowError:
+            near = float("inf")
+        assert r.f == near, r.t
+        assert r.r == (near if near != float("inf") and int(near) == whole else None), r.t
+
+
+def test_ordered_difference(spark):
+    schema = "signal int, time long, seq int, value string"
+    rows = [(1, 5, 0, "a"), (1, 5, 1, "b"), (1, 9, 2, "a"), (2, 1, 0, "x"), (None, 1, 0, "n"), (None, 2, 0, None)]
+    log = ChangeLog(spark.createDataFrame(rows, schema))
+    recounted = ChangeLog(spark.createDataFrame([(s, t, 10 * q + 3, v) for s, t, q, v in rows], schema))
+    assert log.equals(recounted) and recounted.equals(log)
+    swapped = ChangeLog(spark.createDataFrame([(s, t, {0: 1, 1: 0}.get(q, q) if s == 1 else q, v) for s, t, q, v in rows if (s, t) != (2, 1)] + [(3, 1, 0, None)], schema))
+    assert log.difference(swapped).count() == 2
+    got = {tuple(r) for r in log.ordered_difference(swapped).collect()}
+    assert got == {(1, 0, 5, "a", 5, "b"), (1, 1, 5, "b", 5, "a"), (2, 0, 1, "x", None, None), (3, 0, None, None, 1, None)}
+    assert not log.equals(ChangeLog(log.df.limit(0))) and log.equals(log)

@@ -102,14 +102,67 @@ def to_bool(bits: Column) -> Column:
 
 
 def to_real(bits: Column) -> Column:
-    """As a double, if it holds the number without loss."""
-    whole = to_long(bits)
-    return F.when((F.length(F.ltrim(F.lit("0"), bits)) <= 64) & (whole.cast("double").cast("decimal(38,0)") == whole), whole.cast("double"))
+    """As a double, if it holds the number without loss: at most 53 bits from the first 1 to the last, and none over 2**1024. Null otherwise."""
+    short = F.ltrim(bits, F.lit("0"))
+    core = F.rtrim(short, F.lit("0"))
+    exact = F.conv(core, 2, 10).cast("double") * F.pow(F.lit(2.0), F.length(short) - F.length(core))
+    fits = (F.length(core) <= 53) & (F.length(short) <= 1024)
+    return F.when(bits.rlike("^0+$"), 0.0).when(bits.rlike("^[01]+$") & fits, exact)
+
+
+def to_nearest(bits: Column) -> Column:
+    """The double nearest to a two-state vector of any width, ties to even; infinity from 2**1024 on. Null with other states."""
+    short = F.ltrim(bits, F.lit("0"))
+    n = F.length(short)
+    lead = F.conv(F.substring(short, 1, 53), 2, 10).cast("bigint")
+    half, rest = F.substring(short, 54, 1) == "1", F.contains(F.substring(short, 55, 1 << 30), F.lit("1"))
+    up = half & (rest | (lead % 2 == 1))
+    scaled = (lead + F.when(up, 1).otherwise(0)).cast("double") * F.pow(F.lit(2.0), n - 53)
+    large = F.when(n > 1024, F.lit(float("inf"))).otherwise(scaled)
+    return F.when(bits.rlike("^0+$"), 0.0).when(bits.rlike("^[01]+$"), F.when(n <= 53, lead.cast("double")).otherwise(large))
+
+
+#: Decimal digits of a limb and bits taken at a time: a limb times 2**LIMB_BITS and a carry fit a long.
+LIMB, LIMB_BITS = 9, 30
+
+
+def decimal_text(bits: Column) -> Column:
+    """The decimal number of a two-state vector of any width, as text; null with other states.
+
+    Bits are taken LIMB_BITS at a time from the most significant on; each time all limbs (of LIMB decimal digits, the
+    least significant first) are multiplied, the bits are added, and the carry goes from limb to limb.
+    """
+    base = 10**LIMB
+    short = F.ltrim(bits, F.lit("0"))
+    n = F.length(short)
+    none = F.array().cast("array<bigint>")
+    first = F.pmod(n - 1, F.lit(LIMB_BITS)) + 1
+    begins = F.when(n > first, F.sequence(first + 1, n, F.lit(LIMB_BITS))).otherwise(F.array().cast("array<int>"))
+    groups = F.concat(F.array(F.substring(short, F.lit(1), first)), F.transform(begins, lambda i: F.substring(short, i, F.lit(LIMB_BITS))))
+
+    def over(x: Column) -> Column:
+        return F.call_function("div", x, F.lit(base).cast("bigint"))
+
+    def multiplied(a: Column, limb: Column) -> Column:
+        whole = limb * F.lit(1 << LIMB_BITS).cast("bigint") + a["carry"]
+        return F.struct(F.concat(a["done"], F.array(whole % base)).alias("done"), over(whole).alias("carry"))
+
+    def closed(a: Column) -> Column:
+        carry = a["carry"]
+        return F.concat(a["done"], F.when(carry == 0, none).when(carry < base, F.array(carry)).otherwise(F.array(carry % base, over(carry))))
+
+    def step(limbs: Column, group: Column) -> Column:
+        return F.aggregate(limbs, F.struct(none.alias("done"), F.conv(group, 2, 10).cast("bigint").alias("carry")), multiplied, closed)
+
+    limbs = F.aggregate(groups, none, step)
+    digits = F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), LIMB, "0"))
+    text = F.ltrim(F.array_join(digits, ""), F.lit("0"))
+    return F.when(bits.rlike("^0+$"), F.lit("0")).when(bits.rlike("^[01]+$"), text)
 
 
 def number_text(bits: Column) -> Column:
-    """What a Python caller sees: the decimal number of two-state vectors up to 64 bits, the bits of others."""
-    return F.when(bits.rlike("^[01]{1,64}$"), to_long(bits).cast("string")).otherwise(bits)
+    """What a Python caller sees: the decimal number of two-state vectors of any width, the bits of others."""
+    return F.when(bits.rlike("^[01]{1,63}$"), F.conv(bits, 2, 10)).otherwise(F.coalesce(decimal_text(bits), bits))
 
 
 def be_bytes(bits: Column) -> Column:

@@ -228,6 +228,32 @@ class ChangeLog:
         mine, theirs = (x.df.select("signal", "time", "value") for x in (self, other))
         return mine.exceptAll(theirs).withColumn("side", F.lit("left")).unionByName(theirs.exceptAll(mine).withColumn("side", F.lit("right")))
 
+    def ordered_difference(self, other: ChangeLog) -> DataFrame:
+        """(signal, idx, left_time, left_value, right_time, right_value): places at which two logs differ, the order of changes at one time included.
+
+        A digest of each signal, over places, times and values, is compared first; only signals whose digests differ
+        are laid side by side. A place that one log lacks is null there.
+        """
+        mine, theirs = self.positions(), other.positions()
+
+        def digest(log: DataFrame) -> DataFrame:
+            place = [F.col("idx"), F.col("time"), F.col("value")]
+            return log.groupBy("signal").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*place)).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), *place)).alias("b"))
+
+        left, right = (digest(x).select("signal", F.struct("n", "a", "b").alias("of")) for x in (mine, theirs))
+        both = left.join(right.select(F.col("signal").alias("other"), F.col("of").alias("its")), F.col("signal").eqNullSafe(F.col("other")), "full")
+        differ = materialize(both.filter(~F.col("of").eqNullSafe(F.col("its"))).select(F.coalesce("signal", "other").alias("odd")), "unequal-signals")
+        named = lambda log, side: log.join(differ, F.col("signal").eqNullSafe(F.col("odd")), "left_semi").select(F.col("signal").alias(f"{side}_signal"), F.col("idx").alias(f"{side}_idx"), F.col("time").alias(f"{side}_time"), F.col("value").alias(f"{side}_value"))
+        same = F.col("left_signal").eqNullSafe(F.col("right_signal")) & (F.col("left_idx") == F.col("right_idx"))
+        sides = named(mine, "left").join(named(theirs, "right"), same, "full")
+        unequal = ~(F.struct("left_idx", "left_time", "left_value").eqNullSafe(F.struct("right_idx", "right_time", "right_value")))
+        found = sides.filter(unequal)
+        return found.select(F.coalesce("left_signal", "right_signal").alias("signal"), F.coalesce("left_idx", "right_idx").alias("idx"), "left_time", "left_value", "right_time", "right_value")
+
+    def equals(self, other: ChangeLog) -> bool:
+        """The same changes of the same signals in the same order; how seq counts them is of no account."""
+        return self.ordered_difference(other).isEmpty()
+
     def statistics(self) -> DataFrame:
         size = F.octet_length(F.col("value").cast("string")).cast("long")
         return self.df.groupBy("signal").agg(F.count("*").alias("n_changes"), F.countDistinct("time").alias("n_times"), F.sum(size).alias("n_bytes"), F.max(size).alias("widest"))

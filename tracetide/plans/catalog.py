@@ -730,6 +730,29 @@ def q62_live_derived(spark, d):
     return live.steps().filter("signal = 9").select("time", "value")
 
 
+WIDE = 6
+WIDE_FACTOR = sum(1 << 20 * i for i in range(WIDE))
+
+
+@query(f"SELECT o_orderkey AS id, CAST(CAST(o_orderkey AS HUGEINT) * CAST('{WIDE_FACTOR}' AS HUGEINT) AS VARCHAR) AS number FROM orders")
+def q65_wide_numbers(spark, d):
+    """Vectors of 120 bits as decimal numbers."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.number_text(F.concat(*[order_bits()] * WIDE)).alias("number"))
+
+
+@query(f"""WITH {L}, a AS (SELECT signal, time, value, row_number() OVER (PARTITION BY signal ORDER BY time, s1, s2, s3) - 1 AS idx FROM l),
+b AS (SELECT signal, time, value, row_number() OVER (PARTITION BY signal ORDER BY time, CASE WHEN signal % 5 = 0 THEN -s1 ELSE s1 END, s2, s3) - 1 AS idx FROM l WHERE signal <> 3 OR s1 % 2 = 0)
+SELECT coalesce(a.signal, b.signal) AS signal, coalesce(a.idx, b.idx) AS idx, coalesce(a.time, -1) AS left_time, a.value AS left_value, coalesce(b.time, -1) AS right_time, b.value AS right_value
+FROM a FULL JOIN b ON a.signal = b.signal AND a.idx = b.idx WHERE (a.time, a.value) IS DISTINCT FROM (b.time, b.value) OR (a.idx IS NULL) <> (b.idx IS NULL)""")
+def q66_ordered_difference(spark, d):
+    """Two logs that hold the changes of a time in another order for every fifth signal; one signal lacks changes."""
+    log = items(spark, d)
+    number = F.col("seq.l_orderkey")
+    seq = F.struct(F.when(F.col("signal") % 5 == 0, -number).otherwise(number).alias("l_orderkey"), "seq.l_linenumber", "seq.l_partkey")
+    other = ChangeLog(log.df.filter((F.col("signal") != 3) | (number % 2 == 0)).withColumn("seq", seq))
+    return log.ordered_difference(other).fillna(-1, ["left_time", "right_time"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
