@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracetide.builder import Encoder, HierarchyBuilder
 from tracetide.functions import values
-from tracetide.operators import derived
+from tracetide.operators import derived, hierarchy
 from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, undelta_times
 from tracetide.operators.derived import Derived, Extract
 from tracetide.streaming import steps
@@ -161,8 +161,6 @@ def test_accepted_steps_over_ranges(spark, seed):
 
 
 def test_numbers_of_any_width(spark):
-    import random
-
     rng = random.Random(8)
     texts = ["", "0", "000", "1", "x1", "1" * 53, "1" * 54, "1" * 64, "1" + "0" * 80, "1" + "0" * 64 + "1", "1" + "0" * 1023, "1" * 1024, "1" + "0" * 1024, "0" * 300 + "101", "1" * 53 + "01", "1" + "0" * 52 + "1", "1" + "0" * 51 + "11"]
     texts += ["".join(rng.choice("01") for _ in range(rng.randint(1, 400))) for _ in range(200)]
@@ -193,3 +191,25 @@ def test_ordered_difference(spark):
     got = {tuple(r) for r in log.ordered_difference(swapped).collect()}
     assert got == {(1, 0, 5, "a", 5, "b"), (1, 1, 5, "b", 5, "a"), (2, 0, 1, "x", None, None), (3, 0, None, None, 1, None)}
     assert not log.equals(ChangeLog(log.df.limit(0))) and log.equals(log)
+
+
+def test_resolve_equals_one_name_at_a_time(spark):
+    items = [(0, None, 0, "top", "scope"), (1, None, 1, "top.sub", "scope"), (2, 0, 0, "out", "var"), (3, 0, 1, "out[1]", "var"), (4, 0, 2, "sub", "scope"), (5, 4, 0, "o", "var"), (6, 1, 0, "o", "var"), (7, 0, 3, "sub", "var"), (8, None, 2, "clk", "var"), (9, 4, 1, "very", "scope"), (10, 9, 0, "deep.name", "var")]
+
+    def one(name, parent=None):
+        level = [x for x in items if x[1] == parent]
+        best = None
+        for x in level:
+            after = name[len(x[3]) :]
+            fits = name.startswith(x[3]) and (after == "" or after[0] == "." if x[4] == "scope" else "." not in after)
+            if fits and (best is None or len(x[3]) > len(best[3])):
+                best = x
+        if best is None:
+            return None, None, [x[3] for x in level][:5]
+        after = name[len(best[3]) :]
+        return one(after[1:], best[0]) if best[4] == "scope" and after else (best[0], best[4], None)
+
+    names = ["top", "top.out", "top.out[1:0]", "top.out[1]x", "top.outXYZ", "top.sub", "top.sub.o", "top.sub.very.deep.name", "top.sub.very", "top.", "", "clk", "clk[3]", "clk.x", "nowhere", "topx.out", "top.out.x", "top.sub.o.p", "top.subX"]
+    got = hierarchy.resolve(spark.createDataFrame([(n,) for n in [*names, "top"]], "name string"), spark.createDataFrame(items, "id long, parent_id long, ord int, name string, kind string"))
+    assert {r["name"]: (r["id"], r["kind"], r["hints"]) for r in got.collect()} == {n: one(n) for n in names}
+    assert got.count() == len(names)

@@ -8,6 +8,8 @@ there is no limit on depth.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +126,38 @@ def bit_islands(variables: DataFrame) -> DataFrame:
 def merge_bits(variables: DataFrame) -> DataFrame:
     """One row for each run of bit_islands: its name, outer indexes and the signals from the most significant."""
     return bit_islands(variables).groupBy("parent_id", "island", "name").agg(F.max("msb").alias("msb"), F.min("lsb").alias("lsb"), F.array_sort(F.collect_list(F.struct("ord", "signal_id"))).alias("members")).withColumn("signals", F.col("members.signal_id")).drop("members")
+
+
+def resolve(names: DataFrame, items: DataFrame) -> DataFrame:
+    """(name, id, kind, hints) for names (name): the variable or scope that each leads to.
+
+    items: (id, parent_id, ord, name, kind), with kind scope or var. A name is followed from the top, one level in a
+    round for all names together: of the items whose own name begins the rest, the longest is taken, without a way
+    back. What follows a scope is nothing or a point; what follows a variable holds no point, and is not looked at.
+    Where a level has none, id is null and hints holds the level's first five names. Each beginning of the rest meets
+    items by equality of parent and name, so that scopes with many items are no products.
+    """
+    top = F.lit(-1).cast("bigint")
+    items = materialize(items.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("parent_id").cast("bigint"), top).alias("at"), "ord", F.col("name").alias("begin"), "kind"), "items")
+    open_ = names.select("name").distinct().select("name", top.alias("at"), F.col("name").alias("rest"))
+    done: list[DataFrame] = []
+    while True:
+        open_ = materialize(open_, "open-names")
+        cut = F.explode(F.sequence(F.lit(0), F.char_length("rest")))
+        begun = open_.withColumn("cut", cut).select("name", "at", "cut", F.expr("substring(rest, 1, cut)").alias("begin"), F.expr("substring(rest, cut + 1)").alias("after"))
+        ends = (F.col("after") == "") | F.startswith("after", F.lit("."))
+        fits = F.when(F.col("kind") == "scope", ends).otherwise(~F.contains("after", F.lit(".")))
+        met = begun.join(items, ["at", "begin"]).filter(fits)
+        best = F.max_by(F.struct("id", "kind", "after"), F.struct("cut", -F.col("ord"))).alias("best")
+        found = materialize(open_.join(met.groupBy("name").agg(best), "name", "left"), "met-names")
+        on = (F.col("best.kind") == "scope") & (F.col("best.after") != "")
+        done.append(found.filter(F.col("best").isNull() | ~on).select("name", "at", "best.id", "best.kind"))
+        open_ = found.filter(on).select("name", F.col("best.id").alias("at"), F.expr("substring(best.after, 2)").alias("rest"))
+        if open_.isEmpty():
+            break
+    told = reduce(DataFrame.unionByName, done)
+    lost = told.filter("id is null").select("at").distinct()
+    near = items.join(lost, "at", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy("ord", "id"))).filter("k <= 5")
+    hints = near.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("k", "begin")))["begin"].alias("hints"))
+    told = told.join(hints, "at", "left")
+    return told.select("name", "id", "kind", F.when(F.col("id").isNull(), F.coalesce("hints", F.array().cast("array<string>"))).alias("hints"))

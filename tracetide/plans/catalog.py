@@ -730,6 +730,17 @@ def q62_live_derived(spark, d):
     return live.steps().filter("signal = 9").select("time", "value")
 
 
+@query(f"""{HP}, n AS (SELECT id, kind, full_name, CASE WHEN kind = 'scope' THEN full_name WHEN id % 4 = 0 THEN full_name WHEN id % 4 = 1 THEN full_name || '[1:0]' WHEN id % 4 = 2 THEN full_name || 'XYZ' ELSE replace(full_name, '.', '.no') END AS name FROM w)
+SELECT name, coalesce(max(CASE WHEN kind = 'var' AND id % 4 = 3 THEN -1 ELSE id END), -1) AS id FROM n GROUP BY name""")
+def q67_resolve(spark, d):
+    """Names of scopes and variables, with an index or other text at their end, and names that lead nowhere."""
+    nodes = tree(spark, d)
+    full = hierarchy.with_paths(nodes).select("id", "kind", hierarchy.full_name(F.col("path")).alias("full"))
+    rest = F.when(F.col("id") % 4 == 0, F.col("full")).when(F.col("id") % 4 == 1, F.concat("full", F.lit("[1:0]"))).when(F.col("id") % 4 == 2, F.concat("full", F.lit("XYZ"))).otherwise(F.replace("full", F.lit("."), F.lit(".no")))
+    names = full.select(F.when(F.col("kind") == "scope", F.col("full")).otherwise(rest).alias("name"))
+    return hierarchy.resolve(names, nodes).select("name", "id").fillna(-1, ["id"])
+
+
 WIDE = 6
 WIDE_FACTOR = sum(1 << 20 * i for i in range(WIDE))
 
