@@ -213,3 +213,29 @@ def test_resolve_equals_one_name_at_a_time(spark):
     got = hierarchy.resolve(spark.createDataFrame([(n,) for n in [*names, "top"]], "name string"), spark.createDataFrame(items, "id long, parent_id long, ord int, name string, kind string"))
     assert {r["name"]: (r["id"], r["kind"], r["hints"]) for r in got.collect()} == {n: one(n) for n in names}
     assert got.count() == len(names)
+
+
+@pytest.mark.parametrize("bytes_", [0, 1 << 70])
+def test_hot_signals_are_cut_by_themselves(spark, monkeypatch, bytes_):
+    from tracetide.operators import changelog
+
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 0, 0, 1, 2, None]), rng.randint(0, 80), i, rng.choice("ab")) for i in range(600)]
+    df = spark.createDataFrame(rows, "signal int, time long, seq int, value string")
+    probes = spark.createDataFrame([(s, t) for s in (0, 1, 2, 9) for t in range(-1, 85, 7)], "signal int, time long")
+    fixed, auto = ChangeLog(df, slices=1), ChangeLog(df)
+    monkeypatch.setattr(changelog, "HOT_ROWS", 40)
+    monkeypatch.setattr(changelog, "COUNTED_BYTES", bytes_)
+    assert auto.cut() == (bytes_ == 0)
+    if bytes_ == 0:
+        cuts = {r.hot_signal: len(r.bounds) for r in auto.hot().collect()}
+        assert set(cuts) == {0, 1, 2, None} and cuts[0] > 3
+        assert auto.slotted(df).groupBy("signal", "slot").count().agg({"count": "max"}).first()[0] < 120
+    same = lambda f: sorted(map(str, f(auto).collect())) == sorted(map(str, f(fixed).collect()))
+    assert same(lambda x: x.dedup().df) and same(lambda x: x.positions().select("signal", "time", "seq", "value", "idx", "from_end"))
+    assert same(lambda x: x.value_at(probes)) and same(lambda x: x.offsets(probes)) and same(lambda x: x.time_steps())
+    bits = ChangeLog(df.withColumn("value", F.when(F.col("value") == "a", "10").otherwise("01")))
+    plain = ChangeLog(bits.df, slices=1)
+    parts = Derived([Extract(0, 1, 0), Extract(1, 0, 0)])
+    assert sorted(map(str, parts.evaluate(bits).collect())) == sorted(map(str, parts.evaluate(plain).collect()))
+    assert "SinglePartition" not in parts.evaluate(bits)._jdf.queryExecution().executedPlan().toString()

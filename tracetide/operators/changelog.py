@@ -2,9 +2,11 @@
 
 Most operators are one window over (signal; time, seq), so that a chain of them
 shares one exchange and sort. A signal that holds a large share of all rows would
-put them into one task; `slices` cuts time into that many parts of about equal
-size, works within (signal, slice), and carries the last value of earlier slices
-over by a small table with a row for each signal and slice.
+put them into one task. So the rows of each signal are counted first, unless the
+table is small, and signals with more than HOT_ROWS are cut at quantiles of their
+own times; the operators work within (signal, slice), and carry the last value of
+earlier slices over by a small table with a row for each signal and slice. With
+`slices` all signals are cut at that many quantiles of all times, uncounted.
 """
 
 from __future__ import annotations
@@ -17,6 +19,12 @@ from pyspark.sql import functions as F
 from tracetide.storage import materialize
 
 
+#: Rows of one signal that a task may sort; a signal with more is cut.
+HOT_ROWS = 4 << 20
+#: By Catalyst's estimate smaller tables are not counted: none of their signals can be that hot.
+COUNTED_BYTES = 256 << 20
+
+
 def _ranked(df: DataFrame, slot: Column | None = None):
     keys = ["signal"] if slot is None else ["signal", slot]
     return Window.partitionBy(*keys).orderBy("time", "seq")
@@ -25,13 +33,14 @@ def _ranked(df: DataFrame, slot: Column | None = None):
 class ChangeLog:
     """Columns are renamed to signal, time, seq and value; seq orders changes of one signal at one time and may be a struct."""
 
-    def __init__(self, df: DataFrame, signal: str = "signal", time: str = "time", seq: str = "seq", value: str = "value", slices: int = 1):
+    def __init__(self, df: DataFrame, signal: str = "signal", time: str = "time", seq: str = "seq", value: str = "value", slices: int | None = None):
         self.df = df.select(F.col(signal).alias("signal"), F.col(time).alias("time"), F.col(seq).alias("seq"), F.col(value).alias("value"))
         self.slices = slices
+        self._found: dict[int, tuple[DataFrame, DataFrame | None]] = {}
 
     def _with(self, df: DataFrame) -> ChangeLog:
         out = object.__new__(ChangeLog)
-        out.df, out.slices = df.select("signal", "time", "seq", "value"), self.slices
+        out.df, out.slices, out._found = df.select("signal", "time", "seq", "value"), self.slices, {}
         return out
 
     def like(self, df: DataFrame) -> ChangeLog:
@@ -40,9 +49,33 @@ class ChangeLog:
 
     # Slices
 
+    def hot(self, df: DataFrame | None = None) -> DataFrame | None:
+        """(hot_signal, bounds): the signals with over HOT_ROWS rows in df (default: the log) and the times that cut them; None if there are none."""
+        df = self.df if df is None else df
+        if id(df) not in self._found:  # counted once for a table
+            self._found[id(df)] = df, self._hot(df)
+        return self._found[id(df)][1]
+
+    def _hot(self, df: DataFrame) -> DataFrame | None:
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < COUNTED_BYTES:
+            return None
+        large = materialize(df.groupBy("signal").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS), "hot-signals")
+        most = large.agg(F.max("n")).first()[0]
+        if most is None:
+            return None
+        parts = -(-most // HOT_ROWS)
+        named = F.broadcast(large.select(F.col("signal").alias("hot_signal")))  # a row for each HOT_ROWS rows at most
+        own = df.join(named, df["signal"].eqNullSafe(F.col("hot_signal")))
+        at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        return materialize(own.groupBy("hot_signal").agg(F.array_distinct(F.percentile_approx("time", at, 10_000)).alias("bounds")), "cuts")
+
+    def cut(self, df: DataFrame | None = None) -> bool:
+        """Whether rows are cut into slices: as asked for, or because a signal needs it."""
+        return self.hot(df) is not None if self.slices is None else self.slices > 1
+
     def slot_of(self, df: DataFrame) -> Column:
-        """The slice of a time: the number of boundaries at or below it."""
-        if self.slices <= 1:
+        """The slice of a time among all times: the number of boundaries at or below it."""
+        if self.slices is None or self.slices <= 1:
             return F.lit(0)
         parts = [i / self.slices for i in range(1, self.slices)]
         bounds = sorted({b for b in df.agg(F.percentile_approx("time", F.array(*map(F.lit, parts)), 10_000)).first()[0] or []})
@@ -50,7 +83,13 @@ class ChangeLog:
 
     def slotted(self, df: DataFrame) -> DataFrame:
         """df with the slice of each row's time as slot."""
-        return df.withColumn("slot", self.slot_of(df))
+        if self.slices is not None:
+            return df.withColumn("slot", self.slot_of(df))
+        found = self.hot(df)
+        if found is None:
+            return df.withColumn("slot", F.lit(0))
+        below = F.size(F.filter("bounds", lambda b: b <= F.col("time")))
+        return df.join(F.broadcast(found), df["signal"].eqNullSafe(F.col("hot_signal")), "left").withColumn("slot", F.when(F.col("bounds").isNull(), 0).otherwise(below)).drop("hot_signal", "bounds")
 
     def carry(self, df: DataFrame, entries: list[str], order: Column) -> DataFrame:
         """(signal, slot, before_<entry>, ...): of each entry the last one that is not null, in earlier slices of the signal. A row for each signal and slice."""
@@ -61,7 +100,7 @@ class ChangeLog:
     def held(self, df: DataFrame, entries: list[str], order: list[str]) -> DataFrame:
         """df with each entry as of its row: the last one that is not null, in order, within the signal."""
         last = Window.unboundedPreceding, 0
-        if self.slices <= 1:
+        if not self.cut(df):
             w = Window.partitionBy("signal").orderBy(*order).rowsBetween(*last)
             return df.select(*[c for c in df.columns if c not in entries], *[F.last(c, ignorenulls=True).over(w).alias(c) for c in entries])
         df = self.slotted(df)
@@ -98,7 +137,7 @@ class ChangeLog:
             same &= F.col("previous.value").cast("string").eqNullSafe(F.col("value").cast("string"))
         same = F.col("previous").isNotNull() & same
         df = self.df.withColumn("entry", F.struct("value"))
-        if self.slices > 1:
+        if self.cut():
             df = self.slotted(df)
             before = self.carry(df, ["entry"], F.struct("time", "seq"))
             df = beside(df.withColumn("lagged", F.lag("entry").over(_ranked(df, F.col("slot")))), before, ["signal", "slot"]).withColumn("previous", F.coalesce("lagged", "before_entry"))
@@ -158,7 +197,7 @@ class ChangeLog:
     def offsets(self, probes: DataFrame) -> DataFrame:
         """probes with start (time of the last change), elements there, whether it is the probe's own time, and the time of the next change."""
         steps = self.steps()
-        if self.slices > 1:
+        if self.cut(steps):
             steps = self.slotted(steps)
             firsts = steps.groupBy("signal", "slot").agg(F.min("time").alias("time"))
             after = firsts.select("signal", "slot", F.lead("time").over(Window.partitionBy("signal").orderBy("slot")).alias("after"))
@@ -181,7 +220,7 @@ class ChangeLog:
 
     def positions(self) -> DataFrame:
         """Changes with their index among the signal's, from 0, and from the end, from -1."""
-        if self.slices <= 1:
+        if not self.cut():
             n = F.count("*").over(Window.partitionBy("signal"))
             at = (F.row_number().over(_ranked(self.df)) - 1).cast("long")
             return self.df.withColumn("idx", at).withColumn("from_end", at - n)

@@ -57,10 +57,14 @@ class Derived:
     def evaluate(self, log: ChangeLog) -> DataFrame:
         """(time, value) wherever the output changes; inputs without a value yet are x. At one time final values count.
 
-        With log.slices over 1 the times are cut into that many parts; the inputs' last
+        With log.slices the times are cut into that many parts; the inputs' last
         values before a part come from a table with a row for each part.
         """
         signals = self.inputs()
+        if log.slices is None:  # one signal of parts, each of them held and cut by itself
+            parts = log.df.sparkSession.createDataFrame([(0, i, signals.index(p.signal), p.msb, p.lsb) for i, p in enumerate(self.parts)], "signal int, pos int, input int, msb int, lsb int")
+            place = F.coalesce(*[F.when(F.col("signal") == s, i) for i, s in enumerate(signals)])
+            return evaluate_all(ChangeLog(log.only(signals).df.withColumn("signal", place)), parts).select("time", "value")
         last = log.only(signals).steps()
         wide = last.groupBy("time").pivot("signal", signals).agg(F.first("value"))
         inputs = [f"in{i}" for i in range(len(signals))]
@@ -103,7 +107,7 @@ def merge_keyed(left: ChangeLog, right: ChangeLog, left_width: int, right_width:
     return ChangeLog(held.select("signal", "time", F.lit(0).alias("seq"), value.alias("value")), slices=left.slices).dedup()
 
 
-def assemble_bits(bits: DataFrame, width: int, slices: int = 1) -> DataFrame:
+def assemble_bits(bits: DataFrame, width: int, slices: int | None = None) -> DataFrame:
     """(signal, time, value) from single bits (signal, time, seq, bit, value): each step holds the vector's state after it."""
     last = bits.groupBy("signal", "time", "bit").agg(F.max_by("value", "seq").alias("value"))
     names = [f"b{i}" for i in range(width)]
