@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 from tracetide.llm import toxicity
 
@@ -88,3 +89,14 @@ def test_a_repeated_id_teaches_once(spark):
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     one, many = (toxicity.learn(spark.createDataFrame(rows + [rows[5]] * k, "doc_id long, text string, x string").repartition(2), marks, sample=500) for k in (0, 300))
     assert one == many
+
+
+def test_matches_and_exceptions_of_a_long_text_are_merged():
+    lex = toxicity.Lexicon({" viiename ": 5.0, " fou": 4.0}, [" famous viiename ", " viiename famous ", " not fouii "])
+    r = random.Random(7)
+    short = " ".join(r.choice(["famous", "vilename", "foul", "not", "tree"]) for _ in range(600))
+    assert math.isclose(lex.score(short), plain_score(lex, short), rel_tol=1e-9)
+    long = "famous vilename foul " * 50_000  # over a megabyte, 100,000 matches and 50,000 exceptions
+    began = time.perf_counter()
+    total, n = lex.evidence(long)
+    assert (total, n) == (50_000 * 4.0, 50_000) and time.perf_counter() - began < 10

@@ -20,8 +20,6 @@ import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 import ahocorasick
 import pyarrow as pa
@@ -114,7 +112,8 @@ class Lexicon:
             elif weight > heaviest.get(start, -1e9):
                 heaviest[start] = weight
         if spared:
-            heaviest = {s: w for s, w in heaviest.items() if not any(p <= s < e - 1 for p, e in spared)}
+            covered = _inside(sorted(heaviest), sorted(spared))
+            heaviest = {s: w for s, w in heaviest.items() if s not in covered}
         return sum(heaviest.values()), len(heaviest)
 
     def score(self, text: str | None) -> float:
@@ -127,6 +126,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
+def _inside(starts: list[int], spans: list[tuple[int, int]]) -> set[int]:
+    """Starts of matches inside a span; both lists are in order and are gone through once."""
+    out, i, reach = set(), 0, -1
+    for s in starts:
+        while i < len(spans) and spans[i][0] <= s:
+            reach = max(reach, spans[i][1] - 1)
+            i += 1
+        if s < reach:
+            out.add(s)
+    return out
+
+
 def _counts(sample: DataFrame, least: int, prefixes: range) -> DataFrame:
     """(term, toxic, other): documents that hold each term; terms in fewer than `least` are left out."""
 
@@ -174,13 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     top = counted.filter(~F.col("is_phrase") & (F.col("weight") >= ratio)).select("term", "weight").collect()
     terms = _without_longer({r.term: r.weight for r in top})
     phrases = counted.filter("is_phrase and weight <= 0")
-    listed, sizes = list(terms), sorted({len(t) - 1 for t in terms if not t.endswith(" ")})
-
-    def is_held(w):
-        return reduce(or_, [F.concat(F.lit(" "), F.substring(w, 1, k)).isin(listed) for k in sizes], F.concat(F.lit(" "), w, F.lit(" ")).isin(listed))
-
-    held = F.exists(F.split(F.trim("term"), " "), is_held)
-    exceptions = [r.term for r in phrases.filter(held).select("term").orderBy("term").collect()] if terms else []
+    exceptions = _holding(phrases, terms) if terms else []
     lexicon = Lexicon(terms, exceptions)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +198,18 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return lexicon
 
 
+def _holding(phrases: DataFrame, terms: dict[str, float]) -> list[str]:
+    """Phrases of which a word is a term or begins with one; terms come from the bounded sample and are broadcast."""
+    listed = phrases.sparkSession.createDataFrame([(t,) for t in terms], "part string")
+    sizes = sorted({len(t) - 1 for t in terms if not t.endswith(" ")})
+
+    def parts(w):
+        return F.array(F.concat(F.lit(" "), w, F.lit(" ")), *[F.concat(F.lit(" "), F.substring(w, 1, k)) for k in sizes])
+
+    split = phrases.select("term", F.explode(F.flatten(F.transform(F.split(F.trim("term"), " "), parts))).alias("part"))
+    return [r.term for r in split.join(F.broadcast(listed), "part", "left_semi").select("term").distinct().orderBy("term").collect()]
+
+
 def _without_longer(terms: dict[str, float]) -> dict[str, float]:
     """Terms of which no beginning is a term of about the same weight or more."""
     out: dict[str, float] = {}
