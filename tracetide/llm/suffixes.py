@@ -8,7 +8,8 @@ same minimizer travel as one run of bytes (a run of k suffixes is k + length - 1
 bytes). The passes:
 
 1. Minimizers of all documents are counted. Those that occur once have no equal
-   window anywhere and are done.
+   window anywhere and are done. Where a task meets one in over a 512th of its
+   runs, it sends their number instead of them, and they go on as hot.
 2. The runs of the others are sent to the bucket of their digit. A digit that
    occurs more than `hot` times takes a further digit first: its suffixes travel
    one by one, by a hash of the whole window. Equal runs of a task are sent once.
@@ -16,8 +17,9 @@ bytes). The passes:
    digits of eight bytes until `length`; groups that shrink to one suffix leave.
    Every suffix of a final group but the earliest is a repeat.
 
-Documents are ordered by id (null first), rows with one id by a hash of id and
-text. Rows equal in id and text are the same document and give equal results;
+Documents are ordered by id (null first) in the id's own type, rows with one id by
+a hash of id and text. Ids that are no integers are numbered in their order first.
+Rows equal in id and text are the same document and give equal results;
 they are no repeats of each other. Null texts are empty. Texts shorter than
 `length` have no window.
 """
@@ -32,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracetide.llm.common import document_key, require, shuffle_partitions, text_bytes, utf8
+from tracetide.llm.common import document_key, materialize, require, shuffle_partitions, text_bytes, utf8
+from tracetide.operators.changelog import numbered
 
 LENGTH, GRAM = 100, 24
 #: Low bits of a minimizer's sort key hold its position in the segment, the others its hash.
@@ -42,6 +45,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CODES = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NO_ID = -(1 << 63)
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -131,11 +135,12 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(found.tolist(), np.split(order, first[1:]), strict=True)
 
 
-def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets: int) -> DataFrame:
-    """(key, start, hot) of the runs whose digit occurs in more than one run. keyed: key, text.
+def counted_runs(keyed: DataFrame, length: int, gram: int, buckets: int, share: int = 512, least: int = 64) -> DataFrame:
+    """(bucket, digit, key, start): the runs of a task for each bucket, packed as 4, 8 and 4 bytes a run.
 
-    Within a bucket 32 bits tell digits apart; two that agree in them are taken for repeated,
-    which later passes put right.
+    A digit with over `least` runs and over a `share`-th of those that a task sends together is repeated and
+    hot for all: the task sends one row with its number to the bucket, start -1, and its runs past the
+    counting, to buckets from `buckets` on, by document.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +149,15 @@ def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets:
 
         def send() -> Iterator[pa.RecordBatch]:
             key, start, digit = (np.concatenate(x) for x in zip(*held, strict=True))
-            parts = list(_by_bucket((digit % np.uint64(buckets)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), *(pa.array([x[w].tobytes() for _, w in parts], pa.binary()) for x in ((digit // np.uint64(buckets)).astype(np.uint32), key, start.astype(np.int32)))], ["bucket", "digit", "key", "start"])
+            bucket, digit = (digit % np.uint64(buckets)).astype(np.int64), (digit // np.uint64(buckets)).astype(np.uint32)
+            found, of, number = np.unique((bucket << 32) | digit, return_inverse=True, return_counts=True)
+            many = number > max(least, len(key) // share)
+            bucket = np.where(many[of], buckets + key % buckets, bucket)
+            found, number = found[many], number[many]
+            bucket, digit = np.append(bucket, found >> 32), np.append(digit, (found & 0xFFFFFFFF).astype(np.uint32))
+            key, start = np.append(key, number), np.append(start, np.full(len(found), -1)).astype(np.int32)
+            parts = list(_by_bucket(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), *(pa.array([x[w].tobytes() for _, w in parts], pa.binary()) for x in (digit, key, start))], ["bucket", "digit", "key", "start"])
 
         for b in batches:
             key = b.column(0).to_numpy(zero_copy_only=False)
@@ -159,16 +171,31 @@ def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets:
         if held:
             yield from send()
 
+    return keyed.select("key", "text").mapInArrow(scan, "bucket bigint, digit binary, key binary, start binary")
+
+
+def repeated_digits(keyed: DataFrame, length: int, gram: int, hot: int, buckets: int) -> DataFrame:
+    """(key, start, hot) of the runs whose digit occurs in more than one run. keyed: key, text.
+
+    Within a bucket 32 bits tell digits apart; two that agree in them are taken for repeated,
+    which later passes put right.
+    """
+
     def count(key: tuple, group: pa.Table) -> pa.Table:
         digit, owner, start = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("digit", np.uint32), ("key", np.int64), ("start", np.int32)))
+        if key[0].as_py() >= buckets:
+            return pa.table({"key": owner, "start": start, "hot": np.ones(len(owner), bool)})
         order = np.argsort(digit)
-        sorted_digit = digit[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_digit[1:] != sorted_digit[:-1]]))
-        size = np.repeat(np.diff(np.append(first, len(order))), np.diff(np.append(first, len(order))))
-        keep = order[size > 1]
-        return pa.table({"key": owner[keep], "start": start[keep], "hot": size[size > 1] > hot})
+        digit, owner, start = digit[order], owner[order], start[order]
+        first = np.flatnonzero(np.concatenate([[True], digit[1:] != digit[:-1]]))
+        summed = start < 0
+        size = np.add.reduceat(np.where(summed, owner, 1), first)
+        is_hot = (size > hot) | np.logical_or.reduceat(summed, first)
+        rows = np.diff(np.append(first, len(order)))
+        keep = np.repeat(size > 1, rows) & ~summed
+        return pa.table({"key": owner[keep], "start": start[keep], "hot": np.repeat(is_hot, rows)[keep]})
 
-    return keyed.select("key", "text").mapInArrow(scan, "bucket bigint, digit binary, key binary, start binary").groupBy("bucket").applyInArrow(count, "key bigint, start int, hot boolean")
+    return counted_runs(keyed, length, gram, buckets).groupBy("bucket").applyInArrow(count, "key bigint, start int, hot boolean")
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +236,17 @@ def refine(group: np.ndarray, at: np.ndarray, data: np.ndarray, length: int) ->
     return index, group
 
 
-def repeats(digit: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end) of the bytes covered by windows of these runs that occur earlier in them.
+def repeats(digit: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, key, start, end) of the bytes covered by windows of these runs that occur earlier in them.
 
     A run without contents is known to occur earlier.
     """
     known = np.array([c is None for c in contents], bool)
     order = np.lexsort((start, keys, ids))
+    edge = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])])
+    docs = np.empty(len(order), np.int64)  # documents of the group in their order, from 0
+    docs[order] = np.cumsum(edge) - 1
+    names = order[edge]
     order = order[~known[order]]
     seen: dict[bytes, int] = {}
     whole, own = np.flatnonzero(known).tolist(), []
@@ -223,9 +254,9 @@ def repeats(digit: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndar
         first = seen.setdefault(contents[i], i)
         if first == i:
             own.append(i)
-        elif (keys[first], start[first]) != (keys[i], start[i]):
+        elif (docs[first], start[first]) != (docs[i], start[i]):
             whole.append(i)
-    out = [(keys[whole], start[whole].astype(np.int64), start[whole] + count[whole] + (length - 1))]
+    out = [(docs[whole], start[whole].astype(np.int64), start[whole] + count[whole] + (length - 1))]
 
     own = np.array(own, np.int64)
     _, digits = np.unique(digit[own], return_inverse=True)
@@ -241,24 +272,30 @@ def repeats(digit: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndar
         _, digits = np.unique(digit[own], return_inverse=True)
         index, group = refine(digits[of] * (length + 1) + offset, begin[of] + step, data, length)
         if len(index):
-            # own is in document order and the passes are stable: the first of a group is the earliest
-            late = np.sort(index[np.concatenate([[False], group[1:] == group[:-1]])])
-            same = own[of[late]]
-            at = start[same] + step[late]
-            out.append((keys[same], at, at + length))
-    key, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    if not len(key):
-        return key, a, b
-    found, rank = np.unique(key, return_inverse=True)
-    a, b = _merge(a + (rank << 40), b + (rank << 40))
-    return found[a >> 40], a & ((1 << 40) - 1), b & ((1 << 40) - 1)
+            # the earliest of a group is a place, which two runs may hold
+            run = own[of[index]]
+            doc, at = docs[run], start[run] + step[index]
+            order = np.lexsort((at, doc, group))
+            group, doc, at = group[order], doc[order], at[order]
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
+            late = (doc != doc[head]) | (at != at[head])
+            out.append((doc[late], at[late], at[late] + length))
+    doc, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    if len(doc):
+        a, b = _merge(a + (doc << 40), b + (doc << 40))
+    of = names[a >> 40] if len(doc) else np.zeros(0, np.int64)
+    return ids[of], keys[of], a & ((1 << 40) - 1), b & ((1 << 40) - 1)
 
 
 RUNS = "bucket bigint, digit bigint, id bigint, key bigint, start int, count int, anchor int, content binary"
 
 
 def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000, buckets: int | None = None) -> DataFrame:
-    """(key, start, end) of covered bytes; spans of one key may overlap. keyed: key, id, text."""
+    """(id, key, start, end) of covered bytes; spans of one document may overlap. keyed: key, id, text.
+
+    Documents are told apart by id and key. Counting knows keys only: where two documents share one, a run
+    that is asked for both as hot and as not travels both ways.
+    """
     spark = keyed.sparkSession
     buckets = buckets or max(64, 4 * shuffle_partitions(spark))
     asked = repeated_digits(keyed, length, gram, hot, buckets).groupBy("key").agg(F.collect_set(F.struct("start", "hot")).alias("asked"))
@@ -274,13 +311,11 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 2
             flat, bounds = asked.flatten(), np.append(0, np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False)))
             wanted = np.repeat(np.arange(b.num_rows), np.diff(bounds)) * (1 << 32) + flat.field(0).to_numpy(zero_copy_only=False)
             is_hot = flat.field(1).to_numpy(zero_copy_only=False)
-            order = np.argsort(wanted)
-            wanted, is_hot = wanted[order], is_hot[order]
+            wanted = [np.sort(wanted[~is_hot]), np.sort(wanted[is_hot])]
             for row, start, count, anchor, digit in batch_runs(offsets, data, length, gram):
-                at = np.searchsorted(wanted, row * (1 << 32) + start)
-                at = np.minimum(at, len(wanted) - 1)
-                ok = wanted[at] == row * (1 << 32) + start
-                row, start, count, anchor, digit, warm = row[ok], start[ok], count[ok], anchor[ok], digit[ok], is_hot[at[ok]]
+                cold, heated = (np.flatnonzero(_among(row * (1 << 32) + start, x)) for x in wanted)
+                taken, warm = np.append(cold, heated), np.repeat([False, True], [len(cold), len(heated)])
+                row, start, count, anchor, digit = (x[taken] for x in (row, start, count, anchor, digit))
                 if warm.any():  # one more digit: windows travel one by one
                     times = np.where(warm, count, 1)
                     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -318,10 +353,17 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 2
 
     def settle(key: tuple, group: pa.Table) -> pa.Table:
         number = lambda c: group.column(c).to_numpy()
-        found, a, b = repeats(number("digit"), number("id"), number("key"), number("start").astype(np.int64), number("count").astype(np.int64), number("anchor").astype(np.int64), group.column("content").to_pylist(), length)
-        return pa.table({"key": found, "start": a.astype(np.int32), "end": b.astype(np.int32)})
+        ids, keys, a, b = repeats(number("digit"), number("id"), number("key"), number("start").astype(np.int64), number("count").astype(np.int64), number("anchor").astype(np.int64), group.column("content").to_pylist(), length)
+        return pa.table({"id": ids, "key": keys, "start": a.astype(np.int32), "end": b.astype(np.int32)})
+
+    return joined.mapInArrow(send, RUNS).groupBy("bucket").applyInArrow(settle, "id bigint, key bigint, start int, end int")
+
 
-    return joined.mapInArrow(send, RUNS).groupBy("bucket").applyInArrow(settle, "key bigint, start int, end int")
+def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(x), bool)
+    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
 
 
 def hash_bytes(content: bytes) -> int:
@@ -329,8 +371,18 @@ def hash_bytes(content: bytes) -> int:
 
 
 def keyed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, id, text, own): id is a long in the order of the documents' own ids, NO_ID for null."""
     require(docs, doc_id, text)
-    return docs.select(document_key(doc_id, text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(document_key(doc_id, text).alias("key"), F.col(doc_id).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if dict(rows.dtypes)["own"] in INTEGERS:
+        return rows.select("key", F.coalesce(F.col("own").cast("long"), F.lit(NO_ID)).alias("id"), "text", "own")
+    places = materialize(numbered(rows.select("own").filter(F.col("own").isNotNull()).distinct(), "own", "place"), "places")
+    return rows.join(places, "own", "left").select("key", F.coalesce("place", F.lit(NO_ID)).alias("id"), "text", "own")
+
+
+def _found_spans(keyed: DataFrame, options: dict) -> DataFrame:
+    """(id, key, spans): a row for each document of which bytes are covered."""
+    return spans(keyed.select("key", "id", "text"), **options).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -355,8 +407,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
 
     Bytes of a character that is cut in two are dropped with it. Null texts stay null.
     """
-    found = spans(keyed_documents(docs, doc_id, text), **options).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    joined = docs.withColumn("__key", document_key(doc_id, text)).join(found, "__key", "left").select(*docs.columns, "__spans")
+    keyed = keyed_documents(docs, doc_id, text)
+    found = _found_spans(keyed, options)
+    if dict(docs.dtypes)[doc_id] not in INTEGERS:  # back to the ids themselves
+        owners = keyed.select("id", "own").filter(F.col("own").isNotNull()).distinct()
+        found = found.join(owners, "id", "left")
+    else:
+        found = found.withColumn("own", F.when(F.col("id") != NO_ID, F.col("id")))
+    found = found.select(F.col("key").alias("__key"), F.col("own").alias("__own"), F.col("spans").alias("__spans"))
+    same = (F.col("__of") == F.col("__key")) & F.col(doc_id).eqNullSafe(F.col("__own"))
+    joined = docs.withColumn("__of", document_key(doc_id, text)).join(found, same, "left").select(*docs.columns, "__spans")
     at, out = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,9 +433,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(key, id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes; a row for each row of docs."""
+    """(key, id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes; a row for each row of docs.
+
+    Integer ids are longs, and NO_ID for null; others keep their type, and null.
+    """
     keyed = keyed_documents(docs, doc_id, text)
-    found = spans(keyed, **options).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    own = "id" if dict(docs.dtypes)[doc_id] in INTEGERS else "own"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in filter(len, batches):
@@ -383,4 +446,5 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
             kept = [cut(t, *x) for t, x in zip(texts, _spans_of(b.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [k[1] for k in kept], [k[2] for k in kept])), pa.array([k[0] for k in kept], pa.binary())], ["key", "id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return keyed.join(found, "key", "left").select("key", "id", "text", "spans").mapInArrow(run, "key bigint, id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    joined = keyed.join(_found_spans(keyed, options), ["id", "key"], "left").select("key", own, "text", "spans")
+    return joined.mapInArrow(run, f"key bigint, id {dict(joined.dtypes)[own]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
