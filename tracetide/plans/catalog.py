@@ -23,6 +23,7 @@ from tracetide.sources import writers
 from tracetide.sources.detect import file_format
 from tracetide.sources.fst import FstFiles
 from tracetide.sources.ghw import GhwFiles
+from tracetide.sources.kept import KeptLog
 from tracetide.sources import vcd_source
 from tracetide.sources.vcd import VcdFiles
 from tracetide.storage import materialize, shared_dir
@@ -764,6 +765,40 @@ def q66_ordered_difference(spark, d):
     return log.ordered_difference(other).fillna(-1, ["left_time", "right_time"])
 
 
+def appended(rows: DataFrame, piece, pieces: int) -> KeptLog:
+    """rows (signal, time, seq, value) as a kept log that was appended to piece by piece."""
+    rows = materialize(rows.withColumn("piece", piece), "pieces")
+    log = KeptLog.create(rows.sparkSession, f"{shared_dir(rows.sparkSession)}/tracetide/kept-{uuid.uuid4().hex}", rows, buckets=16)
+    for k in range(pieces):
+        log.append(rows.filter(F.col("piece") == k))
+    return log
+
+
+@query(f"""WITH s AS (SELECT user_id AS signal, event_id AS seq, event_id // 5 - CASE WHEN event_id % 11 = 0 THEN 3 ELSE 0 END AS time, CASE WHEN value > 100 THEN '1' ELSE '0' END AS value FROM events),
+m AS (SELECT *, max(time) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+f AS (SELECT *, CASE WHEN m IS NULL OR time > m THEN 1 WHEN time < m THEN 0 END AS flag FROM m),
+a AS (SELECT signal, time, seq, value FROM (SELECT *, last_value(flag IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ok FROM f) WHERE ok = 1),
+t AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS time_idx FROM (SELECT DISTINCT time FROM a)), {deduped('a')}
+SELECT signal, time, seq, value, time_idx FROM d JOIN t USING (time)""")
+def q68_appended(spark, d):
+    """One log with steps that go back in time, written by three appends: real changes and the numbers of their times."""
+    number = F.col("event_id")
+    time = F.floor(number / 5) - F.when(number % 11 == 0, 3).otherwise(0)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("signal"), time.cast("bigint").alias("time"), number.alias("seq"), bit().alias("value"))
+    cuts = rows.agg(F.percentile_approx("seq", F.array(F.lit(0.3), F.lit(0.7)))).first()[0] or []
+    log = appended(rows, sum(((F.col("seq") > c).cast("int") for c in cuts), F.lit(0)), 3)
+    return log.changes().join(log.time_table(), "time").select("signal", "time", "seq", "value", "time_idx")
+
+
+@query(f"WITH {EB}, {deduped('eb')}, {P} SELECT p.signal, p.time, p.probe_id, coalesce(d.time, -1) AS found_time, d.value FROM p ASOF LEFT JOIN d ON p.signal = d.signal AND p.time >= d.time")
+def q69_kept_value_at(spark, d):
+    """As-of lookups in a kept log, appended to twice inside the times of the events."""
+    rows = events(spark, d, bit()).df.withColumn("seq", F.struct("time", "seq"))
+    middle = rows.agg(F.percentile_approx("time", F.lit(0.5))).first()[0]
+    log = appended(rows, (F.col("time") > (middle or 0)).cast("int"), 2)
+    return log.value_at(probes(spark, d)).fillna(-1, ["found_time"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

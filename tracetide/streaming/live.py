@@ -27,6 +27,8 @@ before it, so results are exact after failures.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,10 +96,10 @@ class LiveLog:
         order = F.struct(F.lit(NOW).alias("kind"), F.lit(batch).cast("bigint").alias("epoch"), F.col("seq").alias("seq"))
         new = materialize(rows.select("file", "signal", "time", order.alias("seq"), "value"), "arrived")
         clock = self._read("clock", [batch - 1])
-        kept = materialize(self._on_time(new, clock), "on-time")
+        kept = materialize(on_time(new, clock), "on-time")
         if self.raw:
             self._write(kept.filter(F.col("signal").isNotNull()).withColumn("seq", F.col("seq.seq")), "changes", batch)
-        clock = self._write(self._moved(clock, new, kept), "clock", batch)
+        clock = self._write(moved_clock(clock, new, kept), "clock", batch)
         arrivals = kept.filter(F.col("signal").isNotNull()).unionByName(self._read("open", [batch - 1]))
         arrivals = materialize(beside(arrivals, clock.select("file", "latest"), ["file"]), "judged")
         self._write(arrivals.filter(F.col("time") == F.col("latest")).drop("latest"), "open", batch)
@@ -110,33 +112,12 @@ class LiveLog:
         if callback is not None:
             callback(steps, self._last(batch), batch)
 
-    def _on_time(self, new: DataFrame, clock: DataFrame) -> DataFrame:
-        """The rows of steps that are not late. What was before stands for itself as one step, or as two if the last was late."""
-
-        def step(time: Column, at: int) -> DataFrame:
-            nothing = [F.lit(None).cast(new.schema[c].dataType).alias(c) for c in ("signal", "value")]
-            seq = F.struct(F.lit(BEFORE).alias("kind"), F.lit(at).cast("bigint").alias("epoch"), F.lit(None).cast(new.schema["seq"].dataType["seq"].dataType).alias("seq"))
-            return clock.select("file", "accepted", nothing[0], time.alias("time"), seq.alias("seq"), nothing[1])
-
-        before = step(F.col("latest"), 0).unionByName(step(F.col("latest") - 1, 1).filter("not accepted")).drop("accepted")
-        return accepted_steps(new.unionByName(before), within=["file"]).filter(F.col("seq.kind") == NOW)
-
-    def _moved(self, clock: DataFrame, new: DataFrame, kept: DataFrame) -> DataFrame:
-        """The clock after a batch; the last step was accepted if its row is among those kept."""
-        none = F.lit(None)
-        order, time = new.schema["seq"].dataType, new.schema["time"].dataType
-        rows = clock.select("file", "latest", "accepted", none.cast(order).alias("end"), none.cast(order).alias("kept"))
-        rows = rows.unionByName(new.select("file", none.cast(time).alias("latest"), none.cast("boolean").alias("accepted"), F.col("seq").alias("end"), none.cast(order).alias("kept")))
-        rows = rows.unionByName(kept.select("file", F.col("time").alias("latest"), none.cast("boolean").alias("accepted"), none.cast(order).alias("end"), F.col("seq").alias("kept")))
-        ends = rows.groupBy("file").agg(F.max("latest").alias("latest"), F.max("accepted").alias("accepted"), F.max("end").alias("end"), F.max("kept").alias("kept"))
-        return ends.select("file", "latest", F.when(F.col("end").isNull(), F.col("accepted")).otherwise(F.col("end").eqNullSafe(F.col("kept"))).alias("accepted"))
-
     def _steps(self, closed: DataFrame, before: int) -> DataFrame:
         """(file, time, signal, value, transitions) of times that are over, derived signals among them."""
         key = F.struct("file", F.col("signal").alias("id"))
         last = materialize(self._last(before), "last-values")
         touched = closed.select("file", "signal").distinct()
-        known = self._seam(_only(last, touched), closed)
+        known = self._seam(among(last, touched, ["file", "signal"]), closed)
         log = ChangeLog(closed.unionByName(known).withColumn("signal", key))
         real = log.dedup(None if not self.events else F.col("signal.id").isin(self.events))
         real = real.df.filter(F.col("seq.kind") == NOW).select("signal.file", F.col("signal.id").alias("signal"), "time", "seq", "value")
@@ -207,7 +188,31 @@ class LiveLog:
         return both.groupBy("file", "signal").agg(F.max("time").alias("time"), F.max_by("value", "time").alias("value"))
 
 
-def _only(values: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of values whose (file, signal) is among the keys, nulls included."""
-    found = keys.select(F.col("file").alias("__file"), F.col("signal").alias("__signal"))
-    return values.join(found, values["file"].eqNullSafe(found["__file"]) & values["signal"].eqNullSafe(found["__signal"]), "left_semi")
+def among(values: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of values whose columns `by` are among the keys, nulls included."""
+    found = keys.select(*[F.col(c).alias(f"__{c}") for c in by])
+    same = reduce(and_, [values[c].eqNullSafe(found[f"__{c}"]) for c in by])
+    return values.join(found, same, "left_semi")
+
+
+def on_time(new: DataFrame, clock: DataFrame) -> DataFrame:
+    """The rows of steps that are not late. What was before stands for itself as one step, or as two if the last was late."""
+
+    def step(time: Column, at: int) -> DataFrame:
+        nothing = [F.lit(None).cast(new.schema[c].dataType).alias(c) for c in ("signal", "value")]
+        seq = F.struct(F.lit(BEFORE).alias("kind"), F.lit(at).cast("bigint").alias("epoch"), F.lit(None).cast(new.schema["seq"].dataType["seq"].dataType).alias("seq"))
+        return clock.select("file", "accepted", nothing[0], time.alias("time"), seq.alias("seq"), nothing[1])
+
+    before = step(F.col("latest"), 0).unionByName(step(F.col("latest") - 1, 1).filter("not accepted")).drop("accepted")
+    return accepted_steps(new.unionByName(before), within=["file"]).filter(F.col("seq.kind") == NOW)
+
+
+def moved_clock(clock: DataFrame, new: DataFrame, kept: DataFrame) -> DataFrame:
+    """The clock after a batch; the last step was accepted if its row is among those kept."""
+    none = F.lit(None)
+    order, time = new.schema["seq"].dataType, new.schema["time"].dataType
+    rows = clock.select("file", "latest", "accepted", none.cast(order).alias("end"), none.cast(order).alias("kept"))
+    rows = rows.unionByName(new.select("file", none.cast(time).alias("latest"), none.cast("boolean").alias("accepted"), F.col("seq").alias("end"), none.cast(order).alias("kept")))
+    rows = rows.unionByName(kept.select("file", F.col("time").alias("latest"), none.cast("boolean").alias("accepted"), none.cast(order).alias("end"), F.col("seq").alias("kept")))
+    ends = rows.groupBy("file").agg(F.max("latest").alias("latest"), F.max("accepted").alias("accepted"), F.max("end").alias("end"), F.max("kept").alias("kept"))
+    return ends.select("file", "latest", F.when(F.col("end").isNull(), F.col("accepted")).otherwise(F.col("end").eqNullSafe(F.col("kept"))).alias("accepted"))
