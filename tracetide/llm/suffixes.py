@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracetide.llm.common import document_key, materialize, require, shuffle_partitions, text_bytes, utf8
@@ -381,8 +381,13 @@ def keyed_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _found_spans(keyed: DataFrame, options: dict) -> DataFrame:
-    """(id, key, spans): a row for each document of which bytes are covered."""
-    return spans(keyed.select("key", "id", "text"), **options).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """(key, spans of (id, start, end)): by key alone, so that the texts' exchange by key serves again."""
+    return spans(keyed.select("key", "id", "text"), **options).groupBy("key").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
+
+
+def _own_spans(spans: str, id: Column) -> Column:
+    """The (start, end) of one document among those of its key; null where there are none."""
+    return F.transform(F.filter(spans, lambda x: x["id"] == id), lambda x: F.struct(x["start"], x["end"]))
 
 
 def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
@@ -408,15 +413,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     Bytes of a character that is cut in two are dropped with it. Null texts stay null.
     """
     keyed = keyed_documents(docs, doc_id, text)
-    found = _found_spans(keyed, options)
-    if dict(docs.dtypes)[doc_id] not in INTEGERS:  # back to the ids themselves
-        owners = keyed.select("id", "own").filter(F.col("own").isNotNull()).distinct()
-        found = found.join(owners, "id", "left")
+    found = _found_spans(keyed, options).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    if dict(docs.dtypes)[doc_id] in INTEGERS:
+        rows = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
     else:
-        found = found.withColumn("own", F.when(F.col("id") != NO_ID, F.col("id")))
-    found = found.select(F.col("key").alias("__key"), F.col("own").alias("__own"), F.col("spans").alias("__spans"))
-    same = (F.col("__of") == F.col("__key")) & F.col(doc_id).eqNullSafe(F.col("__own"))
-    joined = docs.withColumn("__of", document_key(doc_id, text)).join(found, same, "left").select(*docs.columns, "__spans")
+        places = keyed.filter(F.col("own").isNotNull()).select(F.col("own").alias("__own"), F.col("id").alias("__id")).distinct()
+        rows = docs.join(places, F.col(doc_id) == F.col("__own"), "left").withColumn("__id", F.coalesce("__id", F.lit(NO_ID)))
+    joined = rows.withColumn("__key", document_key(doc_id, text)).join(found, "__key", "left").select(*docs.columns, _own_spans("__spans", F.col("__id")).alias("__spans"))
     at, out = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,5 +449,5 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
             kept = [cut(t, *x) for t, x in zip(texts, _spans_of(b.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [k[1] for k in kept], [k[2] for k in kept])), pa.array([k[0] for k in kept], pa.binary())], ["key", "id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = keyed.join(_found_spans(keyed, options), ["id", "key"], "left").select("key", own, "text", "spans")
+    joined = keyed.join(_found_spans(keyed, options), "key", "left").select("key", own, "text", _own_spans("spans", F.col("id")).alias("spans"))
     return joined.mapInArrow(run, f"key bigint, id {dict(joined.dtypes)[own]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
