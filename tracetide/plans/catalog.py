@@ -24,6 +24,7 @@ from tracetide.sources.detect import file_format
 from tracetide.sources.fst import FstFiles
 from tracetide.sources.ghw import GhwFiles
 from tracetide.sources.kept import KeptLog
+from tracetide.sources.progress import StreamProgress
 from tracetide.sources import vcd_source
 from tracetide.sources.vcd import VcdFiles
 from tracetide.storage import materialize, shared_dir
@@ -517,14 +518,23 @@ def q52_chunk_union(spark, d):
 HEADER = "$timescale 1us $end\n$scope module events $end\n$var wire 1 ! over $end\n$upscope $end\n$enddefinitions $end"
 
 
+def vcd_text(rows: DataFrame) -> DataFrame:
+    """(signal, time, seq, value): the lines of a VCD file for each signal of bits, the header first."""
+    lines = rows.select("signal", "time", "seq", F.concat(F.lit("#"), F.col("time").cast("string"), F.lit("\n"), F.col("value"), F.lit("!")).alias("value"))
+    heads = rows.select("signal").distinct().select("signal", F.lit(-1).cast("bigint").alias("time"), F.lit(-1).cast("bigint").alias("seq"), F.lit(HEADER).alias("value"))
+    return lines.union(heads)
+
+
+def write_vcd(text: DataFrame, path: str) -> None:
+    """A file for each signal, in a folder of its own."""
+    files = text.repartition("signal").sortWithinPartitions("signal", "time", "seq").select("signal", "value")
+    files.write.mode("append").partitionBy("signal").text(path)
+
+
 def vcd_files(spark, d) -> str:
     """Each user's log, written as a VCD file of a folder of its own; the common folder."""
-    log = events(spark, d, bit())
-    lines = log.df.select("signal", "time", "seq", F.concat(F.lit("#"), F.col("time").cast("string"), F.lit("\n"), F.col("value"), F.lit("!")).alias("value"))
-    heads = log.df.select("signal").distinct().select("signal", F.lit(-1).cast("bigint").alias("time"), F.lit(-1).cast("bigint").alias("seq"), F.lit(HEADER).alias("value"))
     path = f"{shared_dir(spark)}/tracetide/vcd-{uuid.uuid4().hex}"
-    files = lines.union(heads).repartition("signal").sortWithinPartitions("signal", "time", "seq").select("signal", "value")
-    files.write.partitionBy("signal").text(path)
+    write_vcd(vcd_text(events(spark, d, bit()).df), path)
     return path
 
 
@@ -591,6 +601,31 @@ def q56_fst(spark, d):
     return found.select(user_of().alias("signal"), "full_name", "time", "bits")
 
 
+LINES = f"lines AS (SELECT signal, strlen('#' || time || chr(10) || value || '!') + 1 AS bytes FROM eb UNION ALL SELECT DISTINCT signal, strlen('{HEADER}') + 1 FROM eb)"
+
+
+@query(f"""WITH {EB}, {LINES}, parts AS (SELECT unnest(range(0, 3)) AS piece)
+SELECT piece, (SELECT count(DISTINCT signal) FROM eb WHERE signal % 3 <= piece) AS files, CAST((SELECT sum(bytes) FROM lines WHERE signal % 3 <= piece) AS BIGINT) AS bytes,
+(SELECT count(*) FROM eb WHERE signal % 3 <= piece) AS steps, (SELECT count(*) FROM eb WHERE signal % 3 <= piece) AS changes FROM parts""")
+def q70_progress(spark, d):
+    """Users' VCD files that come in three parts, followed as one stream: bytes, steps and changes read so far, after each."""
+    vcd_source.register(spark)
+    path = f"{shared_dir(spark)}/tracetide/progress-{uuid.uuid4().hex}"
+    text = vcd_text(events(spark, d, bit()).df)
+    progress, told = StreamProgress(), []
+    spark.streams.addListener(progress)
+    try:
+        for k in range(3):
+            write_vcd(text.filter(F.col("signal") % 3 == k), f"{path}/in")
+            rows = spark.readStream.format("vcd").option("complete", "true").load(f"{path}/in")
+            running = progress.counted(rows).writeStream.format("noop").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            running.awaitTermination()
+            told.append((k, *progress.wait(running.runId)))
+    finally:
+        spark.streams.removeListener(progress)
+    return spark.createDataFrame(told, "piece bigint, files bigint, bytes bigint, steps bigint, changes bigint")
+
+
 @query(f"""WITH {EB}, {deduped('eb')}, u AS (SELECT DISTINCT signal FROM eb WHERE signal IN (SELECT signal FROM eb ORDER BY signal LIMIT 1))
 SELECT 'change' AS what, time, value FROM d JOIN u USING (signal)
 UNION ALL SELECT 'length', CAST(count(*) AS BIGINT), '' FROM d JOIN u USING (signal)

@@ -38,6 +38,7 @@ from tracetide.sources.vcd import COMMAND, KINDS, SPACE, TABLES, Header, Scanner
 CHANGES = "file string, seq bigint, time bigint, code string, letter string, rest string"
 COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 BLOCK = 1 << 16
+SPLIT_BYTES = 32 << 20
 #: A time inside a record: such text is read as a whole, whatever times are wanted.
 INNER = re.compile(rb"[ \t\r\n\v\f]#\d")
 
@@ -313,7 +314,7 @@ class VcdSource(DataSource):
         return CHANGES if self._table() == "changes" else TABLES[self._table()]
 
     def _split(self) -> int:
-        return int(self.options.get("splitBytes", str(32 << 20)))
+        return int(self.options.get("splitBytes", str(SPLIT_BYTES)))
 
     def _on(self, option: str) -> bool:
         return self.options.get(option, "false").lower() == "true"
