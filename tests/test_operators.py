@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracetide.builder import Encoder, HierarchyBuilder
+from tracetide.builder import Encoder, HierarchyBuilder, encoded
 from tracetide.functions import values
 from tracetide.operators import derived, hierarchy
 from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, undelta_times
@@ -239,3 +239,26 @@ def test_hot_signals_are_cut_by_themselves(spark, monkeypatch, bytes_):
     parts = Derived([Extract(0, 1, 0), Extract(1, 0, 0)])
     assert sorted(map(str, parts.evaluate(bits).collect())) == sorted(map(str, parts.evaluate(plain).collect()))
     assert "SinglePartition" not in parts.evaluate(bits)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoded_tables_equal_the_encoder(spark):
+    """Late steps, widths and kinds as in an Encoder; unknown signals and null values; values that do not fit are errors."""
+    b = HierarchyBuilder(spark)
+    for encoding, width in (("bits", 4), ("string", 0), ("real", 0), ("event", 0)):
+        b.new_signal(encoding, width)
+    changes = [(3, 0, "X"), (3, 1, "a b"), (5, 2, "1.5"), (4, 0, "1"), (5, 0, "101"), (5, 3, ""), (6, 0, "z1")]
+    enc = Encoder(spark, b.signals)
+    for t, signal, value in changes:
+        enc.time_change(t)
+        enc.change(signal, value)
+    schema = "file string, signal_id bigint, time bigint, seq bigint, value string"
+    rows = [(f, s, t, k, v) for f in "ab" for k, (t, s, v) in enumerate(changes)]
+    signals = b.finish()["signals"]
+    columns = ["signal_id", "time", "kind", "bits", "str", "real"]
+    want = [tuple(r) for r in enc.snapshot().orderBy("seq").select(columns).collect()]
+    got = encoded(spark.createDataFrame([*rows, ("a", 9, 7, 99, "1"), ("b", 0, 8, 99, None)], schema), signals)
+    assert [tuple(r) for r in got.filter("file = 'a'").orderBy("seq").select(columns).collect()] == want
+    assert [tuple(r) for r in got.filter("file = 'b'").orderBy("seq").select(columns).collect()] == [*want, (0, 8, 1, None, None, None)]
+    assert encoded(spark.createDataFrame([], schema), signals).collect() == []
+    with pytest.raises(Exception, match="is no value of 4 bits"):
+        encoded(spark.createDataFrame([("a", 0, 1, 0, "10101")], schema), signals).collect()

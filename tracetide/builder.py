@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracetide import model
+from tracetide.functions import values
+from tracetide.operators.changelog import accepted_steps
 
 CHANGES = "signal_id bigint, time bigint, seq bigint, kind tinyint, bits string, str string, real double"
 
@@ -114,3 +117,19 @@ class Encoder:
         return self.spark.createDataFrame([(t,) for t in self.times], "time bigint")
 
     finish = snapshot
+
+
+def encoded(rows: DataFrame, signals: DataFrame) -> DataFrame:
+    """What an Encoder makes of whole tables of changes: rows (file, signal_id, time, seq, value as text), in file order by seq, each file over the same signals.
+
+    Steps back in time are left out; vectors are extended to their widths; a value that is none of its signal's is an error when
+    its row is reached. Events and null values keep no value. Changes of signals that are not in the catalog are dropped.
+    """
+    kept = accepted_steps(rows, within=["file"]).join(F.broadcast(signals.select("signal_id", "encoding", "width")), "signal_id")
+    value, encoding = F.col("value"), F.col("encoding")
+    token = F.lower(value)
+    fits = (F.length(token) <= F.col("width")) & token.rlike("^[01xzhuwl-]+$")
+    wrong = F.raise_error(F.concat(value, F.lit(" is no value of "), F.col("width").cast("string"), F.lit(" bits"))).cast("string")
+    bits = F.when((encoding != "bits") | value.isNull(), None).when(fits, values.extend(token, F.col("width"))).otherwise(wrong)
+    kind = F.when(encoding == "event", 0).when(encoding == "bits", 1).when(encoding == "string", 2).otherwise(3).cast("tinyint")
+    return kept.select("file", "signal_id", "time", "seq", kind.alias("kind"), bits.alias("bits"), F.when(encoding == "string", value).alias("str"), F.when(encoding == "real", value.cast("double")).alias("real"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracetide.api import Waveform
-from tracetide.builder import Encoder, HierarchyBuilder
+from tracetide.builder import HierarchyBuilder, encoded
 from tracetide.functions import values
 from tracetide.operators import derived, hierarchy
 from tracetide.operators.changelog import ChangeLog, accepted_steps, delta_times, numbered, undelta_times
@@ -660,17 +660,25 @@ def q53_detect(spark, d):
     return spark.createDataFrame(kinds, "name string, file_format string")
 
 
-@query("SELECT * FROM (VALUES ('top.count', 0, '0000'), ('top.count', 1, '0001'), ('top.count', 2, '0010'), ('top.count', 3, '0011')) t(full_name, time, bits)")
+@query("""WITH s AS (SELECT user_id AS file, event_id AS seq, event_id % 3 AS signal, CAST(floor(value / 10) AS BIGINT) AS time, event_type, value FROM events),
+m AS (SELECT *, max(time) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s),
+f AS (SELECT *, CASE WHEN m IS NULL OR time > m THEN 1 WHEN time < m THEN 0 END AS flag FROM m),
+a AS (SELECT * FROM (SELECT *, last_value(flag IGNORE NULLS) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ok FROM f) WHERE ok = 1)
+SELECT file, seq, time, CASE signal WHEN 0 THEN 'events.code' WHEN 1 THEN 'events.kind' ELSE 'events.value' END AS full_name,
+CASE WHEN signal > 0 THEN '' WHEN seq % 7 = 0 THEN 'xxxx' ELSE lpad(bin(seq % 8), 4, '0') END AS bits, CASE WHEN signal = 1 THEN event_type ELSE '' END AS str, CASE WHEN signal = 2 THEN value ELSE -1 END AS real FROM a""")
 def q57_builder(spark, d):
+    """A catalog made in a program, and every event encoded by it: a vector, a string and a number, each user a file."""
     b = HierarchyBuilder(spark)
-    b.push_scope("top")
-    signal = b.new_signal("bits", 4)
-    b.add_var("count", signal, msb=3, lsb=0)
-    enc = Encoder(spark, b.signals)
-    for t in range(4):
-        enc.time_change(t)
-        enc.change(signal, f"{t:b}")
-    return enc.snapshot().join(b.finish()["vars"], "signal_id").select("full_name", F.col("time").cast("int").alias("time"), "bits")
+    b.push_scope("events")
+    b.add_var("code", b.new_signal("bits", 4), msb=3, lsb=0)
+    b.add_var("kind", b.new_signal("string"))
+    b.add_var("value", b.new_signal("real"))
+    made = b.finish()
+    number, signal = F.col("event_id"), F.col("event_id") % 3
+    value = F.when(signal == 1, F.col("event_type")).when(signal == 2, F.col("value").cast("string")).when(number % 7 == 0, "X").otherwise(F.bin(number % 8))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file"), number.alias("seq"), signal.alias("signal_id"), F.floor(F.col("value") / 10).cast("bigint").alias("time"), value.alias("value"))
+    found = encoded(rows, made["signals"]).join(F.broadcast(made["vars"].select("signal_id", "full_name")), "signal_id")
+    return found.select("file", "seq", "time", "full_name", "bits", "str", "real").fillna("", ["bits", "str"]).fillna(-1.0, ["real"])
 
 
 @query(f"WITH {EB}, {deduped('eb')} SELECT * FROM d")
