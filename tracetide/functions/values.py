@@ -41,6 +41,23 @@ def from_int(value: Column, width: int) -> Column:
     return F.when(fits, F.lpad(digits, width, "0")).when(value.isNotNull(), F.raise_error(F.concat(value.cast("string"), F.lit(f" does not fit into {width} bits"))))
 
 
+def leading(value: Column, width: int) -> Column:
+    """The digits of a non-negative long, filled with 0 up to `width`; of more digits the first `width`, as SQL's lpad has it."""
+    return F.when(value >= 0, F.lpad(F.bin(value), width, "0")).when(value.isNotNull(), F.raise_error(F.concat(value.cast("string"), F.lit(" is negative"))))
+
+
+def side_by_side(value: Column, width: int, times: int) -> Column:
+    """The bits of value * (1 + 2**width + ...), of `times` terms: a number of up to `width` bits beside itself; what wider ones (up to 62 bits) have more is added to the next."""
+    parts, rest = [], value
+    for _ in range(times - 1):
+        parts.append(F.lpad(F.bin(rest.bitwiseAND((1 << width) - 1)), width, "0"))
+        rest = F.shiftright(rest, width) + value
+    digits = F.bin(rest)
+    whole = F.concat(F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")), *reversed(parts))
+    wrong = F.raise_error(F.concat(value.cast("string"), F.lit(" is negative or has over 62 bits")))
+    return F.when(value.between(0, (1 << 62) - 1), whole).when(value.isNotNull(), wrong)
+
+
 def repeat(state: str, width: int) -> Column:
     return F.lit(state * width)
 

@@ -341,7 +341,7 @@ ORDER_BITS = "lpad(CASE WHEN o_orderkey = 0 THEN '0' ELSE ltrim(format('{:b}', o
 
 
 def order_bits():
-    return values.from_int(F.col("o_orderkey"), 20)
+    return values.leading(F.col("o_orderkey"), 20)
 
 
 @query(f"SELECT o_orderkey AS id, {ORDER_BITS} AS bits FROM orders")
