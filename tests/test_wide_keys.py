@@ -9,7 +9,7 @@ from tracetide.plans import catalog
 KEYS = [0, 1, 7, 8, 9, 150_000, 2**20 - 1, 2**20, 2**20 + 1, 2**20 + 3, 8_999_999, 2**23 + 5, 54_000_001, 2**26 - 1]
 
 
-@pytest.mark.parametrize("name", ["q32_to_bits", "q33_slice_bits", "q34_concat_bits", "q40_get_bit"])
+@pytest.mark.parametrize("name", ["q32_to_bits", "q33_slice_bits", "q34_concat_bits", "q39_numbers", "q40_get_bit"])
 def test_keys_of_over_20_bits(spark, tmp_path, name):
     spark.createDataFrame([(k,) for k in KEYS], "o_orderkey bigint").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     con = duckdb.connect()

@@ -423,7 +423,8 @@ def q38_extend(spark, d):
 @query(f"""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'x1' WHEN o_orderkey % 7 = 1 THEN '1' ELSE {ORDER_BITS} END AS bits FROM orders)
 SELECT id, CASE WHEN id % 7 = 0 THEN -1 WHEN id % 7 = 1 THEN 1 ELSE id END AS whole, CASE WHEN id % 7 = 1 THEN TRUE END AS truth, CAST(CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN 1 ELSE id END AS DOUBLE) AS real FROM o""")
 def q39_numbers(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "x1").when(F.col("o_orderkey") % 7 == 1, "1").otherwise(order_bits()).alias("bits"))
+    whole = values.from_int(F.col("o_orderkey"), 63)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "x1").when(F.col("o_orderkey") % 7 == 1, "1").otherwise(whole).alias("bits"))
     bits = F.col("bits")
     return o.select("id", values.to_long(bits).cast("long").alias("whole"), values.to_bool(bits).alias("truth"), values.to_real(bits).alias("real")).fillna(-1, ["whole"])
 
