@@ -1,7 +1,7 @@
 """How far the reading of VCD files has come: bytes, steps and changes so far, for batch reads and streams of the registered source.
 
 Both tell what is known to be done, so that figures never fall: bytes of a batch are
-those of as many ranges as tasks have ended, the smallest taken first; bytes of a
+those of as many tasks' ranges as tasks have ended, the smallest taken first; bytes of a
 stream are the offsets of its last micro-batch, which outlive a restart. At the end both
 are the files' sizes (a stream without `complete` stops before each file's last record).
 An empty path gives zeros.
@@ -38,14 +38,14 @@ class ReadProgress:
     """A batch read, followed from other threads.
 
     with ReadProgress(spark, path) as p: p.counted(rows).write...  and p.bytes() meanwhile. `split` is the source's splitBytes.
-    The scan is taken to be the first stage of the block's jobs that has a task for each range.
+    The scan is taken to be the first stage of the block's jobs that has as many tasks as the read.
     """
 
     def __init__(self, spark: SparkSession, path: str, split: int = SPLIT_BYTES):
         self.context = spark.sparkContext
         parts = ChangeReader(path, split).partitions()
-        self.files = len({p.file for p in parts})
-        self.sizes = sorted(p.end - p.begin for p in parts)
+        self.files = len({r.file for p in parts for r in p.ranges})
+        self.sizes = sorted(p.size for p in parts)
         self.total = sum(self.sizes)
         self.group = f"vcd-{uuid.uuid4().hex}"
         self._observed = Observation()

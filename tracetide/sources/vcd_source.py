@@ -4,8 +4,9 @@ The default table holds a row for each change and each step of the body, in file
 order by seq: (file, seq, time, code, letter, rest); a step has no code. Steps that
 go back in time are in it: `accepted_steps` and `LiveLog` judge them, over all files
 at once. option("table", ...) gives the catalog instead, of which only the files'
-heads are read. Files are cut into ranges of bytes, a task each. Conditions on time
-and code are pushed down: of a range, only the records of wanted times are made
+heads are read. Files are cut into ranges of bytes; a task reads one, or many of small
+files one after another, so that tasks grow with bytes and not with files. Conditions
+on time and code are pushed down: of a range, only the records of wanted times are made
 into tokens.
 
 As a stream, a file that is still being written is followed. An offset is a byte
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,6 +41,10 @@ CHANGES = "file string, seq bigint, time bigint, code string, letter string, res
 COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
 BLOCK = 1 << 16
 SPLIT_BYTES = 32 << 20
+#: What the opening of a file costs, in bytes: as many small files make a task.
+OPEN_BYTES = 128 << 10
+#: Heads that the driver reads at once.
+READERS = 16
 #: A time inside a record: such text is read as a whole, whatever times are wanted.
 INNER = re.compile(rb"[ \t\r\n\v\f]#\d")
 
@@ -106,7 +112,7 @@ def last_record(path: str, low: int, high: int) -> int:
 
 
 @dataclass
-class Bytes(InputPartition):
+class Bytes:
     """Records that begin in begin..end-1; with header: the file's text from its start."""
 
     file: str
@@ -116,6 +122,17 @@ class Bytes(InputPartition):
     header: bool
 
 
+@dataclass
+class Several(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Bytes]
+
+    @property
+    def size(self) -> int:
+        return sum(r.end - r.begin for r in self.ranges)
+
+
 @dataclass
 class Heads(InputPartition):
     files: list
@@ -130,6 +147,19 @@ def ranges(file: str, begin: int, end: int, size: int, split: int) -> list[Bytes
     return [Bytes(file, a, b, size, a == 0) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
 
 
+def packed(found: Iterable[Bytes], split: int) -> list[Several]:
+    """Ranges in their order, put together while they and the openings of their files stay within a split."""
+    out, room = [], 0
+    for r in found:
+        cost = r.end - r.begin + OPEN_BYTES
+        if not out or cost > room:
+            out.append(Several([]))
+            room = split
+        out[-1].ranges.append(r)
+        room -= cost
+    return out
+
+
 class Wanted:
     """The conditions that the reader itself sees to: times, both ends included, and codes."""
 
@@ -194,6 +224,20 @@ def records_in(data: bytes, start: int | None, end: int | None) -> list[bytes]:
     return [data[a:b] for a, b in out]
 
 
+def gathered(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about this many rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokens(p: Bytes, wanted: Wanted) -> Iterator[pa.RecordBatch]:
     data, begins_with_time = text_of(p)
     if p.header:
@@ -246,11 +290,11 @@ class ChangeReader(DataSourceReader):
             if not self.wanted.take(f):
                 yield f
 
-    def partitions(self) -> list[Bytes]:
-        return [r for file, size in sorted(listed(self.path).items()) for r in ranges(file, 0, size, size, self.split)]
+    def partitions(self) -> list[Several]:
+        return packed((r for file, size in sorted(listed(self.path).items()) for r in ranges(file, 0, size, size, self.split)), self.split)
 
-    def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
-        return tokens(partition, self.wanted)
+    def read(self, partition: Several) -> Iterator[pa.RecordBatch]:
+        return gathered(b for r in partition.ranges for b in tokens(r, self.wanted))
 
 
 class TableReader(DataSourceReader):
@@ -261,14 +305,18 @@ class TableReader(DataSourceReader):
 
     def partitions(self) -> list[Heads]:
         files = sorted(listed(self.path).items())
-        return [Heads(files[i : i + 64]) for i in range(0, len(files), 64)]
+        return [Heads(files[i : i + 256]) for i in range(0, len(files), 256)]
 
     def read(self, partition: Heads) -> Iterator[pa.RecordBatch]:
+        schema, rows = to_arrow_schema(self.schema), []
         for file, size in partition.files:
             data, _ = head(file, size)
-            rows = [r | {"file": file} for kind, r in Header(data.decode(), self.flatten).rows() if kind == self.table]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(self.schema))
+            rows += [r | {"file": file} for kind, r in Header(data.decode(), self.flatten).rows() if kind == self.table]
+            if len(rows) >= 1 << 12:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -280,24 +328,25 @@ class GrowingReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for file, size in listed(self.path).items():
+        out, sizes = {}, listed(self.path)
+        new = [f for f in sizes if f not in self.heads]
+        with ThreadPoolExecutor(READERS) as pool:
+            ends = pool.map(lambda f: head(f, sizes[f])[1], new)
+            self.heads |= {f: end for f, end in zip(new, ends, strict=True) if end is not None}
+        for file, size in sizes.items():
             if file not in self.heads:
-                end = head(file, size)[1]
-                if end is None:
-                    continue  # the header is still being written
-                self.heads[file] = end
+                continue  # the header is still being written
             end = size if self.complete else last_record(file, self.heads[file], size)
             if end > self.heads[file] or self.complete:  # a first record is needed: what stands before it goes with it
                 out[file] = end
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[Bytes]:
+    def partitions(self, start: dict, end: dict) -> list[Several]:
         grown = [(f, start.get(f, 0), e) for f, e in sorted(end.items()) if e > start.get(f, 0)]
-        return [r for file, a, b in grown for r in ranges(file, a, b, b, self.split)]
+        return packed((r for file, a, b in grown for r in ranges(file, a, b, b, self.split)), self.split)
 
-    def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
-        return tokens(partition, Wanted())
+    def read(self, partition: Several) -> Iterator[pa.RecordBatch]:
+        return gathered(b for r in partition.ranges for b in tokens(r, Wanted()))
 
 
 class VcdSource(DataSource):
