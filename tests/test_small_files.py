@@ -1,8 +1,11 @@
 """Many small files: a task reads many of them, and every row of each."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tracetide.plans import catalog
 from tracetide.sources import vcd_source as vs
+from tracetide.sources.vcd import VcdFiles
 
 N = 600
 
@@ -37,3 +40,22 @@ def test_a_stream_reads_many_files_in_a_task(spark, tmp_path):
 def test_large_ranges_stay_tasks_of_their_own():
     parts = vs.packed([vs.Bytes("a", 0, 100, 250, True), vs.Bytes("a", 100, 200, 250, False), vs.Bytes("b", 0, 50, 50, True)], 100)
     assert [p.size for p in parts] == [100, 100, 50]
+
+
+def test_written_files_lie_in_one_folder_and_are_listed_once(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 40).alias("signal"), F.col("id").alias("time"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "1").otherwise("0").alias("value"))
+    catalog.write_vcd(catalog.vcd_text(rows), f"file:{tmp_path}/in")
+    files = sorted((tmp_path / "in").iterdir())
+    assert {f.name for f in files} == {f"signal={s}.txt" for s in range(40)} and all(f.is_file() for f in files)
+    assert (tmp_path / "in" / "signal=7.txt").read_text() == catalog.HEADER + "\n" + "".join(f"#{t}\n{int(t % 3 == 0)}!\n" for t in range(7, 3000, 40))
+    read = VcdFiles(spark, f"{tmp_path}/in")
+    assert read.changes().count() == 3000
+    listed = read._text
+    read.steps()
+    assert read._text is listed
+
+
+def test_runs_of_keys():
+    keys, texts = pa.array([None, None, 1, 1, 2, 1]), pa.array(list("abcdef"))
+    assert list(vs.runs(keys, texts)) == [(None, "a"), (None, "b"), (1, "cd"), (2, "e"), (1, "f")]
+    assert list(vs.runs(keys[:0], texts[:0])) == []

@@ -425,13 +425,15 @@ class VcdFiles:
 
     def __init__(self, spark: SparkSession, path: str, flatten_unnamed: bool = False):
         self.spark, self.path, self.flatten = spark, path, flatten_unnamed
+        self._text: DataFrame | None = None
         self._catalog: DataFrame | None = None
         self._found: DataFrame | None = None
 
     def _records(self) -> DataFrame:
         """One row for each stretch of text up to a line that begins with #, in order within a split."""
-        text = self.spark.read.option("lineSep", "\n#").text(self.path)
-        return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+        if self._text is None:  # the files are listed once
+            self._text = self.spark.read.option("lineSep", "\n#").text(self.path)
+        return self._text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
 
     def _splits(self) -> DataFrame:
         """(split, file, block, inside, end_block, end_row): whether the split begins inside a comment, and the record in which the file's header ends."""

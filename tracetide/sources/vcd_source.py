@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -72,6 +73,32 @@ def listed(path: str) -> dict[str, int]:
     return {scheme + x.path: x.size for x in found if x.type == arrow_fs.FileType.File and not hidden(x)}
 
 
+def made(folder: str) -> None:
+    """Make a folder, with those above it."""
+    fs, p = opened(folder)
+    fs.create_dir(p, recursive=True)
+
+
+def put(path: str, pieces: Iterable[bytes]) -> None:
+    """A file, moved to its name once it is whole: another attempt of a task writes the same."""
+    fs, p = opened(path)
+    above, _, name = p.rpartition("/")
+    hidden = f"{above}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(hidden) as f:
+        for x in pieces:
+            f.write(x)
+    fs.move(hidden, p)
+
+
+def runs(keys: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+    """(key, text) of the stretches of equal keys; the texts of one are put together."""
+    n = len(keys)
+    if n:
+        cuts = [0, *(pc.indices_nonzero(pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True)).to_numpy() + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield keys[a].as_py(), "".join(texts[a:b].to_pylist())
+
+
 def header_end(text: str) -> int | None:
     """Where the header of a text ends; None if it isn't whole yet."""
     at = 0
