@@ -710,11 +710,9 @@ def grown(rows: DataFrame, piece, pieces: int, **options) -> LiveLog:
     """rows (file, signal, time, seq, value) as a folder that is appended to piece by piece, and taken by a stream after each."""
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/tracetide/grown-{uuid.uuid4().hex}"
-    rows = materialize(rows.withColumn("piece", piece), "pieces")
-    schema = rows.drop("piece").schema
     for k in range(pieces):
-        rows.filter(F.col("piece") == k).drop("piece").write.mode("append").parquet(f"{folder}/in")
-        live = LiveLog(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/live", **options).run()
+        rows.filter(piece == k).write.mode("append").parquet(f"{folder}/in")
+        live = LiveLog(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/live", **options).run()
     return live
 
 

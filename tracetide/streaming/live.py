@@ -96,12 +96,14 @@ class LiveLog:
         order = F.struct(F.lit(NOW).alias("kind"), F.lit(batch).cast("bigint").alias("epoch"), F.col("seq").alias("seq"))
         new = materialize(rows.select("file", "signal", "time", order.alias("seq"), "value"), "arrived")
         clock = self._read("clock", [batch - 1])
-        kept = materialize(on_time(new, clock), "on-time")
+        # the latest time of a file is never late, so that it is known before its steps are judged
+        latest = new.select("file", "time").unionByName(clock.select("file", F.col("latest").alias("time"))).groupBy("file").agg(F.max("time").alias("latest"))
+        kept = materialize(beside(on_time(new, clock), latest, ["file"]), "on-time")
         if self.raw:
-            self._write(kept.filter(F.col("signal").isNotNull()).withColumn("seq", F.col("seq.seq")), "changes", batch)
+            self._write(kept.filter(F.col("signal").isNotNull()).withColumn("seq", F.col("seq.seq")).drop("latest"), "changes", batch)
         clock = self._write(moved_clock(clock, new, kept), "clock", batch)
-        arrivals = kept.filter(F.col("signal").isNotNull()).unionByName(self._read("open", [batch - 1]))
-        arrivals = materialize(beside(arrivals, clock.select("file", "latest"), ["file"]), "judged")
+        still_open = beside(self._read("open", [batch - 1]), clock.select("file", "latest"), ["file"])
+        arrivals = kept.filter(F.col("signal").isNotNull()).unionByName(still_open)
         self._write(arrivals.filter(F.col("time") == F.col("latest")).drop("latest"), "open", batch)
         steps = self._write(self._steps(arrivals.filter(F.col("time") < F.col("latest")).drop("latest"), batch - 1), "steps", batch)
         changed = steps.groupBy("file", "signal").agg(F.max("time").alias("time"), F.max_by("value", "time").alias("value"))
