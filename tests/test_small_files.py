@@ -1,5 +1,7 @@
 """Many small files: a task reads many of them, and every row of each."""
 
+import threading
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -37,6 +39,22 @@ def test_a_stream_reads_many_files_in_a_task(spark, tmp_path):
     assert sum(len(b) for p in parts for b in reader.read(p)) == 2 * sum(steps.values())
 
 
+def test_heads_are_read_by_threads_only_where_opening_is_slow(tmp_path, monkeypatch):
+    steps = folder(tmp_path)
+    sizes, read, used = vs.listed(str(tmp_path)), vs.head, set()
+
+    def noted(path, size):
+        used.add(threading.get_ident())
+        return read(path, size)
+
+    monkeypatch.setattr(vs, "head", noted)
+    monkeypatch.setattr(vs, "SLOW", 10.0)
+    offset = vs.GrowingReader(str(tmp_path), vs.SPLIT_BYTES, True).latestOffset()
+    assert offset == sizes and len(offset) == len(steps) and used == {threading.get_ident()}
+    monkeypatch.setattr(vs, "SLOW", 0.0)
+    assert vs.GrowingReader(str(tmp_path), vs.SPLIT_BYTES, True).latestOffset() == sizes and len(used) > 1
+
+
 def test_large_ranges_stay_tasks_of_their_own():
     parts = vs.packed([vs.Bytes("a", 0, 100, 250, True), vs.Bytes("a", 100, 200, 250, False), vs.Bytes("b", 0, 50, 50, True)], 100)
     assert [p.size for p in parts] == [100, 100, 50]

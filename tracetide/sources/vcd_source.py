@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -44,8 +45,9 @@ BLOCK = 1 << 16
 SPLIT_BYTES = 32 << 20
 #: What the opening of a file costs, in bytes: as many small files make a task.
 OPEN_BYTES = 128 << 10
-#: Heads that the driver reads at once.
+#: Heads that the driver reads at once, where the opening of a file takes more than SLOW seconds.
 READERS = 16
+SLOW = 0.002
 #: A time inside a record: such text is read as a whole, whatever times are wanted.
 INNER = re.compile(rb"[ \t\r\n\v\f]#\d")
 
@@ -124,6 +126,17 @@ def head(path: str, size: int) -> tuple[bytes, int | None]:
             want *= 4
 
 
+def header_ends(sizes: dict[str, int]) -> list[int | None]:
+    """Where the headers of files end (None: not in the file), in their order. Only slow openings are worth threads: else these wait for each other."""
+    files, end = list(sizes), lambda f: head(f, sizes[f])[1]
+    began = time.perf_counter()
+    first = [end(f) for f in files[:READERS]]
+    if time.perf_counter() - began <= SLOW * len(first):
+        return [*first, *map(end, files[READERS:])]
+    with ThreadPoolExecutor(READERS) as pool:
+        return [*first, *pool.map(end, files[READERS:])]
+
+
 def last_record(path: str, low: int, high: int) -> int:
     """The position of the last # of low..high that begins a line, at least low; it is looked for from the end."""
     fs, p = opened(path)
@@ -356,10 +369,8 @@ class GrowingReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         out, sizes = {}, listed(self.path)
-        new = [f for f in sizes if f not in self.heads]
-        with ThreadPoolExecutor(READERS) as pool:
-            ends = pool.map(lambda f: head(f, sizes[f])[1], new)
-            self.heads |= {f: end for f, end in zip(new, ends, strict=True) if end is not None}
+        new = {f: size for f, size in sizes.items() if f not in self.heads}
+        self.heads |= {f: end for f, end in zip(new, header_ends(new), strict=True) if end is not None}
         for file, size in sizes.items():
             if file not in self.heads:
                 continue  # the header is still being written
