@@ -1,5 +1,7 @@
 """Many small files: a task reads many of them, and every row of each."""
 
+import os
+import re
 import threading
 
 import pyarrow as pa
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracetide.plans import catalog
 from tracetide.sources import vcd_source as vs
+from tracetide.sources import writers
+from tracetide.sources.ghw import GhwFiles
 from tracetide.sources.vcd import VcdFiles
 
 N = 600
@@ -77,3 +81,20 @@ def test_runs_of_keys():
     keys, texts = pa.array([None, None, 1, 1, 2, 1]), pa.array(list("abcdef"))
     assert list(vs.runs(keys, texts)) == [(None, "a"), (None, "b"), (1, "cd"), (2, "e"), (1, "f")]
     assert list(vs.runs(keys[:0], texts[:0])) == []
+
+
+def test_ghw_files_are_read_many_to_a_task(spark, tmp_path):
+    for i in range(N):
+        (tmp_path / f"{i}.ghw").write_bytes(writers.ghw("s", "b", "v", 2, [(t, [(0, "1")]) for t in range(1, i % 5 + 2)]))
+    files = GhwFiles(spark, str(tmp_path))
+    assert files._files().rdd.getNumPartitions() <= N // 100
+    bits = files.table("vars").filter("name = 'b'").select("file", "signal_id")
+    assert bits.count() == N
+    found = files.changes(bits).filter("bits = '1'").groupBy("file").count().collect()
+    assert sorted((re.search(r"(\d+)\.ghw", r.file)[0], r["count"]) for r in found) == sorted((f"{i}.ghw", i % 5 + 1) for i in range(N))
+
+
+def test_keys_of_several_arrow_batches_are_one_file(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("signal"), (-F.col("id")).alias("time"), F.col("id").alias("seq"), F.lit("1").alias("value"))
+    made = catalog.written(spark, rows, "signal", "txt", lambda times, seqs, values: f"{len(values)} {times == sorted(times)} {times == [-s for s in seqs]}".encode())
+    assert sorted(f"{name} {open(f'{made}/{name}').read()}" for name in os.listdir(made)) == [f"{k}.txt 20000 True True" for k in range(3)]

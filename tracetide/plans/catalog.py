@@ -6,7 +6,6 @@ O (orders: customer, order date), C (conversations). H is the tree region > nati
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -560,16 +559,24 @@ def q54_vcd_round_trip(spark, d):
 
 
 def written(spark: SparkSession, rows: DataFrame, key: str, suffix: str, content) -> str:
-    """A folder of files, one for each key, written side by side by the tasks that hold the keys' rows; content makes bytes of them."""
+    """A folder of files, one for each key, written one after another by the tasks that hold the keys' rows.
+
+    content(times, seqs, values) makes bytes of a key's rows in the order of (time, seq).
+    """
     folder = f"{shared_dir(spark)}/tracetide/{suffix}-{uuid.uuid4().hex}".removeprefix("file:")
-    os.makedirs(folder)
+    vcd_source.made(folder)
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        with open(f"{folder}/{pdf[key].iloc[0]}.{suffix}", "wb") as f:
-            f.write(content(pdf))
-        return pd.DataFrame({"n": [len(pdf)]})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = 0
+        pieces = ((b.column(0)[i].as_py(), [b.column(c)[i:j].to_pylist() for c in (1, 2, 3)]) for b in batches for i, j in vcd_source.stretches(b.column(0)))
+        for k, of in groupby(pieces, lambda piece: piece[0]):
+            times, seqs, values = ([x for part in c for x in part] for c in zip(*(own for _, own in of), strict=True))
+            vcd_source.put(f"{folder}/{k}.{suffix}", [content(times, seqs, values)])
+            files += 1
+        yield pa.RecordBatch.from_pydict({"n": [files]})
 
-    rows.groupBy(key).applyInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    ordered = rows.repartition(key).sortWithinPartitions(key, "time", "seq").select(key, "time", "seq", "value")
+    ordered.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
     return folder
 
 
@@ -577,10 +584,9 @@ def user_of(file: str = "file"):
     return F.regexp_extract(file, r"(\d+)\.\w+$", 1).cast("bigint")
 
 
-def as_ghw(pdf: pd.DataFrame) -> bytes:
+def as_ghw(times: list[int], seqs: list[int], values: list[str]) -> bytes:
     """Every event is a cycle: it sets the bit `over` and one element of the vector q."""
-    pdf = pdf.sort_values(["time", "seq"])
-    return writers.ghw("events", "over", "q", 4, [(t, [(0, v), (1 + k, v)]) for t, v, k in zip(pdf["time"].tolist(), pdf["value"], (pdf["seq"] % 4).tolist(), strict=True)])
+    return writers.ghw("events", "over", "q", 4, [(t, [(0, v), (1 + s % 4, v)]) for t, s, v in zip(times, seqs, values, strict=True)])
 
 
 @query(f"""WITH {EB}, q AS (SELECT *, seq % 4 AS k, min(time) OVER (PARTITION BY signal) AS begin FROM eb),
@@ -597,13 +603,11 @@ def q55_ghw(spark, d):
     return found.select(user_of().alias("signal"), "full_name", "time", "bits")
 
 
-def as_fst(pdf: pd.DataFrame) -> bytes:
+def as_fst(times: list[int], seqs: list[int], values: list[str]) -> bytes:
     """Two variables: the events with even and with odd numbers."""
-    pdf = pdf.sort_values(["time", "seq"])
-    times = sorted(set(pdf["time"].tolist()))
-    index = {t: k for k, t in enumerate(times)}
-    own = [[(index[t], int(v)) for t, v, s in zip(pdf["time"].tolist(), pdf["value"], pdf["seq"].tolist(), strict=True) if s % 2 == odd] for odd in (0, 1)]
-    return writers.fst("events", ["even", "odd"], times, own)
+    index = {t: k for k, t in enumerate(dict.fromkeys(times))}
+    own = [[(index[t], int(v)) for t, s, v in zip(times, seqs, values, strict=True) if s % 2 == odd] for odd in (0, 1)]
+    return writers.fst("events", ["even", "odd"], list(index), own)
 
 
 @query(f"""WITH {EB} SELECT signal, CASE WHEN seq % 2 = 0 THEN 'events.even' ELSE 'events.odd' END AS full_name, time, value AS bits FROM eb
@@ -651,7 +655,7 @@ def q59_objects(spark, d):
     log = events(spark, d, bit())
     first = log.df.agg(F.min("signal")).first()[0]
     own = log.df.filter(F.col("signal") == first)
-    text = lambda pdf: (HEADER + "\n" + "".join(f"#{t}\n{v}!\n" for t, v in pdf.sort_values(["time", "seq"])[["time", "value"]].itertuples(index=False))).encode()
+    text = lambda times, _, values: (HEADER + "\n" + "".join(f"#{t}\n{v}!\n" for t, v in zip(times, values, strict=True))).encode()
     wave = Waveform(spark, f"{written(spark, own, 'signal', 'vcd', text)}/{first}.vcd")
     var = wave["events.over"]
     signal = var.signal
@@ -668,7 +672,7 @@ def q53_detect(spark, d):
     rows = events(spark, d, bit()).df
     user = rows.agg(F.min("signal")).first()[0]
     first = rows.filter(F.col("signal") == user)
-    made = [("ghw", as_ghw), ("fst", as_fst), ("vcd", lambda pdf: f"{HEADER}\n#0\n0!\n".encode())]
+    made = [("ghw", as_ghw), ("fst", as_fst), ("vcd", lambda *_: f"{HEADER}\n#0\n0!\n".encode())]
     kinds = [(kind, file_format(spark, f"{written(spark, first, 'signal', kind, content)}/{user}.{kind}")) for kind, content in made]
     kinds.append(("parquet", file_format(spark, table(spark, d, "events").inputFiles()[0])))
     return spark.createDataFrame(kinds, "name string, file_format string")

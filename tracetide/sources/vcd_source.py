@@ -92,13 +92,18 @@ def put(path: str, pieces: Iterable[bytes]) -> None:
     fs.move(hidden, p)
 
 
-def runs(keys: pa.Array, texts: pa.Array) -> Iterator[tuple]:
-    """(key, text) of the stretches of equal keys; the texts of one are put together."""
+def stretches(keys: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where the stretches of equal keys begin and end."""
     n = len(keys)
     if n:
         cuts = [0, *(pc.indices_nonzero(pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True)).to_numpy() + 1).tolist(), n]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield keys[a].as_py(), "".join(texts[a:b].to_pylist())
+        yield from zip(cuts, cuts[1:], strict=False)
+
+
+def runs(keys: pa.Array, texts: pa.Array) -> Iterator[tuple]:
+    """(key, text) of the stretches of equal keys; the texts of one are put together."""
+    for a, b in stretches(keys):
+        yield keys[a].as_py(), "".join(texts[a:b].to_pylist())
 
 
 def header_end(text: str) -> int | None:
