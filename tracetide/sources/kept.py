@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tracetide.operators.changelog import ChangeLog, numbered
 from tracetide.storage import exists, materialize, names
-from tracetide.streaming.live import BEFORE, MERGE, NOW, among, moved_clock, on_time
+from tracetide.streaming.live import BEFORE, MERGE, NOW, among, in_order, moved_clock, on_time
 
 COLUMNS = ("signal", "time", "seq", "value")
 
@@ -98,7 +98,8 @@ class KeptLog:
         new = materialize(typed.select(F.lit("").alias("file"), "signal", "time", order.alias("seq"), "value"), "arrived")
         clock = self._read("clock", [n - 1])
         before = clock.first()
-        kept = materialize(on_time(new, clock.select("file", "latest", "accepted")), "on-time")
+        steps = in_order(new, clock.select("file", "latest", "accepted"))
+        kept = materialize(on_time(steps), "on-time")
 
         times = kept.select("time").distinct()
         if before is not None and before.latest is not None:
@@ -107,10 +108,10 @@ class KeptLog:
         times = self._write(numbered(times, "time", "at").select((F.col("at") + counted).alias("time_idx"), "time"), "times", n)
 
         attempt = secrets.randbits(62)
-        real = materialize(self._real(kept.filter(F.col("signal").isNotNull()).drop("file"), n), "real")
+        real = materialize(self._real(kept.filter(F.col("signal").isNotNull()).drop("file", "__at"), n), "real")
         real.withColumn("append", F.lit(attempt)).repartitionByRange("signal", "time").write.insertInto(self.name)
 
-        moved = moved_clock(clock.select("file", "latest", "accepted"), new, kept)
+        moved = moved_clock(clock.select("file", "latest", "accepted"), steps, kept)
         self._write(moved.select("*", F.lit(counted + times.count()).alias("n_times"), F.lit(attempt).alias("append")) if not new.isEmpty() or before is not None else self.spark.createDataFrame([("", None, None, 0, attempt)], self._schema("clock")), "clock", n)
         changed = _latest(real)
         self._write(_latest(self._last(n).unionByName(changed)) if (n + 1) % MERGE == 0 else changed, "last", n)

@@ -33,7 +33,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracetide.operators.changelog import ChangeLog, accepted_steps, beside
+from tracetide.operators.changelog import ChangeLog, accepted, beside, placed
 from tracetide.operators.derived import evaluate_all
 from tracetide.storage import exists, materialize, names
 
@@ -98,10 +98,12 @@ class LiveLog:
         clock = self._read("clock", [batch - 1])
         # the latest time of a file is never late, so that it is known before its steps are judged
         latest = new.select("file", "time").unionByName(clock.select("file", F.col("latest").alias("time"))).groupBy("file").agg(F.max("time").alias("latest"))
-        kept = materialize(beside(on_time(new, clock), latest, ["file"]), "on-time")
+        steps = in_order(new, clock)
+        kept = materialize(beside(on_time(steps), latest, ["file"]), "on-time")
+        clock = self._write(moved_clock(clock, steps, kept), "clock", batch)
+        kept = kept.drop("__at")
         if self.raw:
             self._write(kept.filter(F.col("signal").isNotNull()).withColumn("seq", F.col("seq.seq")).drop("latest"), "changes", batch)
-        clock = self._write(moved_clock(clock, new, kept), "clock", batch)
         still_open = beside(self._read("open", [batch - 1]), clock.select("file", "latest"), ["file"])
         arrivals = kept.filter(F.col("signal").isNotNull()).unionByName(still_open)
         self._write(arrivals.filter(F.col("time") == F.col("latest")).drop("latest"), "open", batch)
@@ -197,8 +199,8 @@ def among(values: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     return values.join(found, same, "left_semi")
 
 
-def on_time(new: DataFrame, clock: DataFrame) -> DataFrame:
-    """The rows of steps that are not late. What was before stands for itself as one step, or as two if the last was late."""
+def in_order(new: DataFrame, clock: DataFrame) -> DataFrame:
+    """The new rows with their places. What was before stands for itself as one step, or as two if the last was late."""
 
     def step(time: Column, at: int) -> DataFrame:
         nothing = [F.lit(None).cast(new.schema[c].dataType).alias(c) for c in ("signal", "value")]
@@ -206,15 +208,21 @@ def on_time(new: DataFrame, clock: DataFrame) -> DataFrame:
         return clock.select("file", "accepted", nothing[0], time.alias("time"), seq.alias("seq"), nothing[1])
 
     before = step(F.col("latest"), 0).unionByName(step(F.col("latest") - 1, 1).filter("not accepted")).drop("accepted")
-    return accepted_steps(new.unionByName(before), within=["file"]).filter(F.col("seq.kind") == NOW)
+    return placed(new.unionByName(before), within=["file"])
 
 
-def moved_clock(clock: DataFrame, new: DataFrame, kept: DataFrame) -> DataFrame:
-    """The clock after a batch; the last step was accepted if its row is among those kept."""
+def on_time(steps: DataFrame) -> DataFrame:
+    """The new rows of steps that are not late, with their places."""
+    return accepted(steps, within=["file"]).filter(F.col("seq.kind") == NOW).drop("__part")
+
+
+def moved_clock(clock: DataFrame, steps: DataFrame, kept: DataFrame) -> DataFrame:
+    """The clock after a batch; the last step was accepted if its row is among those kept. Places are told apart, which needs no sort of all rows."""
+    new = steps.filter(F.col("seq.kind") == NOW)
     none = F.lit(None)
-    order, time = new.schema["seq"].dataType, new.schema["time"].dataType
+    order, time = new.schema["__at"].dataType, new.schema["time"].dataType
     rows = clock.select("file", "latest", "accepted", none.cast(order).alias("end"), none.cast(order).alias("kept"))
-    rows = rows.unionByName(new.select("file", none.cast(time).alias("latest"), none.cast("boolean").alias("accepted"), F.col("seq").alias("end"), none.cast(order).alias("kept")))
-    rows = rows.unionByName(kept.select("file", F.col("time").alias("latest"), none.cast("boolean").alias("accepted"), none.cast(order).alias("end"), F.col("seq").alias("kept")))
+    rows = rows.unionByName(new.select("file", none.cast(time).alias("latest"), none.cast("boolean").alias("accepted"), F.col("__at").alias("end"), none.cast(order).alias("kept")))
+    rows = rows.unionByName(kept.select("file", F.col("time").alias("latest"), none.cast("boolean").alias("accepted"), none.cast(order).alias("end"), F.col("__at").alias("kept")))
     ends = rows.groupBy("file").agg(F.max("latest").alias("latest"), F.max("accepted").alias("accepted"), F.max("end").alias("end"), F.max("kept").alias("kept"))
     return ends.select("file", "latest", F.when(F.col("end").isNull(), F.col("accepted")).otherwise(F.col("end").eqNullSafe(F.col("kept"))).alias("accepted"))
